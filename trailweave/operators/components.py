@@ -38,7 +38,7 @@ def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = ())
             *keys, "v", F.col("jump").alias("label"), (F.col("jump") != F.col("before")).alias("changed")
         )
 
-    return run_rounds(start_labels(vertices, keys), step, None, "components", per_write=1)
+    return run_rounds(start_labels(vertices, keys), step, None, "components", per_write=2)
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,16 +49,19 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     reach the vertex named by their colour, inside the colour, are its component.
     """
     found = []
-    left = materialize(vertices.select("activity"), "scc-left")
-    links = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "scc-links")
-    while not left.isEmpty():
-        busy = links.select(F.col("src").alias("activity")).intersect(links.select("dst"))
-        alone = left.join(busy, "activity", "left_anti")
-        found.append(alone.select(F.col("activity").alias("v"), F.col("activity").alias("label")))
-        busy = materialize(left.join(busy, "activity", "left_semi"), "scc-busy")
-        inner = links.join(busy.select(F.col("activity").alias("src")), "src", "left_semi").join(
-            busy.select(F.col("activity").alias("dst")), "dst", "left_semi"
+    left, links = vertices.select("activity"), edges.select("src", "dst").distinct()
+    while True:
+        ends, measured = materialize_measured(
+            _with_both_directions(left, links), "scc-left", left=F.count("*"), busy=F.sum("busy")
         )
+        if not measured["left"]:
+            break
+        alone = ends.where(F.col("busy") == 0)
+        found.append(alone.select(F.col("activity").alias("v"), F.col("activity").alias("label")))
+        if not measured["busy"]:
+            break
+        busy = ends.where(F.col("busy") == 1).select("activity")
+        inner = materialize(_among(links, busy), "scc-links")
         colour = min_label(busy, inner, rounds=None)
         source = colour.select(F.col("v").alias("src"), F.col("label").alias("c1"))
         target = colour.select(F.col("v").alias("dst"), F.col("label").alias("c2"))
@@ -66,22 +69,33 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             inner.join(source, "src").join(target, "dst").where(F.col("c1") == F.col("c2"))
             .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         )
-        # Backwards: the root starts with "", everybody else with a later mark.
+        # Backwards: the vertex that names the colour starts with "0", all others with "1".
         marks = colour.select("v", F.when(F.col("v") == F.col("label"), "0").otherwise("1").alias("label"))
         reach = min_label(busy, within, rounds=None, initial=marks)
         hit = materialize(colour.join(reach.where(F.col("label") == "0").select("v"), "v"), "scc-hit")
         found.append(hit)
-        gone = hit.select(F.col("v").alias("activity"))
-        left = materialize(busy.join(gone, "activity", "left_anti"), "scc-left")
-        links = materialize(
-            inner.join(left.select(F.col("activity").alias("src")), "src", "left_semi").join(
-                left.select(F.col("activity").alias("dst")), "dst", "left_semi"
-            ),
-            "scc-links",
-        )
+        left = busy.join(hit.select(F.col("v").alias("activity")), "activity", "left_anti")
+        links = _among(inner, left)
     return reduce(DataFrame.union, found) if found else start_labels(vertices)
 
 
+def _with_both_directions(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """Add ``busy``: 1 where a vertex has edges to and from others."""
+    other = links.where(F.col("src") != F.col("dst"))
+    turns = other.select(F.col("src").alias("activity"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
+        other.select("dst", F.lit(0), F.lit(1))
+    )
+    seen = turns.groupBy("activity").agg(F.max("out").alias("out"), F.max("in").alias("in"))
+    busy = F.coalesce(F.col("out") * F.col("in"), F.lit(0))
+    return vertices.join(seen, "activity", "left").select("activity", busy.alias("busy"))
+
+
+def _among(links: DataFrame, vertices: DataFrame) -> DataFrame:
+    return links.join(vertices.select(F.col("activity").alias("src")), "src", "left_semi").join(
+        vertices.select(F.col("activity").alias("dst")), "dst", "left_semi"
+    ).select("src", "dst")
+
+
 def max_spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Maximum spanning forest ``(a, b, cnt)`` over undirected pairs ``a < b``.
 
@@ -94,34 +108,44 @@ def max_spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         .groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
         .agg(F.max("cnt").alias("cnt"))
     )
-    live = materialize(pairs.select("a", "b", "cnt", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-live")
-    nodes = materialize(vertices.select("activity"), "forest-nodes")
+    live, measured = materialize_measured(
+        pairs.select("a", "b", "cnt", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-live", n=F.count("*")
+    )
     picked = []
-    while not live.isEmpty():
-        rank = F.struct((-F.col("cnt")).alias("order"), "a", "b", "ca", "cb")
-        sides = live.select(F.col("ca").alias("c"), rank.alias("pair")).union(
-            live.select(F.col("cb").alias("c"), rank.alias("pair"))
-        )
-        best = materialize(
-            sides.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.*").distinct(), "forest-pick"
+    while measured["n"]:
+        order = F.struct((-F.col("cnt")).alias("ord"), "a", "b")
+        best = F.min(F.struct(order.alias("pair"), "other"))
+        sides = live.select(F.col("ca").alias("v"), F.col("cb").alias("other"), "cnt", "a", "b").union(
+            live.select("cb", "ca", "cnt", "a", "b")
         )
-        picked.append(best.select("a", "b", (-F.col("order")).alias("cnt")))
-        merged = components(nodes, best.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
-        to_a = merged.select(F.col("v").alias("ca"), F.col("label").alias("na"))
-        to_b = merged.select(F.col("v").alias("cb"), F.col("label").alias("nb"))
+        pick = materialize(sides.groupBy("v").agg(best.alias("best")).select("v", "best.pair", "best.other"), "forest-pick")
+        picked.append(pick.select("pair.a", "pair.b", (-F.col("pair.ord")).alias("cnt")).distinct())
+        # Pointers to the other side of the best pair end in two components that picked
+        # the same pair; the smaller of the two is the root.
+        back = pick.select(F.col("v").alias("other"), F.col("other").alias("back"))
+        root = (F.col("back") == F.col("v")) & (F.col("v") < F.col("other"))
+        parents = pick.join(back, "other").select("v", F.when(root, F.col("v")).otherwise(F.col("other")).alias("label"))
+        roots = run_rounds(parents, _jump, None, "forest-roots", per_write=3)
+        to_a = roots.select(F.col("v").alias("ca"), F.col("label").alias("na"))
+        to_b = roots.select(F.col("v").alias("cb"), F.col("label").alias("nb"))
         moved = live.join(to_a, "ca").join(to_b, "cb").where(F.col("na") != F.col("nb"))
         # Between two components only the best pair can ever be chosen.
-        rank = F.min(F.struct((-F.col("cnt")).alias("order"), "a", "b")).alias("pair")
-        live = materialize(
+        live, measured = materialize_measured(
             moved.groupBy(F.least("na", "nb").alias("ca"), F.greatest("na", "nb").alias("cb"))
-            .agg(rank)
-            .select("pair.a", "pair.b", (-F.col("pair.order")).alias("cnt"), "ca", "cb"),
+            .agg(F.min(order).alias("pair"))
+            .select("pair.a", "pair.b", (-F.col("pair.ord")).alias("cnt"), "ca", "cb"),
             "forest-live",
+            n=F.count("*"),
         )
-        nodes = materialize(merged.select(F.col("label").alias("activity")).distinct(), "forest-nodes")
-    if not picked:
-        return live.select("a", "b", "cnt")
-    return reduce(DataFrame.union, picked)
+    return reduce(DataFrame.union, picked) if picked else live.select("a", "b", "cnt")
+
+
+def _jump(state: DataFrame) -> DataFrame:
+    """Replace every pointer by the pointer of its target."""
+    target = state.select(F.col("v").alias("label"), F.col("label").alias("next"))
+    return state.join(target, "label").select(
+        "v", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("changed")
+    )
 
 
 def component_counts(vertices: DataFrame, forest: DataFrame, top: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.operators.sequence import TIME_ORDER, pair_counts
+from trailweave.operators.sequence import TIME_ORDER, pair_counts, pair_graph
 
 # Neighbourhood offsets, minimum support and number of probability steps.
 NEIGHBOURHOOD = (-1, 1, 2)
@@ -18,6 +18,11 @@ def global_transitions(log: DataFrame, slices: int | None = None) -> DataFrame:
     return pair_counts(log, slices=slices)
 
 
+def global_graph(log: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All activities, and the counts of ``global_transitions``, from one pass over the log."""
+    return pair_graph(log, slices=slices)
+
+
 def case_transitions(log: DataFrame, order=TIME_ORDER, slices: int | None = None) -> DataFrame:
     """Counts of consecutive activities within each case."""
     return pair_counts(log, within=["case_id"], order=order, slices=slices)

@@ -36,48 +36,45 @@ def merge_steps(edges: DataFrame, cap: int, min_count: int = MIN_COUNT) -> tuple
         .select("ca", "cb", F.lit(1).alias("na"), F.lit(1).alias("nb"), "pair")
         .where(F.col("na") + F.col("nb") <= cap)
     )
-    live = materialize(live, "merge-live")
+    live, measured = materialize_measured(live, "merge-live", n=F.count("*"))
     steps, total = [], 0
-    while not live.isEmpty():
-        side = F.struct("pair", "ca", "cb", (F.col("na") + F.col("nb")).alias("size"))
-        both = live.select(F.col("ca").alias("c"), side.alias("best")).union(
-            live.select(F.col("cb").alias("c"), side.alias("best"))
-        )
+    while measured["n"]:
+        size = F.col("na") + F.col("nb")
+        side = F.struct("pair", "ca", "cb", size.alias("size"))
+        best = live.select(F.explode(F.array("ca", "cb")).alias("c"), side.alias("best"))
         mutual = (
-            both.groupBy("c").agg(F.min("best").alias("best"))
+            best.groupBy("c").agg(F.min("best").alias("best"))
             .groupBy("best").agg(F.count("*").alias("sides"))
             .where(F.col("sides") == 2).select("best.*")
         )
-        mutual, measured = materialize_measured(mutual, "merge-step", n=F.count("*"))
-        total += measured["n"]
-        steps.append(mutual.select("pair.ord", "pair.src", "pair.dst"))
         # Both old names of a merged cluster lead to the smaller one.
-        renamed = mutual.select(
-            F.explode(F.array("ca", "cb")).alias("c"), F.col("ca").alias("to"), "size"
-        )
+        renamed = mutual.select(F.explode(F.array("ca", "cb")).alias("c"), F.col("ca").alias("to"), "size")
         at_a = renamed.select(F.col("c").alias("ca"), F.col("to").alias("ta"), F.col("size").alias("sa"))
         at_b = renamed.select(F.col("c").alias("cb"), F.col("to").alias("tb"), F.col("size").alias("sb"))
-        moved = live.join(at_a, "ca", "left").join(at_b, "cb", "left").select(
-            F.coalesce("ta", "ca").alias("ca"),
-            F.coalesce("tb", "cb").alias("cb"),
-            F.coalesce("sa", "na").alias("na"),
-            F.coalesce("sb", "nb").alias("nb"),
-            "pair",
-        )
-        ordered = F.col("ca") < F.col("cb")
-        live = materialize(
-            moved.where((F.col("ca") != F.col("cb")) & (F.col("na") + F.col("nb") <= cap))
+        moved = (
+            live.join(at_a, "ca", "left").join(at_b, "cb", "left")
             .select(
-                F.least("ca", "cb").alias("ca"),
-                F.greatest("ca", "cb").alias("cb"),
-                F.when(ordered, F.col("na")).otherwise(F.col("nb")).alias("na"),
-                F.when(ordered, F.col("nb")).otherwise(F.col("na")).alias("nb"),
-                "pair",
+                F.coalesce("ta", "ca").alias("ca"), F.coalesce("tb", "cb").alias("cb"),
+                F.coalesce("sa", "na").alias("na"), F.coalesce("sb", "nb").alias("nb"), "pair",
             )
-            .groupBy("ca", "cb", "na", "nb")
-            .agg(F.min("pair").alias("pair")),
-            "merge-live",
+            .where((F.col("ca") != F.col("cb")) & (size <= cap))
+        )
+        # Parallel pairs between two clusters: only the first in the queue can merge them.
+        low = F.least(F.struct("ca", "na"), F.struct(F.col("cb").alias("ca"), F.col("nb").alias("na")))
+        high = F.greatest(F.struct("ca", "na"), F.struct(F.col("cb").alias("ca"), F.col("nb").alias("na")))
+        after = (
+            moved.groupBy(low.alias("low"), high.alias("high")).agg(F.min("pair").alias("pair"))
+            .select("low.ca", F.col("high.ca").alias("cb"), "low.na", F.col("high.na").alias("nb"), "pair")
+        )
+        # One pass writes the merges of this round and the pairs left for the next.
+        done = mutual.select("ca", "cb", F.lit(0).alias("na"), F.lit(0).alias("nb"), "pair")
+        table, measured = materialize_measured(
+            after.union(done), "merge-round",
+            n=F.sum((F.col("na") > 0).cast("long")), merged=F.sum((F.col("na") == 0).cast("long")),
         )
+        live = table.where(F.col("na") > 0)
+        steps.append(table.where(F.col("na") == 0).select("pair.ord", "pair.src", "pair.dst"))
+        total += measured["merged"]
     if not steps:
         return live.select("pair.ord", "pair.src", "pair.dst"), 0
     return reduce(DataFrame.union, steps), total

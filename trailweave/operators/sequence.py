@@ -14,13 +14,11 @@ once (``materialize``) before it is read twice.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailweave.workspace import materialize
+from trailweave.workspace import materialize, materialize_measured
 
 TIME_ORDER = ("ts", "event_id")
 
@@ -30,32 +28,20 @@ def _sliced(rows: DataFrame, keys: Sequence[str], slices: int | None) -> DataFra
     return ranged.withColumn("slice", F.spark_partition_id())
 
 
-def _slice_starts(sizes: DataFrame) -> DataFrame:
-    """Rows (or amounts) before each slice; one input row per slice, so one task is enough."""
-    earlier = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    return sizes.select("slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
-
-
-def pair_counts(
-    rows: DataFrame,
-    offsets: Sequence[int] = (1,),
-    within: Sequence[str] = (),
-    order: Sequence[str] = TIME_ORDER,
-    slices: int | None = None,
-    keep_group: bool = False,
-) -> DataFrame:
-    """Count ``(src, dst)`` over rows ``i`` and ``i + offset`` of the ordered log.
+def _pair_records(
+    rows: DataFrame, offsets: Sequence[int], within: Sequence[str], order: Sequence[str], slices: int | None, keep_group: bool
+) -> tuple[DataFrame, bool]:
+    """Counted pairs inside the slices, and the rows near slice borders, in one table.
 
-    With ``within`` both rows must agree on those columns: these lead the sort key, so a
-    group is a run of neighbours and may span slices.  Result: ``src, dst, cnt``, led by
-    the ``within`` columns if ``keep_group``.
+    Pairs have no ``slice``; border rows have one and their activity in ``src``.  The
+    second value tells whether there is more than one slice.
     """
     reach = max(abs(o) for o in offsets)
     keys = [*within, *order]
     ordered = W.partitionBy("slice").orderBy(*keys)
     group = F.struct(*within) if within else F.lit(0)
 
-    def neighbour(column: Column, offset: int) -> Column:
+    def near(column: Column, offset: int) -> Column:
         return F.lead(column, offset).over(ordered) if offset > 0 else F.lag(column, -offset).over(ordered)
 
     numbered = _sliced(rows.select(*dict.fromkeys([*keys, "activity"])), keys, slices).select(
@@ -64,11 +50,10 @@ def pair_counts(
         group.alias("grp"),
         F.row_number().over(ordered).alias("rn"),
         F.lead(F.lit(1), reach).over(ordered).isNull().alias("near_end"),
-        *[neighbour(F.col("activity"), o).alias(f"near{k}") for k, o in enumerate(offsets)],
-        *([neighbour(group, o).alias(f"grp{k}") for k, o in enumerate(offsets)] if within else []),
+        *[near(F.col("activity"), o).alias(f"near{k}") for k, o in enumerate(offsets)],
+        *([near(group, o).alias(f"grp{k}") for k, o in enumerate(offsets)] if within else []),
     )
-    grp_type = numbered.schema["grp"].dataType
-    kept = F.col("grp") if keep_group else F.lit(None).cast(grp_type)
+    kept = F.col("grp") if keep_group else F.lit(None).cast(numbered.schema["grp"].dataType)
 
     def pair(k: int) -> Column:
         same = F.col("grp") == F.col(f"grp{k}") if within else F.lit(True)
@@ -88,32 +73,73 @@ def pair_counts(
     records = numbered.select(
         F.inline(F.array_compact(F.array(*[pair(k) for k in range(len(offsets))], border)))
     )
-    counted = materialize(
-        records.groupBy("grp", "src", "dst", "slice", "rn").agg(F.count("*").alias("cnt")), "pairs"
+    counted, measured = materialize_measured(
+        records.groupBy("grp", "src", "dst", "slice", "rn").agg(F.count("*").alias("cnt")),
+        "pairs",
+        first=F.min("slice"),
+        last=F.max("slice"),
     )
+    return counted, measured["first"] != measured["last"]
+
+
+def _stitched(counted: DataFrame, offsets: Sequence[int], within: Sequence[str], keep_group: bool) -> DataFrame:
+    """Pairs inside slices plus the pairs across slice borders.
 
+    The border rows of all slices are a few rows per slice and lie in order: between two
+    slices no row is missing, and neighbours of the same slice are already counted.  Their
+    number depends on the number of slices only, so one task is enough for them.
+    """
     edge = counted.where(F.col("slice").isNotNull())
-    starts = _slice_starts(edge.groupBy("slice").agg(F.max("rn").cast("long").alias("size")))
-    placed = edge.join(starts, "slice").select(
-        "slice", "grp", F.col("src").alias("activity"), (F.col("start") + F.col("rn")).alias("pos")
-    )
-    right = placed.select(
-        F.col("slice").alias("slice2"), F.col("grp").alias("grp2"), F.col("activity").alias("dst"), "pos"
-    )
-    across = reduce(
-        DataFrame.union,
-        [
-            placed.withColumn("pos", F.col("pos") + offset)
-            .join(right, "pos")
-            .where((F.col("slice") != F.col("slice2")) & (F.col("grp") == F.col("grp2")))
-            .select(kept.alias("grp"), F.col("activity").alias("src"), "dst", F.lit(1).cast("long").alias("cnt"))
-            for offset in offsets
-        ],
-    )
+    ordered = W.orderBy("slice", "rn")
+    kept = F.col("grp") if keep_group else F.lit(None).cast(counted.schema["grp"].dataType)
+
+    def near(name: str, offset: int) -> Column:
+        return F.lead(name, offset).over(ordered) if offset > 0 else F.lag(name, -offset).over(ordered)
+
+    across = edge.select(
+        "slice",
+        "grp",
+        "src",
+        F.explode(
+            F.array(
+                *[F.struct(near("slice", o).alias("slice"), near("grp", o).alias("grp"), near("src", o).alias("dst")) for o in offsets]
+            )
+        ).alias("other"),
+    ).where((F.col("slice") != F.col("other.slice")) & (F.col("grp") == F.col("other.grp")))
+    across = across.select(kept.alias("grp"), "src", F.col("other.dst").alias("dst"), F.lit(1).cast("long").alias("cnt"))
     inside = counted.where(F.col("slice").isNull()).select("grp", "src", "dst", "cnt")
+    return inside.union(across).groupBy("grp", "src", "dst").agg(F.sum("cnt").alias("cnt"))
+
+
+def pair_graph(
+    rows: DataFrame,
+    offsets: Sequence[int] = (1,),
+    within: Sequence[str] = (),
+    order: Sequence[str] = TIME_ORDER,
+    slices: int | None = None,
+    keep_group: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The activities of the log and the counted pairs, from one pass over the log.
+
+    Pairs are the rows ``i`` and ``i + offset`` of the ordered log.  With ``within`` both
+    rows must agree on those columns: these lead the sort key, so a group is a run of
+    neighbours and may span slices.  Pairs are ``src, dst, cnt``, led by the ``within``
+    columns if ``keep_group``.
+    """
+    counted, several = _pair_records(rows, offsets, within, order, slices, keep_group)
+    if several:
+        total = materialize(_stitched(counted, offsets, within, keep_group), "pairs-stitched")
+    else:
+        total = counted.where(F.col("slice").isNull())
     lead = [F.col(f"grp.{c}").alias(c) for c in within] if keep_group else []
-    total = inside.union(across).groupBy("grp", "src", "dst").agg(F.sum("cnt").alias("cnt"))
-    return total.select(*lead, "src", "dst", "cnt")
+    ends = counted.select(F.col("src").alias("activity")).union(counted.select("dst"))
+    nodes = ends.where(F.col("activity").isNotNull()).distinct()
+    return nodes, total.select(*lead, "src", "dst", "cnt")
+
+
+def pair_counts(rows: DataFrame, *args, **kwargs) -> DataFrame:
+    """The pairs of ``pair_graph``."""
+    return pair_graph(rows, *args, **kwargs)[1]
 
 
 def running_total(
@@ -132,14 +158,20 @@ def running_total(
     amount = F.lit(1) if amount is None else amount
     keys = [*within, *order]
     upto = W.partitionBy("slice").orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = materialize(
+    placed, measured = materialize_measured(
         _sliced(rows.withColumn("_amount", amount.cast("long")), keys, slices).withColumn(
-            "_local", F.sum("_amount").over(upto)
+            name, F.sum("_amount").over(upto)
         ),
         "running",
+        first=F.min("slice"),
+        last=F.max("slice"),
     )
-    starts = _slice_starts(local.groupBy("slice").agg(F.sum("_amount").alias("size")))
-    placed = local.join(starts, "slice").withColumn(name, F.col("_local") + F.col("start"))
+    if measured["first"] != measured["last"]:
+        # One row per slice, so one task is enough for their running sum.
+        earlier = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+        sizes = placed.groupBy("slice").agg(F.sum("_amount").alias("size"))
+        starts = sizes.select("slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_start"))
+        placed = placed.join(starts, "slice").withColumn(name, F.col(name) + F.col("_start"))
     if within:
         base = placed.groupBy(*within).agg(F.min(F.col(name) - F.col("_amount")).alias("_base"))
         placed = placed.join(base, list(within)).withColumn(name, F.col(name) - F.col("_base"))

@@ -35,25 +35,25 @@ class Spread:
 
     Vertices with more than ``per_key`` outgoing edges are hot: their edges get a salt,
     and their state is repeated once per salt.  There are at most ``edges / per_key`` of
-    them; if there are none, which the writing pass finds out, rounds join unsalted.
+    them.  The pass that writes the edges counts them; fewer than ``per_key`` edges in
+    all cannot have a hot vertex, and rounds then join unsalted.
     """
 
     def __init__(self, edges: DataFrame, keys: Sequence[str] = (), per_key: int = EDGES_PER_KEY):
         self.keys = list(keys)
+        self.hot = None
+        self.edges, measured = materialize_measured(edges, "edges", n=F.count("*"))
+        if measured["n"] <= per_key:
+            return
         at = [*self.keys, "src"]
-        degree, measured = materialize_measured(
-            edges.groupBy(*at).agg(F.count("*").alias("degree")), "degree", top=F.max("degree")
+        hot = self.edges.groupBy(*at).agg(F.count("*").alias("degree")).where(F.col("degree") > per_key)
+        hot, measured = materialize_measured(
+            hot.select(*at, F.ceil(F.col("degree") / per_key).cast("int").alias("ways")), "hot", n=F.count("*")
         )
-        self.hot = None
-        if (measured["top"] or 0) > per_key:
-            self.hot = degree.where(F.col("degree") > per_key).select(
-                *at, F.ceil(F.col("degree") / per_key).cast("int").alias("ways")
-            )
-            edges = edges.join(self.hot, at, "left").withColumn(
-                "salt", F.coalesce(F.pmod(F.hash("dst"), F.col("ways")), F.lit(0))
-            )
-            edges = edges.drop("ways")
-        self.edges = materialize(edges, "edges")
+        if measured["n"]:
+            salt = F.coalesce(F.pmod(F.hash("dst"), F.col("ways")), F.lit(0))
+            self.hot = hot
+            self.edges = materialize(self.edges.join(hot, at, "left").withColumn("salt", salt).drop("ways"), "salted")
 
     def along(self, state: DataFrame) -> DataFrame:
         """``state`` (keys, v, ...) joined to every edge that leaves ``v``."""

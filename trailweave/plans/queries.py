@@ -26,18 +26,14 @@ SCORED = ("components", "strong_05", "strong_10")
 
 
 def _global(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The log, its activities and its global transition counts, the latter two written."""
+    """The log, its activities and its global transition counts."""
     log = events_log(spark, d)
-    return log, materialize(dfg.vertices(log), "vertices"), materialize(dfg.global_transitions(log), "dfg")
-
-
-def _totals(edges: DataFrame) -> DataFrame:
-    return materialize(dfg.with_totals(edges), "totals")
+    return log, *dfg.global_graph(log)
 
 
 def _communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     _, nodes, edges = _global(spark, d)
-    return nodes, consensus.threshold_communities(nodes, _totals(edges))
+    return nodes, consensus.threshold_communities(nodes, dfg.with_totals(edges))
 
 
 def _sorted_clusters(labels: DataFrame) -> DataFrame:
@@ -103,7 +99,7 @@ def frequent_transitions(spark, d):
 
 def strong_transitions(spark, d):
     _, _, edges = _global(spark, d)
-    return dfg.strong(dfg.with_totals(edges), 1)
+    return dfg.strong(dfg.withdfg.with_totals(edges), 1)
 
 
 def log_weights(spark, d):
@@ -133,7 +129,7 @@ def frequent_components(spark, d):
 
 
 def part_components(spark, d):
-    edges = materialize(dfg.case_transitions(orders_log(spark, d), order=LINE_ORDER), "dfg")
+    edges = dfg.case_transitions(orders_log(spark, d), order=LINE_ORDER)
     return spread.as_clusters(comp.components(dfg.endpoints(edges), dfg.frequent(edges, 2)))
 
 
@@ -149,12 +145,12 @@ def max_spanning_forest(spark, d):
 
 def scc(spark, d):
     log = events_log(spark, d)
-    edges = dfg.strong(_totals(dfg.case_transitions(log)), 1)
+    edges = dfg.strong(dfg.with_totals(dfg.case_transitions(log)), 1)
     return spread.as_clusters(comp.strong_components(dfg.vertices(log), edges))
 
 
 def lpa_dfg(spark, d):
-    edges = materialize(dfg.case_transitions(events_log(spark, d)), "dfg")
+    edges = dfg.case_transitions(events_log(spark, d))
     labels = spread.majority_label(dfg.endpoints(edges), edges)
     named = labels.join(dfg.sources(edges).withColumnRenamed("activity", "v"), "v", "left_semi")
     return spread.as_clusters(named)
@@ -172,7 +168,7 @@ def lpa_window(spark, d):
 
 
 def _daily_clusters(spark, d):
-    edges = materialize(dfg.daily_transitions(events_log(spark, d)), "dfg")
+    edges = dfg.daily_transitions(events_log(spark, d))
     return spread.as_clusters(spread.majority_label(dfg.endpoints(edges), edges))
 
 
@@ -198,14 +194,14 @@ def min_label_communities(spark, d):
 
 def flow_score(spark, d):
     _, nodes, edges = _global(spark, d)
-    return spread.flow_score(nodes, _totals(edges)).select(
+    return spread.flow_score(nodes, dfg.with_totals(edges)).select(
         F.col("v").alias("activity"), F.round("score", 6).alias("score")
     )
 
 
 def flow_groups(spark, d):
     _, nodes, edges = _global(spark, d)
-    groups = spread.flow_groups(spread.flow_score(nodes, _totals(edges)))
+    groups = spread.flow_groups(spread.flow_score(nodes, dfg.with_totals(edges)))
     return groups.groupBy("score").agg(F.concat_ws(",", F.array_sort(F.collect_set("activity"))).alias("activities"))
 
 
@@ -218,7 +214,7 @@ def greedy_merge(spark, d):
 
 
 def greedy_merge_neighbourhood(spark, d):
-    pairs = materialize(dfg.neighbourhood_pairs(events_log(spark, d)), "pairs")
+    pairs = dfg.neighbourhood_pairs(events_log(spark, d))
     return merge.greedy_merge(pairs, merge.NEIGHBOURHOOD_CAP)
 
 
@@ -264,7 +260,7 @@ def aggregated_clusters(spark, d):
 
 def _walk_pairs(spark, d, count, length):
     _, nodes, edges = _global(spark, d)
-    return nodes, walks.walk_cooccurrence(nodes, _totals(edges), count, length, SEED)
+    return nodes, walks.walk_cooccurrence(nodes, dfg.with_totals(edges), count, length, SEED)
 
 
 def walk_cooccurrence(spark, d):
@@ -292,7 +288,7 @@ def walk_threshold_sweep(spark, d):
 def _predicted(spark, d) -> tuple[DataFrame, DataFrame]:
     """Edges of the scored result sets: components and two levels of the threshold sweep."""
     log, nodes, edges = _global(spark, d)
-    swept = consensus.threshold_communities(nodes, _totals(edges))
+    swept = consensus.threshold_communities(nodes, dfg.with_totals(edges))
     sets = [comp.components(nodes, dfg.frequent(edges)).select(F.lit(SCORED[0]).alias("name"), "label", "v")]
     for tid, name in ((1, SCORED[1]), (2, SCORED[2])):
         sets.append(swept.where(F.col("tid") == tid).select(F.lit(name).alias("name"), "label", "v"))

@@ -34,7 +34,7 @@ def read_cluster_edges(spark: SparkSession, path: str) -> DataFrame:
         .where(F.instr("value", ":") > 0)
     )
     parts = F.split("value", ":", 2)
-    members = F.transform(F.split(parts[1], ","), F.trim)
+    members = F.transform(F.split(parts[1], ","), lambda m: F.trim(m))
     size = F.size("members")
     return (
         lines.select("name", "line", F.trim(parts[0]).alias("cluster_id"), members.alias("members"))
