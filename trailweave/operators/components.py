@@ -27,15 +27,14 @@ def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = ())
     spread = Spread(forth.union(back).union(own).distinct(), keys)
 
     def step(state: DataFrame) -> DataFrame:
-        before = F.max(F.when(F.col("src") == F.col("dst"), F.col("label")))
         nearest = (
             spread.along(state)
-            .groupBy(*keys, F.col("dst").alias("v"))
-            .agg(F.min("label").alias("label"), before.alias("before"))
+            .groupBy(*keys, "dst")
+            .agg(F.expr("min(label) AS label"), F.expr("max(if(src = dst, label, null)) AS before"))
         )
-        lookup = state.select(*keys, F.col("v").alias("label"), F.col("label").alias("jump"))
-        return nearest.join(lookup, [*keys, "label"]).select(
-            *keys, "v", F.col("jump").alias("label"), (F.col("jump") != F.col("before")).alias("changed")
+        lookup = state.selectExpr(*keys, "v AS label", "label AS jump")
+        return nearest.join(lookup, [*keys, "label"]).selectExpr(
+            *keys, "dst AS v", "jump AS label", "jump <> before AS changed"
         )
 
     return run_rounds(start_labels(vertices, keys), step, None, "components", per_write=2)
@@ -72,7 +71,7 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         # Backwards: the vertex that names the colour starts with "0", all others with "1".
         marks = colour.select("v", F.when(F.col("v") == F.col("label"), "0").otherwise("1").alias("label"))
         reach = min_label(busy, within, rounds=None, initial=marks)
-        hit = materialize(colour.join(reach.where(F.col("label") == "0").select("v"), "v"), "scc-hit")
+        hit = colour.join(reach.where(F.col("label") == "0").select("v"), "v")
         found.append(hit)
         left = busy.join(hit.select(F.col("v").alias("activity")), "activity", "left_anti")
         links = _among(inner, left)
@@ -142,10 +141,8 @@ def max_spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _jump(state: DataFrame) -> DataFrame:
     """Replace every pointer by the pointer of its target."""
-    target = state.select(F.col("v").alias("label"), F.col("label").alias("next"))
-    return state.join(target, "label").select(
-        "v", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("changed")
-    )
+    target = state.selectExpr("v AS label", "label AS next")
+    return state.join(target, "label").selectExpr("v", "next AS label", "next <> label AS changed")
 
 
 def component_counts(vertices: DataFrame, forest: DataFrame, top: int = 100) -> DataFrame:

@@ -19,6 +19,27 @@ SUCCESSOR_CAP = 4
 NEIGHBOURHOOD_CAP = 6
 
 
+# One round over live(ca, cb, na, nb, pair): clusters, their sizes, and the queue key of the
+# pair.  ``renamed`` leads both old names of a merged cluster to the smaller one.
+_ROUND = """
+WITH best AS (
+  SELECT c, min(side) AS side
+  FROM (SELECT explode(array(ca, cb)) AS c, struct(pair, ca, cb, na + nb AS size) AS side FROM {live})
+  GROUP BY c),
+mutual AS (SELECT side.* FROM best GROUP BY side HAVING count(*) = 2),
+renamed AS (SELECT explode(array(ca, cb)) AS c, ca AS to, size FROM mutual),
+moved AS (
+  SELECT coalesce(x.to, l.ca) AS ca, coalesce(y.to, l.cb) AS cb,
+         coalesce(x.size, l.na) AS na, coalesce(y.size, l.nb) AS nb, l.pair
+  FROM {live} l LEFT JOIN renamed x ON l.ca = x.c LEFT JOIN renamed y ON l.cb = y.c)
+SELECT least(ca, cb) AS ca, greatest(ca, cb) AS cb,
+       if(ca < cb, na, nb) AS na, if(ca < cb, nb, na) AS nb, pair
+FROM moved WHERE ca <> cb AND na + nb <= {cap}
+UNION ALL
+SELECT ca, cb, 0 AS na, 0 AS nb, pair FROM mutual
+"""
+
+
 def merge_steps(edges: DataFrame, cap: int, min_count: int = MIN_COUNT) -> tuple[DataFrame, int]:
     """All merges of the unlimited run: ``(ord, src, dst)`` in queue order, and their number.
 
@@ -37,43 +58,16 @@ def merge_steps(edges: DataFrame, cap: int, min_count: int = MIN_COUNT) -> tuple
         .where(F.col("na") + F.col("nb") <= cap)
     )
     live, measured = materialize_measured(live, "merge-live", n=F.count("*"))
+    spark = edges.sparkSession
     steps, total = [], 0
     while measured["n"]:
-        size = F.col("na") + F.col("nb")
-        side = F.struct("pair", "ca", "cb", size.alias("size"))
-        best = live.select(F.explode(F.array("ca", "cb")).alias("c"), side.alias("best"))
-        mutual = (
-            best.groupBy("c").agg(F.min("best").alias("best"))
-            .groupBy("best").agg(F.count("*").alias("sides"))
-            .where(F.col("sides") == 2).select("best.*")
-        )
-        # Both old names of a merged cluster lead to the smaller one.
-        renamed = mutual.select(F.explode(F.array("ca", "cb")).alias("c"), F.col("ca").alias("to"), "size")
-        at_a = renamed.select(F.col("c").alias("ca"), F.col("to").alias("ta"), F.col("size").alias("sa"))
-        at_b = renamed.select(F.col("c").alias("cb"), F.col("to").alias("tb"), F.col("size").alias("sb"))
-        moved = (
-            live.join(at_a, "ca", "left").join(at_b, "cb", "left")
-            .select(
-                F.coalesce("ta", "ca").alias("ca"), F.coalesce("tb", "cb").alias("cb"),
-                F.coalesce("sa", "na").alias("na"), F.coalesce("sb", "nb").alias("nb"), "pair",
-            )
-            .where((F.col("ca") != F.col("cb")) & (size <= cap))
-        )
-        # Parallel pairs between two clusters: only the first in the queue can merge them.
-        low = F.least(F.struct("ca", "na"), F.struct(F.col("cb").alias("ca"), F.col("nb").alias("na")))
-        high = F.greatest(F.struct("ca", "na"), F.struct(F.col("cb").alias("ca"), F.col("nb").alias("na")))
-        after = (
-            moved.groupBy(low.alias("low"), high.alias("high")).agg(F.min("pair").alias("pair"))
-            .select("low.ca", F.col("high.ca").alias("cb"), "low.na", F.col("high.na").alias("nb"), "pair")
-        )
-        # One pass writes the merges of this round and the pairs left for the next.
-        done = mutual.select("ca", "cb", F.lit(0).alias("na"), F.lit(0).alias("nb"), "pair")
+        # One pass writes the merges of this round (size 0) and the pairs left for the next.
         table, measured = materialize_measured(
-            after.union(done), "merge-round",
-            n=F.sum((F.col("na") > 0).cast("long")), merged=F.sum((F.col("na") == 0).cast("long")),
+            spark.sql(_ROUND, live=live, cap=cap), "merge-round",
+            n=F.expr("count_if(na > 0)"), merged=F.expr("count_if(na = 0)"),
         )
-        live = table.where(F.col("na") > 0)
-        steps.append(table.where(F.col("na") == 0).select("pair.ord", "pair.src", "pair.dst"))
+        live = table.where("na > 0")
+        steps.append(table.where("na = 0").selectExpr("pair.ord", "pair.src", "pair.dst"))
         total += measured["merged"]
     if not steps:
         return live.select("pair.ord", "pair.src", "pair.dst"), 0

@@ -119,12 +119,11 @@ def min_label(
     spread = Spread(edges.select(*keys, "src", "dst").union(own).distinct(), keys)
 
     def step(state: DataFrame) -> DataFrame:
-        before = F.max(F.when(F.col("src") == F.col("dst"), F.col("label")))
         return (
             spread.along(state)
-            .groupBy(*keys, F.col("dst").alias("v"))
-            .agg(F.min("label").alias("label"), before.alias("before"))
-            .select(*keys, "v", "label", (F.col("label") != F.col("before")).alias("changed"))
+            .groupBy(*keys, "dst")
+            .agg(F.expr("min(label) AS label"), F.expr("max(if(src = dst, label, null)) AS before"))
+            .selectExpr(*keys, "dst AS v", "label", "label <> before AS changed")
         )
 
     return run_rounds(start_labels(vertices, keys) if initial is None else initial, step, rounds, "labels")
@@ -150,14 +149,16 @@ def majority_label(
     def step(state: DataFrame) -> DataFrame:
         tally = (
             spread.along(state)
-            .groupBy(F.col("dst").alias("v"), "label")
-            .agg(F.sum("votes").alias("votes"), F.max("own").alias("own"))
+            .groupBy("dst", "label")
+            .agg(F.expr("sum(votes) AS votes"), F.expr("max(own) AS own"))
         )
-        best = F.min(F.struct((-F.col("votes")).alias("rank"), "label"))
         return (
-            tally.groupBy("v")
-            .agg(best.alias("best"), F.max(F.when(F.col("own"), F.col("label"))).alias("before"))
-            .select("v", F.col("best.label").alias("label"), (F.col("best.label") != F.col("before")).alias("changed"))
+            tally.groupBy("dst")
+            .agg(
+                F.expr("min(struct(-votes AS rank, label)).label AS label"),
+                F.expr("max(if(own, label, null)) AS before"),
+            )
+            .selectExpr("dst AS v", "label", "label <> before AS changed")
         )
 
     return run_rounds(start_labels(vertices), step, rounds, "votes")
@@ -179,9 +180,9 @@ def flow_score(vertices: DataFrame, edges: DataFrame, rounds: int = FLOW_ROUNDS,
     def step(state: DataFrame) -> DataFrame:
         return (
             spread.along(state)
-            .groupBy(F.col("dst").alias("v"))
-            .agg(F.sum(F.col("w") * F.col("score")).alias("score"))
-            .withColumn("changed", F.lit(True))
+            .groupBy("dst")
+            .agg(F.expr("sum(w * score) AS score"))
+            .selectExpr("dst AS v", "score", "true AS changed")
         )
 
     start = vertices.select(F.col("activity").alias("v"), F.lit(1.0).alias("score"))
