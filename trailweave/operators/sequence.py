@@ -96,16 +96,14 @@ def _stitched(counted: DataFrame, offsets: Sequence[int], within: Sequence[str],
     def near(name: str, offset: int) -> Column:
         return F.lead(name, offset).over(ordered) if offset > 0 else F.lag(name, -offset).over(ordered)
 
-    across = edge.select(
-        "slice",
-        "grp",
-        "src",
-        F.explode(
-            F.array(
-                *[F.struct(near("slice", o).alias("slice"), near("grp", o).alias("grp"), near("src", o).alias("dst")) for o in offsets]
-            )
-        ).alias("other"),
-    ).where((F.col("slice") != F.col("other.slice")) & (F.col("grp") == F.col("other.grp")))
+    others = F.array(
+        *[F.struct(near("slice", o).alias("slice"), near("grp", o).alias("grp"), near("src", o).alias("dst")) for o in offsets]
+    )
+    across = (
+        edge.select("slice", "grp", "src", others.alias("others"))
+        .select("slice", "grp", "src", F.explode("others").alias("other"))
+        .where((F.col("slice") != F.col("other.slice")) & (F.col("grp") == F.col("other.grp")))
+    )
     across = across.select(kept.alias("grp"), "src", F.col("other.dst").alias("dst"), F.lit(1).cast("long").alias("cnt"))
     inside = counted.where(F.col("slice").isNull()).select("grp", "src", "dst", "cnt")
     return inside.union(across).groupBy("grp", "src", "dst").agg(F.sum("cnt").alias("cnt"))
