@@ -1,9 +1,9 @@
 """Ordered pairs of activities inside fixed time windows, with time decay.
 
-The pairs of a window are never listed.  An event time is refined step by step: second
-in the window, millisecond in the second, microsecond, and, for events of the same
-instant, blocks of event ids and single ids.  At each level events are first reduced to
-cells (group, step, activity); a pair of events is counted at the level where their
+Only groups of a few events are paired directly.  Larger ones are refined step by step:
+second in the window, millisecond in the second, microsecond, and, for events of the same
+instant, blocks of event ids and single ids.  At each level the events are first reduced
+to cells (group, step, activity); a pair of events is counted at the level where their
 steps first differ, as
 
     sum over cells of ``b`` of (what ``a`` gathered at earlier steps of the group) * cell
@@ -17,6 +17,7 @@ square of the events.  Decay weights factor the same way, because
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,14 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailweave.functions.keys import epoch_micros
-from trailweave.workspace import materialize
+from trailweave.workspace import materialize, materialize_measured
 
 # Window length, decay per second and least weight of the program.
 WINDOW_SECONDS = 600
 DECAY = 0.001
 MIN_WEIGHT = 0.01
 
-ID_BLOCK_BITS = (20, 10)
+# Groups of up to this many events are paired directly.
+DIRECT = 64
 
 
 def _pairs_of_level(events: DataFrame, group: list[str], step: Column, second: Column | None, decay: float) -> DataFrame:
@@ -44,12 +46,7 @@ def _pairs_of_level(events: DataFrame, group: list[str], step: Column, second: C
         ]
     else:
         amounts += [F.count("*").cast("double").alias("grow"), F.count("*").cast("double").alias("fade")]
-    cells = events.groupBy(*group, step.alias("step"), "activity").agg(*amounts)
-    spread = (
-        cells.groupBy(*group).agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
-        .where(F.col("lo") < F.col("hi")).drop("lo", "hi")
-    )
-    cells = cells.join(spread, group)
+    cells = materialize(events.groupBy(*group, step.alias("step"), "activity").agg(*amounts), "window-cells")
     steps = cells.select(*group, "step").distinct()
     actors = cells.groupBy(*group, "activity").agg(F.min("step").alias("first"))
     earlier = W.partitionBy(*group, "activity").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
@@ -81,28 +78,37 @@ def window_pairs(log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = D
     """
     us = epoch_micros(F.col("ts"))
     events = log.where(F.col("ts").isNotNull()).select(
-        F.floor(us / F.lit(seconds * 1_000_000)).alias("win"),
-        F.floor(us / F.lit(1_000_000)).alias("sec"),
-        us.alias("us"),
-        "event_id",
-        "activity",
+        F.floor(us / F.lit(seconds * 1_000_000)).alias("win"), us.alias("us"), "event_id", "activity"
     )
-    second = F.col("sec") - F.col("win") * seconds
-    parts = [_pairs_of_level(events, ["win"], F.col("sec"), second, decay)]
-    # Only seconds with several events have pairs left to count.
-    ties = materialize(_crowded(events, ["win", "sec"]), "window-seconds")
-    if not ties.isEmpty():
-        ms = F.floor(F.col("us") / F.lit(1000))
-        parts.append(_pairs_of_level(ties, ["win", "sec"], ms, None, decay))
-        parts.append(_pairs_of_level(ties.withColumn("ms", ms), ["win", "sec", "ms"], F.col("us"), None, decay))
-        ties = materialize(_crowded(ties, ["win", "us"]), "window-instants")
-    if not ties.isEmpty():
-        group = ["win", "us"]
-        for bits in ID_BLOCK_BITS:
-            parts.append(_pairs_of_level(ties, group, F.shiftright("event_id", bits), None, decay))
-            ties = ties.withColumn(f"block{bits}", F.shiftright("event_id", bits))
-            group = [*group, f"block{bits}"]
-        parts.append(_pairs_of_level(ties, group, F.col("event_id"), None, decay))
+    second = F.floor(F.col("us") / F.lit(1_000_000))
+    levels = {
+        "sec": second,
+        "ms": F.floor(F.col("us") / F.lit(1_000)),
+        "us": F.col("us"),
+        "block20": F.shiftright("event_id", 20),
+        "block10": F.shiftright("event_id", 10),
+        "event_id": F.col("event_id"),
+    }
+    group, parts = ["win"], []
+    for name, step in levels.items():
+        crowd, measured = materialize_measured(
+            events.groupBy(*group).agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1),
+            "window-crowds",
+            small=F.expr(f"count_if(crowd <= {DIRECT})"),
+            large=F.expr(f"count_if(crowd > {DIRECT})"),
+        )
+        if measured["small"]:
+            few = crowd.where(F.col("crowd") <= DIRECT).drop("crowd")
+            parts.append(_direct_pairs(events.join(few, group), group, second, decay))
+        if not measured["large"]:
+            break
+        many = crowd.where(F.col("crowd") > DIRECT).drop("crowd")
+        events = materialize(events.join(many, group).withColumn(name, step), "window-events")
+        offset = step - F.col("win") * seconds if name == "sec" else None
+        parts.append(_pairs_of_level(events, group, F.col(name), offset, decay))
+        group = [*group, name]
+    if not parts:
+        return log.selectExpr("activity AS src", "activity AS dst", "0L AS cnt", "0D AS weight").limit(0)
     return (
         reduce(DataFrame.union, parts)
         .groupBy("src", "dst")
@@ -110,9 +116,18 @@ def window_pairs(log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = D
     )
 
 
-def _crowded(events: DataFrame, group: list[str]) -> DataFrame:
-    crowd = events.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    return events.join(crowd, group)
+def _direct_pairs(events: DataFrame, group: list[str], second: Column, decay: float) -> DataFrame:
+    """Pairs of groups of at most ``DIRECT`` events, joined on the group."""
+    events = events.select(*group, F.struct("us", "event_id").alias("at"), second.alias("s"), "activity")
+    first = events.select(*group, F.col("at").alias("at1"), F.col("s").alias("s1"), F.col("activity").alias("src"))
+    later = events.select(*group, F.col("at").alias("at2"), F.col("s").alias("s2"), F.col("activity").alias("dst"))
+    weight = F.exp(F.lit(-decay) * (F.col("s2") - F.col("s1")))
+    return (
+        first.join(later, group)
+        .where(F.col("at1") < F.col("at2"))
+        .groupBy("src", "dst")
+        .agg(F.count("*").alias("cnt"), F.sum(weight).alias("weight"))
+    )
 
 
 def lasting(pairs: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float = MIN_WEIGHT) -> DataFrame:
@@ -121,8 +136,6 @@ def lasting(pairs: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECA
     The smallest weight a window allows is ``exp(-decay * seconds)``.  Where that is
     above ``least``, as with the fixed values, no pair can fall below it.
     """
-    import math
-
     if math.exp(-decay * seconds) <= least:
         raise ValueError("pairs of this window can fall below the least weight; shorten the window")
     return pairs
