@@ -12,7 +12,6 @@ from pyspark.sql import SparkSession
 
 from trailweave.plans.programs import PROGRAMS, score
 from trailweave.sources.logs import CSV_TIMESTAMP_FORMAT, read_log
-from trailweave.workspace import materialize
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -24,8 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--timestamp-format", default=CSV_TIMESTAMP_FORMAT, help="'' for the default pattern")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("trailweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    # Row positions in the file are fixed once, before anything is shuffled.
-    log = materialize(read_log(spark, args.log, args.timestamp_format or None), "log")
+    log = read_log(spark, args.log, args.timestamp_format or None)
     if args.program == "score":
         if not args.results:
             parser.error("score needs --results")

@@ -9,7 +9,7 @@ from trailweave.operators.components import components
 from trailweave.operators.dfg import PROBABILITY_STEPS
 from trailweave.operators.sequence import running_total
 from trailweave.operators.spread import LABEL_ROUNDS, min_label
-from trailweave.workspace import materialize
+from trailweave.workspace import materialize, materialize_measured
 
 # Smallest and largest cluster left as it is, and the size of a chunk.
 REFINE_MIN = 2
@@ -116,19 +116,65 @@ def consensus_pairs(communities: DataFrame, steps: int = PROBABILITY_STEPS) -> D
 def consensus_clusters(communities: DataFrame, steps: int = PROBABILITY_STEPS) -> DataFrame:
     """Unite consensus pairs: ``(cluster_id, activity)``; unpaired activities are left out.
 
-    Members of one kind hang on its smallest member instead of on each other, so the
-    work is linear in the number of activities.
+    Members of one kind hang on its smallest member, and kinds with a common run of list
+    entries on the first of them, instead of on each other.  Only kinds that are still
+    apart after that are compared, community by community.
     """
     need = majority_times(steps)
     shared = SharedCommunities(communities)
+    kinds = shared.kinds.where(F.col("times") >= need)
     star = shared.members.where((F.col("times") >= need) & (F.col("v") != F.col("kind"))).select(
         F.col("v").alias("src"), F.col("kind").alias("dst")
     )
-    links = materialize(star.union(shared.kind_pairs(need).select("k1", "k2")), "consensus-links")
+    near = materialize(_run_links(kinds, need), "consensus-runs")
+    groups = components(kinds.select(F.col("kind").alias("activity")), near)
+    links = star.union(near)
+    places, measured = materialize_measured(_contested_places(kinds, groups), "consensus-places", n=F.count("*"))
+    if measured["n"]:
+        links = links.union(_links_between_groups(places, need))
+    links = materialize(links, "consensus-links")
     nodes = links.select(F.col("src").alias("activity")).union(links.select("dst")).distinct()
     return components(nodes, links).select(F.col("label").alias("cluster_id"), F.col("v").alias("activity"))
 
 
+def _run_links(kinds: DataFrame, need: int) -> DataFrame:
+    """Link kinds that have ``need`` consecutive list entries in common, each to the first.
+
+    Such kinds qualify pairwise.  This covers what a community that lasts over many
+    thresholds holds together, in rows linear in the number of kinds.
+    """
+    starts = F.sequence(F.lit(1), F.col("times") - (need - 1))
+    runs = kinds.select("kind", F.explode(F.transform(starts, lambda i: F.slice("places", i, F.lit(need)))).alias("run"))
+    heads = runs.groupBy("run").agg(F.min("kind").alias("head"))
+    return (
+        runs.join(heads, "run").where(F.col("kind") != F.col("head"))
+        .select(F.col("kind").alias("src"), F.col("head").alias("dst")).distinct()
+    )
+
+
+def _contested_places(kinds: DataFrame, groups: DataFrame) -> DataFrame:
+    """Communities whose kinds are not linked yet, with the group of each kind."""
+    grouped = groups.select(F.col("v").alias("kind"), F.col("label").alias("grp"))
+    places = kinds.select("kind", F.explode("places").alias("place")).join(grouped, "kind")
+    contested = (
+        places.groupBy("place").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+        .where(F.col("lo") < F.col("hi")).select("place")
+    )
+    return places.join(contested, "place")
+
+
+def _links_between_groups(places: DataFrame, need: int) -> DataFrame:
+    left = places.select(F.col("kind").alias("src"), F.col("grp").alias("g1"), "place")
+    right = places.select(F.col("kind").alias("dst"), F.col("grp").alias("g2"), "place")
+    return (
+        left.join(right, "place")
+        .where(F.col("g1") < F.col("g2"))
+        .groupBy("src", "dst").agg(F.count("*").alias("times"))
+        .where(F.col("times") >= need)
+        .select("src", "dst")
+    )
+
+
 def membership_strength(communities: DataFrame) -> DataFrame:
     """At how many thresholds an activity bears a label: ``(activity, cluster_id, strength)``."""
     return communities.groupBy(F.col("v").alias("activity"), F.col("label").alias("cluster_id")).agg(
