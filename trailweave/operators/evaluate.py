@@ -7,13 +7,11 @@ are scored together, told apart by ``name``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.operators.sequence import TIME_ORDER, pair_counts, running_total
-from trailweave.workspace import materialize
+from trailweave.workspace import TableSeries, materialize, materialize_measured
 
 # Fixed value: label of an edge that one side does not have.
 MISSING = "-1"
@@ -136,6 +134,16 @@ def label_contingency(truth: DataFrame, predicted: DataFrame, names: Sequence[st
     return seen.union(unmet.where(F.col("n") > 0))
 
 
+# Pairs of labels that are the best one left for both.
+_BEST_PAIRS = """
+WITH sides AS (
+  SELECT name, min(struct(-n AS ord, predicted, truth)) AS best FROM {live} GROUP BY name, predicted
+  UNION ALL
+  SELECT name, min(struct(-n AS ord, predicted, truth)) AS best FROM {live} GROUP BY name, truth)
+SELECT name, best.predicted, best.truth FROM sides GROUP BY name, best HAVING count(*) = 2
+"""
+
+
 def label_mapping(contingency: DataFrame) -> DataFrame:
     """One-to-one mapping of predicted to truth labels: ``(name, predicted, truth)``.
 
@@ -145,30 +153,17 @@ def label_mapping(contingency: DataFrame) -> DataFrame:
     total overlap.  Labels left over without overlap are paired in name order.
     """
     overlap = contingency.where((F.col("truth") != MISSING) & (F.col("predicted") != MISSING))
-    live = materialize(overlap, "mapping-live")
-    labels = [
-        materialize(live.select("name", side).union(
-            contingency.where(F.col(side) != MISSING).select("name", side)
-        ).distinct(), f"mapping-{side}")
-        for side in ("predicted", "truth")
-    ]
-    taken = []
-    while not live.isEmpty():
-        rank = F.struct((-F.col("n")).alias("ord"), "predicted", "truth")
-        sides = [live.groupBy("name", side).agg(F.min(rank).alias("best")) for side in ("predicted", "truth")]
-        mutual = (
-            sides[0].select("name", "best").union(sides[1].select("name", "best"))
-            .groupBy("name", "best").agg(F.count("*").alias("sides")).where(F.col("sides") == 2)
-            .select("name", "best.predicted", "best.truth")
-        )
-        mutual = materialize(mutual, "mapping-step")
-        taken.append(mutual)
-        live = materialize(
-            live.join(mutual.select("name", "predicted"), ["name", "predicted"], "left_anti")
-            .join(mutual.select("name", "truth"), ["name", "truth"], "left_anti"),
-            "mapping-live",
+    live, measured = materialize_measured(overlap, "mapping-live", n=F.count("*"))
+    steps, taken = TableSeries(live.sparkSession, "mapping-rounds"), 0
+    while measured["n"]:
+        mutual, found = steps.add(live.sparkSession.sql(_BEST_PAIRS, live=live), n=F.count("*"))
+        taken += found["n"]
+        left = live.join(mutual.select("name", "predicted"), ["name", "predicted"], "left_anti").join(
+            mutual.select("name", "truth"), ["name", "truth"], "left_anti"
         )
-    done = reduce(DataFrame.union, taken) if taken else live.select("name", "predicted", "truth")
+        live, measured = materialize_measured(left, "mapping-live", n=F.count("*"))
+    done = steps.all() if taken else live.select("name", "predicted", "truth")
+    labels = [contingency.where(F.col(side) != MISSING).select("name", side).distinct() for side in ("predicted", "truth")]
     rest = [
         running_total(
             labels[k].join(done.select("name", side), ["name", side], "left_anti"),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.operators.components import components
 from trailweave.operators.dfg import endpoints
 from trailweave.operators.sequence import running_total
-from trailweave.workspace import materialize, materialize_measured
+from trailweave.workspace import TableSeries, materialize, materialize_measured
 
 # Clusters to stop at, smallest count that merges, caps of the two programs.
 STOP_AT = 15
@@ -20,7 +18,8 @@ NEIGHBOURHOOD_CAP = 6
 
 
 # One round over live(ca, cb, na, nb, pair): clusters, their sizes, and the queue key of the
-# pair.  ``renamed`` leads both old names of a merged cluster to the smaller one.
+# pair.  ``renamed`` leads both old names of a merged cluster to the smaller one.  The
+# merges of the round come out as rows of size 0.
 _ROUND = """
 WITH best AS (
   SELECT c, min(side) AS side
@@ -57,21 +56,16 @@ def merge_steps(edges: DataFrame, cap: int, min_count: int = MIN_COUNT) -> tuple
         .select("ca", "cb", F.lit(1).alias("na"), F.lit(1).alias("nb"), "pair")
         .where(F.col("na") + F.col("nb") <= cap)
     )
-    live, measured = materialize_measured(live, "merge-live", n=F.count("*"))
-    spark = edges.sparkSession
-    steps, total = [], 0
-    while measured["n"]:
-        # One pass writes the merges of this round (size 0) and the pairs left for the next.
-        table, measured = materialize_measured(
-            spark.sql(_ROUND, live=live, cap=cap), "merge-round",
-            n=F.expr("count_if(na > 0)"), merged=F.expr("count_if(na = 0)"),
-        )
-        live = table.where("na > 0")
-        steps.append(table.where("na = 0").selectExpr("pair.ord", "pair.src", "pair.dst"))
+    live_rows, merged_rows = F.expr("count_if(na > 0)"), F.expr("count_if(na = 0)")
+    table, measured = materialize_measured(live, "merge-live", live=live_rows)
+    steps, total = TableSeries(edges.sparkSession, "merge-rounds"), 0
+    while measured["live"]:
+        # One pass writes the merges of this round and the pairs left for the next.
+        after = edges.sparkSession.sql(_ROUND, live=table.where("na > 0"), cap=cap)
+        table, measured = steps.add(after, live=live_rows, merged=merged_rows)
         total += measured["merged"]
-    if not steps:
-        return live.select("pair.ord", "pair.src", "pair.dst"), 0
-    return reduce(DataFrame.union, steps), total
+    done = steps.all().where("na = 0") if total else table.where("na = 0")
+    return done.selectExpr("pair.ord", "pair.src", "pair.dst"), total
 
 
 def greedy_merge(

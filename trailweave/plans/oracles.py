@@ -11,6 +11,8 @@ LOG = """log AS (
          event_type || '_' || CAST(CAST(floor(log2(value + 1)) AS BIGINT) AS VARCHAR) AS activity,
          event_type AS cluster
   FROM events)"""
+FINE_LOG = """log AS (
+  SELECT event_id, ts, event_type || '_' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS activity FROM events)"""
 NODES = "nodes AS (SELECT DISTINCT activity FROM log)"
 FREQ = "freq AS (SELECT activity, count(*) AS freq FROM log GROUP BY activity)"
 
@@ -293,6 +295,7 @@ SHARED = """together AS MATERIALIZED (
   SELECT x.v AS a, y.v AS b, 2 * count(*) AS cnt FROM swept x JOIN swept y ON x.tid = y.tid AND x.label = y.label AND x.v < y.v
   GROUP BY ALL HAVING 2 * count(*) > 10)"""
 SIMPLE_SWEEP = f"{BASE},\n{SWEEP}"
+FINE_SWEEP = f"{FINE_LOG},\n{NODES},\n{DFG},\n{SWEEP}"
 
 ORACLES: dict[str, str] = {
     "event_log": _with(LOG) + "SELECT * FROM log",
@@ -367,9 +370,9 @@ FROM comp JOIN freq ON freq.activity = comp.v GROUP BY label""",
     "threshold_communities": _with(SIMPLE_SWEEP) + "SELECT tid, label AS cluster_id, v AS activity FROM swept",
     "threshold_clusters_nested": _with(SIMPLE_SWEEP) + """SELECT round(tid / 20, 4) AS threshold, label AS community,
   string_agg(v, ',' ORDER BY v) AS members FROM swept GROUP BY tid, label""",
-    "consensus_pairs": _with(SIMPLE_SWEEP, SHARED) + "SELECT * FROM together",
+    "consensus_pairs": _with(FINE_SWEEP, SHARED) + "SELECT * FROM together",
     "consensus_clusters": _with(
-        SIMPLE_SWEEP, SHARED, "paired AS (SELECT a AS src, b AS dst FROM together)", _ends("paired"),
+        FINE_SWEEP, SHARED, "paired AS (SELECT a AS src, b AS dst FROM together)", _ends("paired"),
         _components("ends", "paired"), recursive=True,
     ) + "SELECT label AS cluster_id, v AS activity FROM comp",
     "membership_strength": _with(SIMPLE_SWEEP)
@@ -379,9 +382,9 @@ FROM comp JOIN freq ON freq.activity = comp.v GROUP BY label""",
     ) + """SELECT CAST(range AS INTEGER) AS min_strength, label AS cluster_id, v AS activity
 FROM range(0, 21) JOIN strengths ON strength >= range WHERE range <= (SELECT max(strength) FROM strengths)""",
     "aggregated_clusters": _with(
-        SIMPLE_SWEEP,
+        FINE_SWEEP,
         """sharing AS MATERIALIZED (
-  SELECT DISTINCT x.v AS src, y.v AS dst FROM swept x JOIN swept y ON x.tid = y.tid AND x.label = y.label WHERE x.tid >= 2)""",
+  SELECT DISTINCT x.v AS src, y.v AS dst FROM swept x JOIN swept y ON x.tid = y.tid AND x.label = y.label WHERE x.tid >= 7)""",
         _components("nodes", "sharing"), recursive=True,
     ) + "SELECT label AS cluster_id, v AS activity FROM comp",
     "walk_cooccurrence": _with(BASE, _walks(100, 2)) + "SELECT * FROM met",

@@ -17,7 +17,7 @@ from trailweave.operators import consensus, dfg, evaluate, merge, spread, walks,
 from trailweave.operators.sequence import pair_counts, running_total
 from trailweave.sinks import clusters as sinks
 from trailweave.sources import clusters as files
-from trailweave.sources.logs import LINE_ORDER, dialogue_log, events_log, orders_log
+from trailweave.sources.logs import LINE_ORDER, dialogue_log, events_log, fine_events_log, orders_log
 from trailweave.workspace import fresh_path, materialize
 
 SEED = 7
@@ -36,8 +36,10 @@ def _communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes, consensus.threshold_communities(nodes, dfg.with_totals(edges))
 
 
-def _sorted_clusters(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("label").alias("cluster_id"), F.col("v").alias("activity"))
+def _fine_communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sweep over fine-grained activities, many of which are rare and strongly tied."""
+    nodes, edges = dfg.global_graph(fine_events_log(spark, d))
+    return nodes, consensus.threshold_communities(nodes, dfg.with_totals(edges))
 
 
 # --- sources, projections, transitions ---------------------------------------------
@@ -99,7 +101,7 @@ def frequent_transitions(spark, d):
 
 def strong_transitions(spark, d):
     _, _, edges = _global(spark, d)
-    return dfg.strong(dfg.withdfg.with_totals(edges), 1)
+    return dfg.strong(dfg.with_totals(edges), 1)
 
 
 def log_weights(spark, d):
@@ -231,12 +233,12 @@ def threshold_clusters_nested(spark, d):
 
 
 def consensus_pairs(spark, d):
-    _, communities = _communities(spark, d)
+    _, communities = _fine_communities(spark, d)
     return consensus.consensus_pairs(communities)
 
 
 def consensus_clusters(spark, d):
-    _, communities = _communities(spark, d)
+    _, communities = _fine_communities(spark, d)
     return consensus.consensus_clusters(communities)
 
 
@@ -251,8 +253,8 @@ def overlapping_clusters(spark, d):
 
 
 def aggregated_clusters(spark, d):
-    nodes, communities = _communities(spark, d)
-    return consensus.aggregated_clusters(nodes, communities, min_tid=2)
+    nodes, communities = _fine_communities(spark, d)
+    return consensus.aggregated_clusters(nodes, communities, min_tid=7)
 
 
 # --- walks --------------------------------------------------------------------------

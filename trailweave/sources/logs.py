@@ -48,18 +48,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a log: activity = event type and the magnitude of its value."""
-    magnitude = F.floor(F.log2(F.col("value") + 1)).cast("string")
+def _events(spark: SparkSession, sf_dir: str, grade: Column) -> DataFrame:
     return read_table(spark, sf_dir, "events").select(
         "event_id",
         F.col("user_id").cast("string").alias("case_id"),
         "ts",
-        F.concat_ws("_", F.col("event_type"), magnitude).alias("activity"),
+        F.concat_ws("_", F.col("event_type"), grade.cast("string")).alias("activity"),
         F.col("event_type").alias("cluster"),
     )
 
 
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a log: activity = event type and the magnitude of its value."""
+    return _events(spark, sf_dir, F.floor(F.log2(F.col("value") + 1)))
+
+
+def fine_events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with the whole value in the activity: many activities, many of them rare."""
+    return _events(spark, sf_dir, F.floor("value"))
+
+
 # Total order of the lines of an order; order and line number alone repeat.
 LINE_ORDER = ("ts", "l_linenumber", "l_partkey", "l_suppkey")
 

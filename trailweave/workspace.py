@@ -33,15 +33,35 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/trailweave/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
-    path = fresh_path(df.sparkSession, label)
+    path = path or fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+def materialize_measured(
+    df: DataFrame, label: str, path: str | None = None, **measures: Column
+) -> tuple[DataFrame, dict]:
     """Like ``materialize``; the aggregates in ``measures`` come from the same pass."""
     observation = Observation(f"{label}-{uuid.uuid4().hex}")
     watched = df.observe(observation, *[m.alias(name) for name, m in measures.items()])
-    return materialize(watched, label), observation.get
+    return materialize(watched, label, path), observation.get
+
+
+class TableSeries:
+    """Tables of one schema, written round by round, that can be read back as one scan."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label = spark, label
+        self.folder = fresh_path(spark, label)
+        self.schema = None
+        self.count = 0
+
+    def add(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        self.count += 1
+        self.schema = df.schema
+        return materialize_measured(df, self.label, f"{self.folder}/round-{self.count:04d}", **measures)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.folder)
