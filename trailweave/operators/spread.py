@@ -116,7 +116,7 @@ def min_label(
     """
     keys = list(keys)
     own = _own_edges(vertices, keys)
-    spread = Spread(edges.select(*keys, "src", "dst").union(own).distinct(), keys)
+    spread = Spread(edges.select(*keys, "src", "dst").union(own), keys)
 
     def step(state: DataFrame) -> DataFrame:
         return (

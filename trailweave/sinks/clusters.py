@@ -89,10 +89,10 @@ def write_csv(clusters: DataFrame, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, path: str, edges: DataFrame | None = None) -> None:
-    """Scores in three forms below ``path``: ``full``, ``slim`` and ``slim_sorted``.
+    """Scores below ``path``: ``slim``, ``slim_sorted`` and, given ``edges``, ``full``.
 
-    ``full`` repeats every score record for each of its edges' rows as a separate folder
-    ``full/edges``, so that a large result set stays many rows.
+    ``full`` has the scores and, in folders by name, the edges they were computed from;
+    a large result set stays many rows instead of one nested record.
     """
     by_name = scores.orderBy("name")
     by_name.write.mode("overwrite").json(f"{path}/slim")

@@ -30,7 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/trailweave/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, which may go when the application ends."""
+    return f"{shared_folder(spark)}/trailweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
