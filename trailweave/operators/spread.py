@@ -42,7 +42,10 @@ class Spread:
     def __init__(self, edges: DataFrame, keys: Sequence[str] = (), per_key: int = EDGES_PER_KEY):
         self.keys = list(keys)
         self.hot = None
-        self.edges, measured = materialize_measured(edges, "edges", n=F.count("*"))
+        written, measured = materialize_measured(edges, "edges", n=F.count("*"))
+        # Stated once, so that every round scans and shuffles the edges in the same way and
+        # all rounds of a plan share one exchange of them.
+        self.edges = written.where(" AND ".join(f"{c} IS NOT NULL" for c in (*self.keys, "src", "dst")))
         if measured["n"] <= per_key:
             return
         at = [*self.keys, "src"]
@@ -53,7 +56,8 @@ class Spread:
         if measured["n"]:
             salt = F.coalesce(F.pmod(F.hash("dst"), F.col("ways")), F.lit(0))
             self.hot = hot
-            self.edges = materialize(self.edges.join(hot, at, "left").withColumn("salt", salt).drop("ways"), "salted")
+            salted = materialize(self.edges.join(hot, at, "left").withColumn("salt", salt).drop("ways"), "salted")
+            self.edges = salted.where(" AND ".join(f"{c} IS NOT NULL" for c in (*at, "dst", "salt")))
 
     def along(self, state: DataFrame) -> DataFrame:
         """``state`` (keys, v, ...) joined to every edge that leaves ``v``."""
