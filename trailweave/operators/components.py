@@ -8,36 +8,69 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.operators.spread import Spread, min_label, run_rounds, start_labels
+from trailweave.operators.spread import min_label, run_rounds, start_labels
 from trailweave.workspace import materialize, materialize_measured
 
 
-def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Undirected components, named by their smallest member; isolated vertices are kept.
+def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Smallest member of each component of the links ``(a, b)``: ``(v, label)`` for all
+    vertices but the smallest ones themselves.
 
-    Each round takes the smallest label of the neighbours and then the label of that
-    label (pointer jumping), so long chains need about log2(length) rounds.  Both sides
-    of the jump are shuffled by the join itself, which lets adaptive execution split the
-    label that a giant component makes hot.
+    The graph is contracted: every vertex hooks to its smallest neighbour below it, the
+    hooks form trees whose pointers are doubled until they show the roots, and the links
+    are redrawn between roots.  Only local minima outlive a contraction, so at least half
+    of the linked vertices go each time, whatever the order of their names.
     """
     keys = list(keys)
-    forth = edges.select(*keys, "src", "dst")
-    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    own = vertices.select(*keys, F.col("activity").alias("src"), F.col("activity").alias("dst"))
-    spread = Spread(forth.union(back).union(own).distinct(), keys)
-
-    def step(state: DataFrame) -> DataFrame:
-        nearest = (
-            spread.along(state)
-            .groupBy(*keys, "dst")
-            .agg(F.expr("min(label) AS label"), F.expr("max(if(src = dst, label, null)) AS before"))
+
+    def between(one: DataFrame) -> DataFrame:
+        ends = one.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return ends.where("a <> b").distinct()
+
+    live, seen = materialize_measured(between(links), "links", n=F.count("*"))
+    labels = None
+    while seen["n"]:
+        hooks = _roots(live.groupBy(*keys, "b").agg(F.min("a").alias("label")).withColumnRenamed("b", "v"), keys)
+        if labels is None:
+            labels = hooks
+        else:
+            labels = materialize(_follow(labels, hooks, "label", keys).unionByName(hooks), "labels")
+        live, seen = materialize_measured(
+            between(_follow(_follow(live, hooks, "a", keys), hooks, "b", keys)), "links", n=F.count("*")
         )
-        lookup = state.selectExpr(*keys, "v AS label", "label AS jump")
-        return nearest.join(lookup, [*keys, "label"]).selectExpr(
-            *keys, "dst AS v", "jump AS label", "jump <> before AS changed"
+    return labels if labels is not None else live.selectExpr(*keys, "b AS v", "a AS label")
+
+
+def _follow(table: DataFrame, hooks: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Replace ``column`` by the label its value has in ``hooks``, if any."""
+    jump = hooks.select(*keys, F.col("v").alias(column), F.col("label").alias("_jump"))
+    rest = [F.col(c) for c in table.columns if c not in (column, *keys)]
+    return table.join(jump, [*keys, column], "left").select(
+        *keys, *rest, F.coalesce("_jump", column).alias(column)
+    )
+
+
+def _roots(hooks: DataFrame, keys: list[str]) -> DataFrame:
+    """Double the pointers of a forest ``(v, label)`` until every label is a root."""
+    hooks = materialize(hooks, "hooks")
+    while True:
+        jumped = _follow(hooks.withColumn("_was", F.col("label")), hooks, "label", keys)
+        hooks, seen = materialize_measured(
+            jumped.select(*keys, "v", "label", (F.col("label") != F.col("_was")).alias("_moved")), "hooks",
+            moved=F.count_if("_moved"),
         )
+        hooks = hooks.drop("_moved")
+        if not seen["moved"]:
+            return hooks
+
 
-    return run_rounds(start_labels(vertices, keys), step, None, "components", per_write=2)
+def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Undirected components, named by their smallest member; isolated vertices are kept."""
+    keys = list(keys)
+    labels = linked_labels(edges.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")), keys)
+    return vertices.select(*keys, F.col("activity").alias("v")).join(labels, [*keys, "v"], "left").select(
+        *keys, "v", F.coalesce("label", "v").alias("label")
+    )
 
 
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -66,3 +66,14 @@ class TableSeries:
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.folder)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files below the shared folder that ``df``, made by ``materialize``, scans."""
+    spark = df.sparkSession
+    own = f"{shared_folder(spark)}/trailweave/{spark.sparkContext.applicationId}/"
+    folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+    for folder in folders:
+        if own.split(":", 1)[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
