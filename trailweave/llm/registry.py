@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trailweave.llm import mixing, secrets, toxicity
 from trailweave.llm.near_dups import near_duplicates
 
 
@@ -11,9 +13,60 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The text leaves the plan as soon as its words are counted.
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "source", f"{mixing.WORDS.format('text')} AS words")
+    found = mixing.plan(docs, size="words").orderBy(F.expr("get(positions, 0)").asc_nulls_last())
+    return found.selectExpr("row.c0 AS doc_id", "size", "source_size", "target", "CAST(taken AS LONG) AS taken")
+
+
+OP1_SQL = """
+WITH docs AS (
+    SELECT doc_id, source, CAST(length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS place
+    FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS words,
+        [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight,
+        row_number() OVER (ORDER BY source NULLS LAST) AS r
+    FROM docs GROUP BY source),
+filled AS (
+    SELECT *, 1.5::DOUBLE * sum(words) OVER () AS demand, sum(weight) OVER () AS all_weight,
+        coalesce(sum(2 * words) OVER before, 0) AS full_words, coalesce(sum(weight) OVER before, 0) AS full_weight
+    FROM sources
+    WINDOW before AS (ORDER BY 2 * words / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, (demand - full_words)::DOUBLE / (all_weight - full_weight) AS level FROM filled),
+targets AS (
+    SELECT source, words, CASE WHEN level * weight >= 2 * words THEN CAST(2 * words AS DOUBLE)
+        ELSE weight * max(CASE WHEN level * weight < 2 * words THEN level END) OVER () END AS target
+    FROM judged),
+placed AS (
+    SELECT d.doc_id, d.size, t.words, t.target, coalesce(sum(d.size) OVER (
+        PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, words AS source_size, target,
+    CAST(size * (CASE WHEN start + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END
+        + CASE WHEN words + start + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", F.expr("IF(score >= 0.3, 1, 0)").alias("predicted")
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find(docs, secrets.fit(docs)))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
 
-QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+ORACLES = {"op1_mixing": OP1_SQL}
