@@ -126,6 +126,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     )
 
 
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one of each component only.
+
+    The document with the smallest id stays, and repeated rows of it stay once.  Rows
+    without an id are told apart by their text alone.
+    """
+    found = materialize(near_duplicates(docs, words, similarity), "near-duplicates")
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    rows = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    again, seen = materialize_measured(
+        found.where("kept OR doc_id IS NULL").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n"))
+        .where("n > 1").select("_again"),
+        "repeated-ids", n=F.count("*"),
+    )
+    if not seen["n"]:
+        return rows
+    same = rows["doc_id"].eqNullSafe(F.col("_again"))
+    return rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def _postings(classes: DataFrame, needed: int, similarity: float) -> DataFrame:
     """Rarest shared coordinate values ``(key, class, n)`` of each class."""
     # Below this size another set is never similar enough.

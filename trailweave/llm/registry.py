@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import mixing, secrets, toxicity
+from trailweave.llm import bpe, mixing, secrets, toxicity
 from trailweave.llm.near_dups import near_duplicates
 
 
@@ -64,9 +64,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(docs, secrets.fit(docs)))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+QUERIES = {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLES = {"op1_mixing": OP1_SQL}
