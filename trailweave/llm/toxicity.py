@@ -32,8 +32,8 @@ from trailweave.llm.shingles import _LOWER
 LABELLED_ROWS = 20_000
 STEM = 5
 #: Strength of the prior, in toxic texts of the sample and as a share of them.
-PRIOR_ROWS, PRIOR_SHARE = 4, 0.07
-LEAST_ROWS, LEAST_SHARE = 3, 0.15
+PRIOR_ROWS, PRIOR_SHARE = 16, 0.07
+LEAST_ROWS, LEAST_SHARE = 5, 0.15
 
 # Letters that a sign imitates.
 IMITATED = {
