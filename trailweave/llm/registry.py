@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import bpe, mixing, secrets, toxicity
+from trailweave.llm import bpe, chat, mixing, secrets, sharding, token_counts, toxicity
 from trailweave.llm.near_dups import near_duplicates
 
 
@@ -51,6 +51,10 @@ FROM placed
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -59,6 +63,30 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) AS v(conv_id, turn, role, text)", {"t": tricky}
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.read_back(chat.formatted(chat.canonical(rows))))
+
+
+OP4_SQL = r"""
+WITH all_rows AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(4 + length(role) + 2 + 9 + length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')))
+        AS BIGINT) AS formatted_chars
+FROM all_rows GROUP BY conv_id
+"""
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.digest(secrets.find(docs, secrets.fit(docs)))
@@ -68,9 +96,23 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
+    return found.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLES = {"op1_mixing": OP1_SQL}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_secrets": op5_secrets,
+    "op7_bpe": op7_bpe,
+    "op8_sharding": op8_sharding,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_chat_formatting": OP4_SQL}
