@@ -108,7 +108,7 @@ def encode(docs: DataFrame, path: str = PATH) -> DataFrame:
     entries = dictionary.join(table, "word").select("block", "code", "ids")
     texts = narrow.mapInArrow(codes, f"block long, doc_id {kind}, codes binary")
 
-    def assemble(key, docs_of, words_of) -> pa.Table:
+    def assemble(key, docs_of, words_of):
         if not docs_of.num_rows:
             raise RuntimeError("the rows came in another order when they were read again; store the table first")
         lists = words_of.column("ids").combine_chunks()

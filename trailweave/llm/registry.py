@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import bpe, chat, mixing, secrets, sharding, token_counts, toxicity
+from trailweave.llm.embedding_dups import near_embeddings
+from trailweave.llm.forest import nearest
 from trailweave.llm.near_dups import near_duplicates
 
 
@@ -92,6 +94,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(docs, secrets.fit(docs)))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
 
@@ -101,6 +107,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
@@ -111,8 +121,10 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_secrets": op5_secrets,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op4_chat_formatting": OP4_SQL}
