@@ -10,7 +10,9 @@ their full shingle sets.
 ``COORDINATES - needed + 1`` rarest values of either, so only those are posted.  A value
 that one document alone has needs no posting, and a document with fewer than ``needed``
 shared values leaves the join.  *Skip.*  The long lists, of frequent values, are never
-merged; a candidate pair looks its other coordinates up in the two signatures.
+merged; a posting carries four bits of every coordinate, and where two postings meet the
+collisions of all coordinates are counted on those, so that pairs which fall short of the
+match threshold are never rows.
 
 Equal shingle sets are one class before anything is joined.  A list of classes does not
 become all its pairs: in each round its classes are compared with one leader, components
@@ -39,12 +41,14 @@ ROUNDS = 4
 #: Remaining pairs for each posting that are few enough to end the rounds early.
 FEW = 4
 _BITS = 24
+#: Columns of the sketch: four bits of 16 coordinates in each.
+SKETCH = ["q0", "q1", "q2", "q3"]
 
 
 def needed_matches(similarity: float) -> int:
-    """Six standard deviations below the expected collisions of a pair at the threshold."""
+    """4.75 standard deviations below the expected collisions of a pair at the threshold."""
     spread = (COORDINATES * similarity * (1 - similarity)) ** 0.5
-    return max(1, int(COORDINATES * similarity - 6 * spread))
+    return max(1, int(COORDINATES * similarity - 4.75 * spread))
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -79,16 +83,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     for k in range(COORDINATES):
                         least = np.minimum.reduceat((flat ^ flips[k]) * factors[k], begins)
                         sig[full, k] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                bits = (sig & 15).astype(np.uint64).reshape(len(sets), 4, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+                sketch = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
                 flat_sig = pa.array(sig.reshape(-1))
                 offsets = pa.array(np.arange(0, sig.size + 1, COORDINATES, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(offsets, flat_sig, mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, stop - start), pa.array(sizes), pa.array(digest, mask=none), lists],
-                    ["doc_id", "n_shingles", "class", "sig"],
+                    [ids.slice(start, stop - start), pa.array(sizes), pa.array(digest, mask=none), lists,
+                     *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4))],
+                    ["doc_id", "n_shingles", "class", "sig", *SKETCH],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, class long, sig array<int>"
+        run, "doc_id long, n_shingles long, class long, sig array<int>, " + ", ".join(f"{c} long" for c in SKETCH)
     )
 
 
@@ -105,8 +112,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     features = materialize(signatures(docs, words), "signatures")
     classes = materialize(
         features.where("class IS NOT NULL").groupBy("class").agg(
-            F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"),
-            F.count("*").alias("rows"),
+            F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), *[F.first(c).alias(c) for c in SKETCH],
+            F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"),
         ),
         "classes",
     )
@@ -119,7 +126,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     # Only components of several rows are joined back; other rows name themselves.
     several = classes.where("rows > 1").select("class").union(labels.select("v")).union(labels.select("label"))
     known = roots.join(several.distinct(), "class", "left_semi").join(firsts, "root").select("class", "component_id")
-    found = features.drop("sig").join(known, "class", "left")
+    found = features.select("doc_id", "n_shingles", "class").join(known, "class", "left")
     component = F.expr("CASE WHEN component_id IS NOT NULL THEN component_id ELSE doc_id END")
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.expr("doc_id <=> component_id")
@@ -160,7 +167,17 @@ def _postings(classes: DataFrame, needed: int, similarity: float) -> DataFrame:
             "shared": F.expr("count(*) OVER (PARTITION BY class)"),
         }
     )
-    return ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "n")
+    kept = ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "n")
+    return kept.join(classes.select("class", *SKETCH), "class")
+
+
+def _collisions(one: list[str], two: list[str]) -> str:
+    """SQL of the number of coordinates whose four bits agree in two sketches."""
+    differ = []
+    for a, b in zip(one, two):
+        halves = f"(({a} ^ {b}) | shiftrightunsigned({a} ^ {b}, 1))"
+        differ.append(f"bit_count(({halves} | shiftrightunsigned({halves}, 2)) & 1229782938247303441L)")
+    return f"{COORDINATES} - " + " - ".join(differ)
 
 
 def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -171,9 +188,8 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
     none = spark.createDataFrame([], "a long, b long")
     if not size["n"]:
         return none
-    members = classes.join(postings.select("class").distinct(), "class", "left_semi")
+    members = classes.select("class", "doc_id").join(postings.select("class").distinct(), "class", "left_semi")
     texts = materialize(_texts(docs, members, words), "near-texts")
-    members = materialize(members.select("class", "sig"), "near-signatures")
     percent = round(100 * similarity)
     found, tested, labels = none, none, None
     for turn in range(ROUNDS + 1):
@@ -196,17 +212,18 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
                 F.expr("sum(m) * sum(m) - sum(m * m)").alias("pairs")
             )
             last = (each.agg(F.sum("pairs")).first()[0] or 0) <= FEW * 2 * size["n"]
-        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la")
-        fits = f"la <> label AND 100 * least(na, n) >= {percent} * greatest(na, n)"
+        theirs = [f"_{c}" for c in SKETCH]
+        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", *[f"{c} AS _{c}" for c in SKETCH])
+        fits = f"la <> label AND 100 * least(na, n) >= {percent} * greatest(na, n) AND {_collisions(SKETCH, theirs)} >= {needed}"
         if last:
-            met = state.join(other, "key").where(f"a < class AND {fits}")
+            met = state.alias("s").join(other.alias("o"), F.expr(f"s.key = o.key AND a < class AND {fits}"))
         else:
-            leader = other.groupBy("key").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "na", "la")).alias("s"))
-            met = state.join(leader.select("key", "s.a", "s.na", "s.la"), "key").where(fits)
+            leader = other.groupBy("key").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "na", "la", *theirs)).alias("s"))
+            met = state.alias("s").join(leader.select("key", "s.*").alias("o"), F.expr(f"s.key = o.key AND {fits}"))
         pairs = met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tested = tested.union(pairs)
-        new = materialize(_confirmed(_enough(pairs, members, needed), texts, words, percent), "near-links")
+        new = materialize(_confirmed(pairs, texts, words, percent), "near-links")
         found = found.union(new)
         labels = linked_labels(found)
         if last:
@@ -214,14 +231,6 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
     return found
 
 
-def _enough(pairs: DataFrame, members: DataFrame, needed: int) -> DataFrame:
-    """Pairs whose whole signatures collide in ``needed`` coordinates."""
-    one = members.select(F.col("class").alias("a"), F.col("sig").alias("sa"))
-    two = members.select(F.col("class").alias("b"), F.col("sig").alias("sb"))
-    same = "size(filter(zip_with(sa, sb, (x, y) -> x = y), m -> m))"
-    return pairs.join(one, "a").join(two, "b").where(f"{same} >= {needed}").select("a", "b")
-
-
 def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """One text of each class in ``members``: ``(class, text)``.
 
