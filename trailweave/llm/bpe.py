@@ -14,6 +14,7 @@ vocabulary, a table whose size the tokenizer fixes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from trailweave.llm.pretokens import splitter
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Code points of text in a block; a longer text is a block of its own.
 BLOCK = 12 << 20
+#: Code points that are split at once.
+UNIT = 1 << 20
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str):
@@ -38,8 +41,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str):
     held = 0
 
     def block():
-        words, counts = split.words(texts)
-        coded = words.dictionary_encode()
+        parts, counts, some, size = [], [], [], 0
+        for t in [*texts, None]:
+            if some and (t is None or size + len(t) > UNIT):
+                words, each = split.words(some)
+                parts.append(words)
+                counts.append(each)
+                some, size = [], 0
+            if t is not None:
+                some.append(t)
+                size += len(t)
+        coded = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         digest = xxhash.xxh3_64()
         for t in texts:
             raw = t.encode()
@@ -47,7 +60,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str):
             digest.update(raw)
         digest.update(repr(ids).encode())
         name = int(np.uint64(digest.intdigest()).astype(np.int64))
-        return name, ids, coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), counts
+        return name, ids, coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.concatenate(counts)
 
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -163,31 +176,46 @@ def pieces_of(path: str = PATH) -> list[bytes]:
     ]
 
 
-def decode(encoded: DataFrame, path: str = PATH) -> DataFrame:
-    """``encoded`` with the decoded ``text`` added; bytes that are no UTF-8 are replaced."""
+def decode(encoded: DataFrame, path: str = PATH, digested: bool = False) -> DataFrame:
+    """``encoded`` with the decoded ``text`` added; bytes that are no UTF-8 are replaced.
+
+    With ``digested``, ``n_tokens`` and ``ids_sha256``, the hash of the decimal ids joined by
+    commas, take the place of the ids.
+    """
+
+    def joined_bytes(pieces: pa.Array, lists: pa.Array) -> list[bytes]:
+        flat = lists.flatten()
+        if not len(flat):
+            return [b""] * len(lists)
+        joined = pieces.take(flat)
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][ends]
+        data = memoryview(joined.buffers()[2])
+        return [bytes(data[a:b]) for a, b in zip(at[:-1], at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(pieces_of(path), pa.large_binary())
+        decimal = pa.array([f"{i},".encode() for i in range(len(pieces))], pa.large_binary())
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 lists = part.column("ids")
-                flat = lists.flatten()
-                joined = pieces.take(flat)
-                ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-                at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][ends] if len(flat) else ends
-                data = memoryview(joined.buffers()[2]) if len(flat) else b""
-                texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
-
-    columns = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{columns}, text string")
-
-
-def digest(decoded: DataFrame) -> DataFrame:
-    """Number and hash of the ids, and hash of the decoded text."""
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.expr("sha2(array_join(transform(ids, i -> CAST(i AS STRING)), ','), 256)").alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+                texts = pa.array([t.decode("utf-8", "replace") for t in joined_bytes(pieces, lists)], pa.string())
+                if not digested:
+                    yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
+                    continue
+                hashes = [hashlib.sha256(t[:-1]).hexdigest() for t in joined_bytes(decimal, lists)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), lists.value_lengths().cast(pa.int64()), pa.array(hashes, pa.string()), texts],
+                    ["doc_id", "n_tokens", "ids_sha256", "text"],
+                )
+
+    columns = [f"`{n}` {t}" for n, t in encoded.dtypes if not digested or n == "doc_id"]
+    return encoded.mapInArrow(run, ", ".join([*columns, *["n_tokens long", "ids_sha256 string"] * digested, "text string"]))
+
+
+def digests(encoded: DataFrame, path: str = PATH) -> DataFrame:
+    """Number and hash of the ids, and hash of the text they decode to."""
+    return decode(encoded, path, digested=True).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")
     )

@@ -109,7 +109,7 @@ class Splitter:
     def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """All words of the texts in order, as UTF-8, and the number in each text."""
         points, _, starts, begins = self.borders(texts)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        width = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
         at = np.flatnonzero(begins)
         ends = np.cumsum(width)
         offsets = np.concatenate((ends[at] - width[at], ends[-1:] if len(ends) else [0])).astype(np.int32)

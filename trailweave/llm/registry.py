@@ -99,7 +99,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
