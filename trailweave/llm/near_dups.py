@@ -15,7 +15,8 @@ collisions of all coordinates are counted on those, so that pairs which fall sho
 match threshold are never rows.
 
 Equal shingle sets are one class before anything is joined.  A list of classes does not
-become all its pairs: in each round its classes are compared with one leader, components
+become all its pairs: in each round its classes are compared with one leader, at first the
+one whose values most others share, components
 are contracted, and lists whose classes are all in one component are done.  What is left
 after the rounds, only pairs of classes in different components, is compared in full, so
 no link that could join two components is missed.
@@ -165,9 +166,10 @@ def _postings(classes: DataFrame, needed: int, similarity: float) -> DataFrame:
         {
             "rank": F.expr("row_number() OVER (PARTITION BY class ORDER BY length, key)"),
             "shared": F.expr("count(*) OVER (PARTITION BY class)"),
+            "popular": F.expr("sum(length) OVER (PARTITION BY class)"),
         }
     )
-    kept = ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "n")
+    kept = ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "n", "popular")
     return kept.join(classes.select("class", *SKETCH), "class")
 
 
@@ -213,12 +215,14 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
             )
             last = (each.agg(F.sum("pairs")).first()[0] or 0) <= FEW * 2 * size["n"]
         theirs = [f"_{c}" for c in SKETCH]
-        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", *[f"{c} AS _{c}" for c in SKETCH])
+        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", "popular AS pa", *[f"{c} AS _{c}" for c in SKETCH])
         fits = f"la <> label AND 100 * least(na, n) >= {percent} * greatest(na, n) AND {_collisions(SKETCH, theirs)} >= {needed}"
         if last:
             met = state.alias("s").join(other.alias("o"), F.expr(f"s.key = o.key AND a < class AND {fits}"))
         else:
-            leader = other.groupBy("key").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "na", "la", *theirs)).alias("s"))
+            # First the class whose values are the most shared, as of the text that others copy.
+            order = F.xxhash64("a", F.lit(turn)) if turn else F.col("pa")
+            leader = other.groupBy("key").agg(F.max(F.struct(order.alias("h"), "a", "na", "la", *theirs)).alias("s"))
             met = state.alias("s").join(leader.select("key", "s.*").alias("o"), F.expr(f"s.key = o.key AND {fits}"))
         pairs = met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
