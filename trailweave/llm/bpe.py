@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a table of distinct words.
 
 Texts are cut into blocks of some MB.  A block has a dictionary of its distinct words, and
-its documents are lists of positions in it.  All dictionaries together give the table of
-distinct words, each of which is encoded once; the ids are joined back to the
-dictionaries, whose entries and documents meet again in their block.  What is shuffled is
+its documents are lists of positions in it.  All dictionaries together, dealt by word, are
+the table of distinct words, each of which is encoded once; the ids are joined back by
+block and position, where dictionary entries and documents meet again.  What is shuffled is
 one row for each word of a block, and one short code for each word of a text.
 
 A block is named by a hash of what it holds, and both uses of the blocks read the texts
@@ -28,7 +28,7 @@ from trailweave.llm.pretokens import splitter
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Code points of text in a block; a longer text is a block of its own.
-BLOCK = 12 << 20
+BLOCK = 32 << 20
 #: Code points that are split at once.
 UNIT = 1 << 20
 
@@ -75,18 +75,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str):
         yield block()
 
 
-def distinct_words(words: DataFrame, path: str = PATH) -> DataFrame:
-    """``(word, ids)`` of a table of distinct words ``(word)``."""
+def encoded_words(dictionary: DataFrame, path: str = PATH) -> DataFrame:
+    """``(block, code, ids)`` of dictionary entries ``(block, code, word)``; ids as bytes.
+
+    Entries are dealt by word, so each distinct word is encoded once, in one task, and its
+    ids go straight to the places it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = splitter(path).tokenizer
+        known: dict[str, bytes] = {}
         for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
+            words = batch.column("word").to_pylist()
+            new = list(dict.fromkeys(w for w in words if w not in known))
+            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
+                known[w] = np.array(e.ids, np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["word", "ids"]
+                [batch.column("block"), batch.column("code"), pa.array([known[w] for w in words], pa.binary())],
+                ["block", "code", "ids"],
             )
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    return dictionary.repartition("word").mapInArrow(run, "block long, code int, ids binary")
 
 
 def encode(docs: DataFrame, path: str = PATH) -> DataFrame:
@@ -117,15 +126,18 @@ def encode(docs: DataFrame, path: str = PATH) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     kind_of_id = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()
     dictionary = narrow.mapInArrow(words, "block long, code int, word string")
-    table = distinct_words(dictionary.select("word").distinct(), path)
-    entries = dictionary.join(table, "word").select("block", "code", "ids")
+    entries = encoded_words(dictionary, path)
     texts = narrow.mapInArrow(codes, f"block long, doc_id {kind}, codes binary")
 
     def assemble(key, docs_of, words_of):
         if not docs_of.num_rows:
             raise RuntimeError("the rows came in another order when they were read again; store the table first")
-        lists = words_of.column("ids").combine_chunks()
+        packed_ids = words_of.column("ids").combine_chunks()
         order = np.argsort(words_of.column("code").to_numpy())
+        sizes = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed_ids.to_pylist()]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(
+            pa.array(sizes), pa.array(np.frombuffer(b"".join(packed_ids.to_pylist()), np.uint32).astype(np.int32))
+        )
         packed = docs_of.column("codes").to_pylist()
         each = [_unpacked(p) for p in packed]
         flat = np.concatenate(each) if each else np.empty(0, np.int64)
