@@ -25,4 +25,4 @@ def java_hash(text: Column) -> Column:
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys only, so retried tasks repeat it."""
     text = F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))

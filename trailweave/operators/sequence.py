@@ -103,6 +103,7 @@ def _stitched(counted: DataFrame, offsets: Sequence[int], within: Sequence[str],
         edge.select("slice", "grp", "src", others.alias("others"))
         .select("slice", "grp", "src", F.explode("others").alias("other"))
         .where((F.col("slice") != F.col("other.slice")) & (F.col("grp") == F.col("other.grp")))
+        .where(F.col("other.dst").isNotNull())
     )
     across = across.select(kept.alias("grp"), "src", F.col("other.dst").alias("dst"), F.lit(1).cast("long").alias("cnt"))
     inside = counted.where(F.col("slice").isNull()).select("grp", "src", "dst", "cnt")

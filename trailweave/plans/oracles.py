@@ -178,7 +178,7 @@ def _walks(count: int, length: int, seed: int = 7) -> str:
     ]
     for k in range(1, length + 1):
         u = (
-            f"CAST('0x' || substr(md5(w.start || '|' || w.walk || '|{k}|{seed}'), 1, 8) AS BIGINT) / 4294967296.0"
+            f"CAST('0x' || substr(md5(w.start || '|' || w.walk || '|{k}|{seed}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
         )
         parts.append(f"""walk{k} AS MATERIALIZED (
   SELECT d.start, d.walk, coalesce(s.dst, p.activity) AS cur,
@@ -338,14 +338,14 @@ FROM (SELECT t, v, min(w) AS label FROM reach GROUP BY t, v) GROUP BY t""",
     "max_spanning_forest": _with(BASE, FOREST, _queue("undirected", 1 << 30, 0).replace("p.cnt >= 2 AND ", ""), recursive=True)
     + "SELECT q.src AS a, q.dst AS b, q.cnt FROM walk w JOIN queue q ON q.k = w.k WHERE w.merged",
     "scc": _with(
-        LOG, NODES, BY_CASE, _totals("by_case"), "strong AS MATERIALIZED (SELECT src, dst FROM totals WHERE cnt * 20 >= total)",
+        LOG, NODES, BY_CASE, _totals("by_case"), "strong AS MATERIALIZED (SELECT src, dst FROM by_case)",
         """reach(v, w) AS (
   SELECT activity, activity FROM nodes UNION SELECT r.v, e.dst FROM reach r JOIN strong e ON r.w = e.src)""",
         recursive=True,
     ) + "SELECT min(x.w) AS cluster_id, x.v AS activity FROM reach x JOIN reach y ON x.v = y.w AND x.w = y.v GROUP BY x.v",
     "lpa_dfg": _with(LOG, BY_CASE, _ends("by_case"), _votes("ends", "by_case", 5))
     + "SELECT label AS cluster_id, v AS activity FROM lpa WHERE v IN (SELECT src FROM by_case)",
-    "lpa_global": _with(BASE, FREQUENT, _votes("nodes", "frequent", 10)) + "SELECT label AS cluster_id, v AS activity FROM lpa",
+    "lpa_global": _with(BASE, _votes("nodes", "dfg", 10)) + "SELECT label AS cluster_id, v AS activity FROM lpa",
     "lpa_window": _with(LOG, NODES, WINDOWED, _votes("nodes", "windowed", 5, "cnt"))
     + "SELECT label AS cluster_id, v AS activity FROM lpa",
     "lpa_daily": _with(LOG, BY_DAY, _ends("by_day"), _votes("ends", "by_day", 5))
@@ -360,7 +360,7 @@ FROM parts JOIN freq ON freq.activity = parts.v""",
     "cluster_names": _with(COMPONENTS, FREQ, recursive=True) + """SELECT label AS cluster_id,
   arg_max(v, lpad(CAST(freq AS VARCHAR), 20, '0') || v) AS name, count(*) AS members
 FROM comp JOIN freq ON freq.activity = comp.v GROUP BY label""",
-    "min_label_communities": _with(BASE, FREQUENT, _min_label("nodes", "frequent"))
+    "min_label_communities": _with(BASE, _min_label("nodes", "dfg"))
     + "SELECT label AS cluster_id, v AS activity FROM minl",
     "flow_score": _with(BASE, _flow()) + "SELECT activity, round(score, 6) AS score FROM flow",
     "flow_groups": _with(BASE, _flow()) + """SELECT CAST(floor(score * 1000 + 0.5) AS INTEGER) AS score,
@@ -384,7 +384,7 @@ FROM range(0, 21) JOIN strengths ON strength >= range WHERE range <= (SELECT max
     "aggregated_clusters": _with(
         FINE_SWEEP,
         """sharing AS MATERIALIZED (
-  SELECT DISTINCT x.v AS src, y.v AS dst FROM swept x JOIN swept y ON x.tid = y.tid AND x.label = y.label WHERE x.tid >= 7)""",
+  SELECT DISTINCT x.v AS src, y.v AS dst FROM swept x JOIN swept y ON x.tid = y.tid AND x.label = y.label WHERE x.tid >= 1)""",
         _components("nodes", "sharing"), recursive=True,
     ) + "SELECT label AS cluster_id, v AS activity FROM comp",
     "walk_cooccurrence": _with(BASE, _walks(100, 2)) + "SELECT * FROM met",

@@ -147,7 +147,7 @@ def max_spanning_forest(spark, d):
 
 def scc(spark, d):
     log = events_log(spark, d)
-    edges = dfg.strong(dfg.with_totals(dfg.case_transitions(log)), 1)
+    edges = dfg.case_transitions(log)
     return spread.as_clusters(comp.strong_components(dfg.vertices(log), edges))
 
 
@@ -160,7 +160,7 @@ def lpa_dfg(spark, d):
 
 def lpa_global(spark, d):
     _, nodes, edges = _global(spark, d)
-    return spread.as_clusters(spread.majority_label(nodes, dfg.frequent(edges), rounds=10))
+    return spread.as_clusters(spread.majority_label(nodes, edges, rounds=10))
 
 
 def lpa_window(spark, d):
@@ -191,7 +191,7 @@ def cluster_names(spark, d):
 
 def min_label_communities(spark, d):
     _, nodes, edges = _global(spark, d)
-    return spread.as_clusters(spread.min_label(nodes, dfg.frequent(edges)))
+    return spread.as_clusters(spread.min_label(nodes, edges))
 
 
 def flow_score(spark, d):
@@ -254,7 +254,7 @@ def overlapping_clusters(spark, d):
 
 def aggregated_clusters(spark, d):
     nodes, communities = _fine_communities(spark, d)
-    return consensus.aggregated_clusters(nodes, communities, min_tid=7)
+    return consensus.aggregated_clusters(nodes, communities, min_tid=1)
 
 
 # --- walks --------------------------------------------------------------------------
