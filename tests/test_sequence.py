@@ -117,3 +117,13 @@ def test_no_global_window_or_single_partition_over_the_log(spark, make_log, hot_
     finally:
         sequence.materialize_measured = original
     assert seen and all("rangepartitioning" in p and "SinglePartition" not in p for p in seen)
+
+
+def test_null_activities_do_not_depend_on_slices(make_log, as_rows):
+    names = ["a", None, "b", "c", None, "a", "b", None, "c", "a", "b", "c"]
+    log = make_log([(i, "x", i, name) for i, name in enumerate(names)])
+    found = [
+        sorted(pair_graph(log, slices=k)[1].collect(), key=str) for k in (1, 3, 6)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert all(r.dst is not None for r in found[0])
