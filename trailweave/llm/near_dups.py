@@ -12,7 +12,8 @@ that one document alone has needs no posting, and a document with fewer than ``n
 shared values leaves the join.  *Skip.*  The long lists, of frequent values, are never
 merged; a posting carries four bits of every coordinate, and where two postings meet the
 collisions of all coordinates are counted on those, so that pairs which fall short of the
-match threshold are never rows.
+match threshold are never rows.  A posting also carries short hashes of the rarer keys of
+its class: two postings that have one in common meet elsewhere, so a pair is made once.
 
 Equal shingle sets are one class before anything is joined.  A list of classes does not
 become all its pairs: in each round its classes are compared with one leader, at first the
@@ -20,6 +21,10 @@ one whose values most others share, components
 are contracted, and lists whose classes are all in one component are done.  What is left
 after the rounds, only pairs of classes in different components, is compared in full, so
 no link that could join two components is missed.
+
+*Tiles.*  Classes near the same popular class are at home there, in parts of bounded size.
+The pairs between two parts are confirmed together, so that a text goes to a tile once and
+not to each of its pairs.
 """
 
 from __future__ import annotations
@@ -40,7 +45,9 @@ COORDINATES = 64
 #: Leaders tried before the remaining pairs are compared one by one.
 ROUNDS = 4
 #: Remaining pairs for each posting that are few enough to end the rounds early.
-FEW = 4
+FEW = 16
+#: Shingles of the texts in one part of a tile; each text counts as ``TEXT`` more.
+PART, TEXT = 1 << 18, 512
 _BITS = 24
 #: Columns of the sketch: four bits of 16 coordinates in each.
 SKETCH = ["q0", "q1", "q2", "q3"]
@@ -167,12 +174,26 @@ def _postings(classes: DataFrame, needed: int, similarity: float) -> DataFrame:
             "rank": F.expr("row_number() OVER (PARTITION BY class ORDER BY length, key)"),
             "shared": F.expr("count(*) OVER (PARTITION BY class)"),
             "popular": F.expr("sum(length) OVER (PARTITION BY class)"),
+            "rarer": F.expr(
+                "collect_list(hash(key)) OVER (PARTITION BY class ORDER BY length, key"
+                " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+            ),
         }
     )
-    kept = ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "n", "popular")
+    kept = ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "n", "popular", "rarer")
     return kept.join(classes.select("class", *SKETCH), "class")
 
 
+def _places(postings: DataFrame) -> DataFrame:
+    """``(class, place)``: the part, of bounded size, of the most popular class that a class meets."""
+    popular = postings.groupBy("key").agg(F.max(F.struct("popular", "class")).alias("top"))
+    homes = postings.select("key", "class", "n").join(popular, "key").groupBy("class").agg(
+        F.max("top")["class"].alias("home"), F.first("n").alias("n")
+    )
+    parts = homes.groupBy("home").agg(F.expr(f"CAST(ceil(sum(n + {TEXT}) / {PART}) AS LONG)").alias("parts"))
+    return homes.join(parts, "home").selectExpr("class", "xxhash64(home, pmod(xxhash64(class, 7), parts)) AS place")
+
+
 def _collisions(one: list[str], two: list[str]) -> str:
     """SQL of the number of coordinates whose four bits agree in two sketches."""
     differ = []
@@ -192,6 +213,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
         return none
     members = classes.select("class", "doc_id").join(postings.select("class").distinct(), "class", "left_semi")
     texts = materialize(_texts(docs, members, words), "near-texts")
+    places = materialize(_places(postings), "places")
     percent = round(100 * similarity)
     found, tested, labels = none, none, None
     for turn in range(ROUNDS + 1):
@@ -215,19 +237,20 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
             )
             last = (each.agg(F.sum("pairs")).first()[0] or 0) <= FEW * 2 * size["n"]
         theirs = [f"_{c}" for c in SKETCH]
-        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", "popular AS pa", *[f"{c} AS _{c}" for c in SKETCH])
+        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", "popular AS pa", "rarer AS ra", *[f"{c} AS _{c}" for c in SKETCH])
         fits = f"la <> label AND 100 * least(na, n) >= {percent} * greatest(na, n) AND {_collisions(SKETCH, theirs)} >= {needed}"
         if last:
-            met = state.alias("s").join(other.alias("o"), F.expr(f"s.key = o.key AND a < class AND {fits}"))
+            met = state.alias("s").join(other.alias("o"), F.expr(f"s.key = o.key AND a < class AND {fits} AND NOT arrays_overlap(rarer, ra)"))
         else:
             # First the class whose values are the most shared, as of the text that others copy.
             order = F.xxhash64("a", F.lit(turn)) if turn else F.col("pa")
             leader = other.groupBy("key").agg(F.max(F.struct(order.alias("h"), "a", "na", "la", *theirs)).alias("s"))
             met = state.alias("s").join(leader.select("key", "s.*").alias("o"), F.expr(f"s.key = o.key AND {fits}"))
-        pairs = met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+        pairs = met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b"))
+        pairs = pairs if last else pairs.distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tested = tested.union(pairs)
-        new = materialize(_confirmed(pairs, texts, words, percent), "near-links")
+        new = materialize(_confirmed(pairs, places, texts, words, percent), "near-links")
         found = found.union(new)
         labels = linked_labels(found)
         if last:
@@ -265,22 +288,39 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return chosen.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs with ``100 * intersection >= percent * union`` of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sets = None, {}
         for batch in batches:
-            for start, stop in units(batch.column(2)):
+            for start, stop in units(batch.column(3)):
                 part = batch.slice(start, stop - start)
-                ones, twos = shingle_sets(part.column(2), words), shingle_sets(part.column(3), words)
+                fresh = iter(shingle_sets(part.column(3).drop_null(), words))
                 hit = []
-                for x, y in zip(ones, twos):
+                for t, a, b in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    if t != tile:
+                        tile, sets = t, {}
+                    if b is None:
+                        sets[a] = next(fresh)
+                        hit.append(False)
+                        continue
+                    x, y = sets[a], sets[b]
                     both = np.concatenate((x, y))
                     both.sort(kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
                     hit.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield part.filter(pa.array(hit, pa.bool_())).select([0, 1])
-
-    one = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+                yield part.filter(pa.array(hit, pa.bool_())).select([1, 2])
+
+    one = places.select(F.col("class").alias("a"), F.col("place").alias("p"))
+    two = places.select(F.col("class").alias("b"), F.col("place").alias("q"))
+    dealt = pairs.join(one, "a").join(two, "b").select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "a", "b")
+    dealt = materialize(dealt, "dealt-pairs")
+    members = dealt.select("tile", F.col("a").alias("class")).union(dealt.select("tile", "b")).distinct()
+    lines = members.join(texts, "class").selectExpr("tile", "class AS a", "CAST(NULL AS LONG) AS b", "text").union(
+        dealt.selectExpr("tile", "a", "b", "CAST(NULL AS STRING)")
+    )
+    # The texts of a tile come before its pairs.
+    return lines.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(
+        run, "a long, b long"
+    )
