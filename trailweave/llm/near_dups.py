@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,34 +259,54 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
     return found
 
 
-def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """One text of each class in ``members``: ``(class, text)``.
-
-    A filter of fixed size, one bit for each of 2^24 hashes of document ids, keeps most
-    other texts out of the shuffle; what it lets through by chance the join removes.
-    """
-    spark = docs.sparkSession
-    place = f"xxhash64(CAST(doc_id AS LONG)) & {(1 << _BITS) - 1} AS p"
-    filled = members.selectExpr(place).groupBy(F.expr("p div 64").alias("word")).agg(
+def _marks(hashes: DataFrame) -> Broadcast:
+    """A filter of fixed size: a bit for each of 2^24 values of the 64-bit ``hash`` column."""
+    filled = hashes.selectExpr(f"hash & {(1 << _BITS) - 1} AS p").groupBy(F.expr("p div 64").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits")
     )
     bits = np.zeros(1 << (_BITS - 6), np.int64)  # 2 MB, whatever the number of documents
     for word, value in filled.toLocalIterator():
         bits[word] = value
-    shared = spark.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def _marked(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose hash, the last column, is marked, and a few that are so by chance."""
+    at = batch.column(batch.num_columns - 1).to_numpy() & ((1 << _BITS) - 1)
+    return batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
+
+
+def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """Texts ``(class, text)`` of the classes in ``members``, without a shuffle.
+
+    Repeated document ids repeat a class, and chance hits of the filter add some classes.
+    """
+    hashed = "xxhash64(CAST(doc_id AS LONG)) AS hash"
+    marks = _marks(members.selectExpr(hashed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            near = batch.filter(pa.array((table[at >> 6] >> (at & 63)) & 1 == 1)).column(0)
+            near = _marked(batch, marks.value).column(0)
             for start, stop in units(near):
                 part = near.slice(start, stop - start)
                 digest, none = class_ids(shingle_sets(part, words))
                 yield pa.RecordBatch.from_arrays([pa.array(digest, mask=none), part], ["class", "text"])
 
-    chosen = docs.where("text IS NOT NULL").selectExpr("text", place).mapInArrow(run, "class long, text string")
-    return chosen.join(members.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    found = docs.where("text IS NOT NULL").selectExpr("text", hashed).mapInArrow(run, "class long, text string")
+    return found.where("class IS NOT NULL")
+
+
+def _needed_texts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """One text of each class in ``classes``; few others are shuffled."""
+    hashed = "xxhash64(class) AS hash"
+    marks = _marks(classes.selectExpr(hashed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _marked(batch, marks.value).select([0, 1])
+
+    near = texts.selectExpr("class", "text", hashed).mapInArrow(run, "class long, text string")
+    return near.dropDuplicates(["class"])
 
 
 def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -317,7 +338,7 @@ def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, words: int
     dealt = pairs.join(one, "a").join(two, "b").select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "a", "b")
     dealt = materialize(dealt, "dealt-pairs")
     members = dealt.select("tile", F.col("a").alias("class")).union(dealt.select("tile", "b")).distinct()
-    lines = members.join(texts, "class").selectExpr("tile", "class AS a", "CAST(NULL AS LONG) AS b", "text").union(
+    lines = members.join(_needed_texts(texts, members), "class").selectExpr("tile", "class AS a", "CAST(NULL AS LONG) AS b", "text").union(
         dealt.selectExpr("tile", "a", "b", "CAST(NULL AS STRING)")
     )
     # The texts of a tile come before its pairs.
