@@ -227,6 +227,14 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
+def test_bpe_of_equal_rows_in_separate_partitions(spark):
+    rows = [(1, "the ran of a ran"), (2, "other words stand here"), (1, "the ran of a ran")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows * 3, 3), "doc_id long, text string")
+    want = sorted((i, TOKENIZER.encode(t, add_special_tokens=False).ids) for i, t in rows * 3)
+    assert sorted((r.doc_id, r.ids) for r in bpe.encode(docs).collect()) == want
+    assert {r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {t for _, t in rows}
+
+
 def cosine(a, b):
     a, b = np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float)
     return float(np.sum(a * b) / (np.sqrt(np.sum(a * a)) * np.sqrt(np.sum(b * b))))

@@ -6,8 +6,8 @@ the table of distinct words, each of which is encoded once; the ids are joined b
 block and position, where dictionary entries and documents meet again.  What is shuffled is
 one row for each word of a block, and one short code for each word of a text.
 
-A block is named by a hash of what it holds, and both uses of the blocks read the texts
-again, so the rows must come in the same order each time, as from stored files; a block
+A block is named by a hash of what it holds, so equal blocks share a name, and one copy of
+their dictionary is used for the rows of all; both uses of the blocks read the texts again, so the rows must come in the same order each time, as from stored files; a block
 without its dictionary fails the job.  Decoding joins ids with the pieces of the
 vocabulary, a table whose size the tokenizer fixes.
 """
@@ -133,7 +133,10 @@ def encode(docs: DataFrame, path: str = PATH) -> DataFrame:
         if not docs_of.num_rows:
             raise RuntimeError("the rows came in another order when they were read again; store the table first")
         packed_ids = words_of.column("ids").combine_chunks()
-        order = np.argsort(words_of.column("code").to_numpy())
+        # Equal blocks have one name and bring every entry of their dictionary once each.
+        entry, order = np.unique(words_of.column("code").to_numpy(), return_index=True)
+        if len(entry) and entry[-1] >= len(entry):
+            raise RuntimeError("a block lacks entries of its dictionary; store the table before it is encoded")
         sizes = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed_ids.to_pylist()]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(
             pa.array(sizes), pa.array(np.frombuffer(b"".join(packed_ids.to_pylist()), np.uint32).astype(np.int32))
