@@ -81,6 +81,28 @@ def test_keep_one_on_odd_rows(odd, empty):
     assert near_dups.keep_one(empty).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+
+    def near(text):
+        return text.replace(text.split()[20], "changed", 1)
+
+    rows = [
+        (3, a), (7, a), (7, b), (8, near(b)),  # id 7 is a copy of 3, and the first of another group
+        (None, near(a)), (None, c), (None, near(c)), (None, c), (None, d), (9, d),
+        (10, e), (10, near(e)), (10, e), (11, None), (11, None), (None, ""), (None, ""), (None, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in near_dups.keep_one(docs).collect()]
+    by_id = sorted((r for r in got if r[0] is not None and r[0] != 10), key=lambda r: r[0])
+    assert by_id == [(3, a), (7, b), (9, d), (11, None)]
+    assert len([r for r in got if r[0] == 10]) == 1
+    other = [t for i, t in got if i is None]
+    assert sorted(other, key=len)[:2] == ["", " "] and len(other) == 3 and max(other, key=len) in (c, near(c))
+    assert sorted(got, key=repr) == sorted((tuple(r) for r in near_dups.keep_one(docs.orderBy("text")).collect()), key=repr)
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(1)
     rows, labels = [], []

@@ -73,8 +73,11 @@ def class_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n_shingles, class, sig)``; class and sig are null without shingles."""
+def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
+    """``(doc_id, n_shingles, class, sig)``; class and sig are null without shingles.
+
+    With ``hashed``, a hash of the whole text is added as ``text_hash``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips, factors = _coefficients()
@@ -99,12 +102,15 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, flat_sig, mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(start, stop - start), pa.array(sizes), pa.array(digest, mask=none), lists,
-                     *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4))],
-                    ["doc_id", "n_shingles", "class", "sig", *SKETCH],
+                     *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)),
+                     *(c.slice(start, stop - start) for c in batch.columns[2:])],
+                    ["doc_id", "n_shingles", "class", "sig", *SKETCH, *batch.schema.names[2:]],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, class long, sig array<int>, " + ", ".join(f"{c} long" for c in SKETCH)
+    kind = ["doc_id long", "n_shingles long", "class long", "sig array<int>", *(f"{c} long" for c in SKETCH)]
+    more = [F.xxhash64("text").alias("text_hash")] if hashed else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(
+        run, ", ".join(kind + ["text_hash long"] * hashed)
     )
 
 
@@ -118,47 +124,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     component without any ``doc_id`` has a null id and keeps all its rows.  Repeated rows
     give repeated rows.
     """
-    features = materialize(signatures(docs, words), "signatures")
+    features, known = _components(docs, words, similarity, "doc_id")
+    known = known.withColumnRenamed("first", "component_id")
+    found = features.select("doc_id", "n_shingles", "class").join(known, "class", "left")
+    component = F.expr("CASE WHEN component_id IS NOT NULL THEN component_id ELSE doc_id END")
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.expr("doc_id <=> component_id")
+    )
+
+
+def _components(docs: DataFrame, words: int, similarity: float, rank: str, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and ``(class, first)`` of the classes whose component has several rows.
+
+    ``first`` is the smallest ``rank``, SQL over the signatures, of the component's rows.
+    """
+    features = materialize(signatures(docs, words, hashed), "signatures")
     classes = materialize(
         features.where("class IS NOT NULL").groupBy("class").agg(
             F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), *[F.first(c).alias(c) for c in SKETCH],
-            F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"),
+            F.min("doc_id").alias("doc_id"), F.min(F.expr(rank)).alias("first"), F.count("*").alias("rows"),
         ),
         "classes",
     )
     links = _links(docs, classes, words, similarity)
     labels = linked_labels(links)
-    roots = classes.select("class", "doc_id").join(labels.withColumnRenamed("v", "class"), "class", "left").select(
-        "class", F.coalesce("label", "class").alias("root"), "doc_id"
+    roots = classes.select("class", "first").join(labels.withColumnRenamed("v", "class"), "class", "left").select(
+        "class", F.coalesce("label", "class").alias("root"), "first"
     )
-    firsts = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    firsts = roots.groupBy("root").agg(F.min("first").alias("first"))
     # Only components of several rows are joined back; other rows name themselves.
     several = classes.where("rows > 1").select("class").union(labels.select("v")).union(labels.select("label"))
-    known = roots.join(several.distinct(), "class", "left_semi").join(firsts, "root").select("class", "component_id")
-    found = features.select("doc_id", "n_shingles", "class").join(known, "class", "left")
-    component = F.expr("CASE WHEN component_id IS NOT NULL THEN component_id ELSE doc_id END")
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.expr("doc_id <=> component_id")
-    )
+    return features, roots.drop("first").join(several.distinct(), "class", "left_semi").join(firsts, "root").select("class", "first")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with all their columns, but one of each component only.
 
-    The document with the smallest id stays, and repeated rows of it stay once.  Rows
-    without an id are told apart by their text alone.
+    The row with the smallest id stays, of rows with that id the one whose text has the
+    smallest hash; rows without an id come last.  What goes is decided for each id and text,
+    so other texts of an id are not touched.  Rows that repeat an id, or its absence, and a
+    text stay once.
     """
-    found = materialize(near_duplicates(docs, words, similarity), "near-duplicates")
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    rows = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again, seen = materialize_measured(
-        found.where("kept OR doc_id IS NULL").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n"))
-        .where("n > 1").select("_again"),
-        "repeated-ids", n=F.count("*"),
+    rank = "struct(doc_id IS NULL AS none, doc_id, text_hash)"
+    features, known = _components(docs, words, similarity, rank, hashed=True)
+    found = features.select("class", "doc_id", "text_hash", F.expr(rank).alias("own")).join(known, "class", "left")
+    found = materialize(
+        found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+            F.max(F.expr("first IS NOT NULL AND own <> first")).alias("gone"), F.count("*").alias("n")
+        ),
+        "near-duplicates",
     )
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    rows = docs.join(found.where("gone").select("_id", "_hash"), same, "left_anti")
+    again, seen = materialize_measured(found.where("NOT gone AND n > 1").select("_id", "_hash"), "repeated-rows", n=F.count("*"))
     if not seen["n"]:
         return rows
-    same = rows["doc_id"].eqNullSafe(F.col("_again"))
     return rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
