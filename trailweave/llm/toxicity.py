@@ -45,10 +45,11 @@ _SUBSTITUTED, _SILENT, _REPEATED, _DOUBLED = -1.5, -0.3, -0.1, -5.0
 
 WORD = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(
-    r"(?<![^\W_])(?:[^\W\d_]++[01345789@$!|+]|[01345789@$|+]++[^\W\d_])[^\W_@$!|+]*+(?:[@$!|+]++[^\W_]++)*+[+$]?"
+    r"(?<![^\W_])(?:[^\W\d_]++[01345789@$!|+]|[01345789@$!|+]++[^\W\d_])[^\W_@$!|+]*+(?:[@$!|+]++[^\W_]++)*+[+$]?"
 )
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
-TRIPLE = re.compile(r"(.)\1\1")
+# Two or more single letters, digits or signs that imitate letters, with runs of separators.
+SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+])[ .\-_*]++)+(?:[^\W_]|[@$!|+])(?![^\W_])")
+DOUBLE = re.compile(r"(.)\1")
 
 _CLASSES = 28  # other bytes: word end; a-z; bytes of other letters
 _CLASS = np.zeros(256, np.int64)
@@ -143,7 +144,10 @@ class Decoder:
 def suspicious(low: str) -> list[str]:
     """Strings of a lower-case text that may hide words by signs or spacing."""
     mixed = (m.rstrip("!") for m in MIXED.findall(low))
-    return [m for m in mixed if not m.isalpha()] + SPACED.findall(low)
+    spaced = SPACED.findall(low)
+    # A sign at the end may also end the sentence.
+    spaced += [s for m in spaced if m[-1] == "!" and len(s := m.rstrip("!" + SEPARATORS)) > 1]
+    return [m for m in mixed if not m.isalpha()] + spaced
 
 
 def words_and_readings(text: str, decoder: Decoder) -> tuple[set[str], set[str]]:
@@ -154,7 +158,7 @@ def words_and_readings(text: str, decoder: Decoder) -> tuple[set[str], set[str]]
     for s in suspicious(low):
         restored.update(decoder.decode(s).split())
     for w in words:
-        if TRIPLE.search(w):
+        if DOUBLE.search(w):
             restored.update(decoder.decode(w).split())
     return words, restored - words
 
