@@ -2,7 +2,7 @@
 
 The base patterns label the samples: what they match is random, all other characters of
 the corpus are ordinary.  Two first-order models over 67 characters (and the outside) are
-counted over all texts, and a run of such characters that no base span covers is a secret
+counted over all texts, and what base spans leave of a run of such characters is a secret
 when it is more likely under the random model by a margin in total and for each character.
 Spans are in code points of the whole text, end exclusive.
 """
@@ -29,7 +29,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Runs judged by the models, and by how much they must look random.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 MARGIN, MARGIN_PER_CHARACTER = 16.0, 1.0
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -72,18 +73,19 @@ class Model:
         return float(self.ratio[_pairs(run.encode())].sum())
 
     def spans(self, text: str) -> list[Span]:
-        """Base spans and runs that look random, by start and kind."""
+        """Base spans, and pieces of runs beside them that look random, by start and kind."""
         found = base_spans(text)
         covered, at = found[:], 0
         for m in RUN.finditer(text):
             start, end = m.span()
             while at < len(covered) and covered[at][2] <= start:
                 at += 1
-            if any(s < end and start < e for s, _, e in _until(covered, at, end)):
-                continue
-            llr = self.score(m[0])
-            if llr >= MARGIN and llr >= MARGIN_PER_CHARACTER * (end - start):
-                found.append((start, 3, end))
+            for s, _, e in [*_until(covered, at, end), (end, 3, end)]:
+                if s - start >= LEAST:
+                    llr = self.score(text[start:s])
+                    if llr >= MARGIN and llr >= MARGIN_PER_CHARACTER * (s - start):
+                        found.append((start, 3, s))
+                start = max(start, e)
         return sorted(found)
 
 
