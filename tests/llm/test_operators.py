@@ -227,6 +227,14 @@ def test_bpe_round_trip(spark, strings, odd, empty):
     assert bpe.encode(odd).count() == odd.count() and bpe.encode(empty).count() == 0
 
 
+def test_bpe_of_equal_rows_in_separate_partitions(spark):
+    rows = [(1, "the ran of a ran"), (2, "other words stand here"), (1, "the ran of a ran")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows * 3, 3), "doc_id long, text string")
+    want = sorted((i, TOKENIZER.encode(t, add_special_tokens=False).ids) for i, t in rows * 3)
+    assert sorted((r.doc_id, r.ids) for r in bpe.encode(docs).collect()) == want
+    assert {r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {t for _, t in rows}
+
+
 def test_token_counts(spark, strings, odd, empty):
     docs = spark.createDataFrame([*enumerate(strings), (9999, None)], "doc_id long, text string").coalesce(2)
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs).collect()}
@@ -286,14 +294,6 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_bpe_of_equal_rows_in_separate_partitions(spark):
-    rows = [(1, "the ran of a ran"), (2, "other words stand here"), (1, "the ran of a ran")]
-    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows * 3, 3), "doc_id long, text string")
-    want = sorted((i, TOKENIZER.encode(t, add_special_tokens=False).ids) for i, t in rows * 3)
-    assert sorted((r.doc_id, r.ids) for r in bpe.encode(docs).collect()) == want
-    assert {r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {t for _, t in rows}
-
-
 def cosine(a, b):
     a, b = np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float)
     return float(np.sum(a * b) / (np.sqrt(np.sum(a * a)) * np.sqrt(np.sum(b * b))))
@@ -335,3 +335,40 @@ def test_forest_recall(vectors):
             assert (q[0], i) not in found or abs(found[q[0], i] + s) < 1e-12
     assert hit >= 0.9 * total
     assert forest.nearest(df.limit(0)).count() == 0
+
+
+def test_forest_above_8192_with_outliers_and_a_minority_width(spark):
+    rng = np.random.default_rng(11)
+    middle = rng.standard_normal(12)
+    hot = middle + 0.05 * rng.standard_normal((9000, 12))
+    spread = rng.standard_normal((60, 12)) * ([8.0] * 2 + [0.3] * 10)
+    far = -middle + 0.3 * rng.standard_normal((3, 12))
+    minor = np.ones(5) * np.repeat([[1], [-1]], [140, 4], axis=0) + 0.1 * rng.standard_normal((144, 5))
+    few = rng.standard_normal((3, 7))
+    vectors = [v.astype(np.float32) for part in (hot, spread, far, minor, few) for v in part]
+    kind = np.repeat(range(5), [9000, 60, 3, 144, 3])
+    order = rng.permutation(len(vectors))
+    rows = [(i, vectors[j].tolist()) for i, j in enumerate(order)]
+    kinds = kind[order]
+    # Queries have ids divisible by 3: all outliers and minorities, and some of the bulk.
+    ids = {i: 3 * i + int(kinds[i] < 2 and i % 60 > 0) for i in range(len(rows))}
+    df = spark.createDataFrame([(ids[i], v) for i, v in rows], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in forest.nearest(df, every=3, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit, total, short = np.zeros(5), np.zeros(5), 0
+    for width in (12, 5, 7):
+        mine = [i for i in range(len(rows)) if len(rows[i][1]) == width]
+        x = np.array([rows[i][1] for i in mine])
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        for n, i in enumerate(mine):
+            if ids[i] % 3:
+                continue
+            near = x @ x[n]
+            near[n] = -np.inf
+            want = {ids[mine[m]] for m in np.argsort(-near)[: min(5, len(mine) - 1)]}
+            short += len(got.get(ids[i], ())) < len(want)
+            hit[kinds[i]] += len(want & got.get(ids[i], set()))
+            total[kinds[i]] += len(want)
+    recall = hit / total
+    assert not short and (recall >= 0.9).all() and recall[2] == recall[4] == 1, (short, recall)

@@ -3,13 +3,17 @@
 Each of ``TREES`` trees gives every vector a string of ``BITS`` bits, the sides of random
 hyperplanes it lies on, and keeps the strings sorted.  A query descends to the longest
 prefixes it shares in each tree; then all trees ascend together, one bit at a time, until
-the entries under the query's prefixes are enough, and those are the candidates, scored by
-cosine on the original vectors.
+the entries under the query's prefixes are enough for the vectors of its length, and those
+are the candidates, scored by cosine on the original vectors.
 
 A tree's sorted array is cut at its first ``ROOTS`` bits, and further by hash where a part
 is large, so it is many groups.  The trees first return how many entries each prefix length
 has, one number per query and length, from which the common length of a query follows;
 then each group returns its best ones only.
+
+A query that has too few entries under ``ROOTS`` bits goes on to the empty prefix, below
+which one tree has every vector once, fewer than the entries that are enough at any length
+between; blocks of such queries meet all vectors of their length, in parts of a tree.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.vectors import cosines, matrix, usable
-from trailweave.workspace import materialize
+from trailweave.workspace import materialize, materialize_measured
 
 TREES, BITS, ROOTS = 32, 32, 4
 #: Entries under the prefixes of all trees, as a share of all vectors, that are enough.
 ENOUGH = 1.2
-#: Vectors from which trees are cut at their roots, and in a group.
-SMALL, GROUP = 8192, 50_000
+#: Other vectors that a query meets at least, if there are so many of its length.
+LEAST = 64
+#: Vectors in a group, and in a group of the smallest tables that is worth a task.
+GROUP, FINE = 50_000, 1024
 
 
 def hash_strings(x: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -106,9 +112,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     ).withColumn("_n", F.expr("row_number() OVER (PARTITION BY class ORDER BY vec_id)")).where(f"_n <= {k + 1}")
     indexed = materialize(ranked.select("vec_id", "embedding"), "indexed-vectors")
     queries = rows.where(f"vec_id % {every} = 0").select("vec_id", "embedding")
-    roots = ROOTS if size >= SMALL else 0
-    parts = max(1, -(-size // (GROUP << roots)))
-    levels = np.arange(roots, BITS + 1)
+    parts = max(1, -(-size // (GROUP << ROOTS)))
+    levels = np.arange(ROOTS, BITS + 1)
 
     def count(key, asked, known):
         keys = np.sort(known.column("key").to_numpy())
@@ -116,17 +121,22 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         low, high = _span(own, np.tile(levels, asked.num_rows), keys)
         return pa.table({
             "vec_id": np.repeat(asked.column("vec_id").to_numpy(), len(levels)),
+            "width": np.repeat(asked.column("width").to_numpy(), len(levels)),
             "level": np.tile(levels, asked.num_rows).astype(np.int32), "n": (high - low).astype(np.int64),
         })
 
-    asked = _entries(queries.withColumn("level", F.lit(0)), roots, parts, False, "level")
-    known = _entries(indexed, roots, parts, False)
-    sums = asked.groupBy(*_GROUP).cogroup(known.groupBy(*_GROUP)).applyInArrow(count, "vec_id long, level int, n long")
-    # The longest common prefix length whose entries, over all trees, are enough.
-    level = sums.groupBy("vec_id", "level").agg(F.sum("n").alias("n")).groupBy("vec_id").agg(
-        F.expr(f"coalesce(max(IF(n >= {ENOUGH * size}, level, NULL)), {roots})").alias("level")
+    asked = _entries(queries.withColumn("level", F.lit(0)), ROOTS, parts, False, "level")
+    known = _entries(indexed, ROOTS, parts, False)
+    sums = asked.groupBy(*_GROUP).cogroup(known.groupBy(*_GROUP)).applyInArrow(count, "vec_id long, width int, level int, n long")
+    # The longest common prefix length whose entries, over all trees and without the query's
+    # own, are enough; 0 if none is.  ``LEAST`` vectors have at most that often TREES entries.
+    enough = rows.groupBy(F.size("embedding").alias("width")).agg(
+        F.expr(f"greatest({ENOUGH} * count(*), {TREES * max(LEAST, k)}) + {TREES}").alias("enough")
+    )
+    level = sums.groupBy("vec_id", "width", "level").agg(F.sum("n").alias("n")).join(enough, "width").groupBy("vec_id").agg(
+        F.expr("coalesce(max(IF(n >= enough, level, NULL)), 0)").alias("level")
     )
-    level = materialize(level, "query-levels")
+    level, seen = materialize_measured(level, "query-levels", short=F.count_if(F.expr("level = 0")))
 
     def score(key, asked, known):
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -155,9 +165,22 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         a, b, c = (np.concatenate(v) for v in zip(*found))
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-    asked = _entries(queries.join(level, "vec_id"), roots, parts, True, "level")
-    known = _entries(indexed, roots, parts, True)
-    best = asked.groupBy(*_GROUP).cogroup(known.groupBy(*_GROUP)).applyInArrow(score, "query_id long, vec_id long, score double")
+    found = "query_id long, vec_id long, score double"
+    asked = _entries(queries.join(level.where("level > 0"), "vec_id"), ROOTS, parts, True, "level")
+    known = _entries(indexed, ROOTS, parts, True)
+    best = asked.groupBy(*_GROUP).cogroup(known.groupBy(*_GROUP)).applyInArrow(score, found)
+    if seen["short"]:
+        # Under the empty prefix the order of a tree does not matter, so its parts are cut by id.
+        cuts, blocks = max(-(-size // GROUP), min(1 << ROOTS, -(-size // FINE))), -(-seen["short"] // GROUP)
+        columns = ["size(embedding) AS width", "vec_id", "0L AS key", "embedding"]
+        asked = queries.join(level.where("level = 0"), "vec_id").selectExpr(
+            *columns, "level", f"CAST(pmod(xxhash64(vec_id, 1), {blocks}) AS INT) AS block", f"explode(sequence(0, {cuts - 1})) AS part"
+        )
+        known = indexed.selectExpr(
+            *columns, f"CAST(pmod(xxhash64(vec_id, 2), {cuts}) AS INT) AS part", f"explode(sequence(0, {blocks - 1})) AS block"
+        )
+        group = ["width", "part", "block"]
+        best = best.union(asked.groupBy(*group).cogroup(known.groupBy(*group)).applyInArrow(score, found))
     distinct = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return distinct.withColumn(
         "rank", F.expr("CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT)")
