@@ -372,3 +372,11 @@ def test_forest_above_8192_with_outliers_and_a_minority_width(spark):
             total[kinds[i]] += len(want)
     recall = hit / total
     assert not short and (recall >= 0.9).all() and recall[2] == recall[4] == 1, (short, recall)
+
+
+def test_forest_ties_of_scaled_copies(spark):
+    v = np.random.default_rng(4).standard_normal(8).astype(np.float32)
+    rows = [(50, v.tolist())] + [(i, (v * 2.0 ** (i % 7 - 3)).tolist()) for i in range(199, 100, -1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.rank): r.vec_id for r in forest.nearest(df, every=50, k=5).collect()}
+    assert got == {(50, k): 100 + k for k in range(1, 6)} | {(150, k): (50, *range(101, 105))[k - 1] for k in range(1, 6)}

@@ -153,8 +153,9 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             span = slice(int(low[n]), int(high[n]))
             near = unit[span] @ q[n]
             near[ids[span] == own[n]] = -np.inf
-            # A few more than k, since the last digits differ from the exact score.
-            top = np.argpartition(-near, min(2 * k, len(near) - 1))[: 2 * k] if len(near) > 2 * k else np.arange(len(near))
+            # All that may be among the k by the exact score, from which the product differs in the last digits.
+            slack = 1e-15 * (len(q[n]) + 16) * np.sqrt(q[n] @ q[n])
+            top = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k] - slack) if len(near) > k else np.arange(len(near))
             top = top[ids[span][top] != own[n]]
             if len(top):
                 exact = cosines(np.repeat(q[n : n + 1], len(top), axis=0), x[span][top])
