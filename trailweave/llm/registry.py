@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import bpe, chat, mixing, secrets, sharding, token_counts, toxicity
+from trailweave.llm import bpe, chat, mixing, periodic_runs, prefix_trie, secrets, sharding, token_counts, token_files, toxicity
 from trailweave.llm.embedding_dups import near_embeddings
 from trailweave.llm.forest import nearest
 from trailweave.llm.near_dups import near_duplicates
+from trailweave.workspace import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +116,59 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periodic_tails(_table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(prefix_trie.turns_of(_table(spark, sf_dir, "conversations")), "trie-turns")
+    return prefix_trie.prefix_trie(prefix_trie.paths_of(turns, shared=True)).drop("high", "low")
+
+
+OP12_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT conv_id, max(n) AS total, xor(list_reduce(list_concat([4294967295::BIGINT],
+        list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b:
+            list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 4 AS h
+    FROM turns GROUP BY conv_id),
+rebuilt AS (
+    SELECT c.conv_id, t.n AS depth, t.role, t.text
+    FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.n <= c.h
+    UNION ALL
+    SELECT c.conv_id, t.n - c.h + least(c.h, coalesce(b.total, 0)), t.role, t.text
+    FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.n > c.h LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20),
+paths AS (
+    SELECT conv_id, depth, length(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
+        list(length(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY depth) AS node
+    FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+nodes AS (SELECT node, depth, max(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs FROM paths GROUP BY node, depth),
+children AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+owned AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (node, depth)),
+sums AS (
+    SELECT p.node, p.depth, sum((o.n_convs - 1) * o.words) AS saved_tokens, count(*) FILTER (o.n_children = 0) AS n_leaves
+    FROM owned o JOIN paths p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY p.node, p.depth),
+ends AS (
+    SELECT node, depth, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+    FROM paths p WHERE depth = (SELECT max(depth) FROM paths q WHERE q.conv_id = p.conv_id) GROUP BY node, depth)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, t.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+    CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM owned o JOIN sums s USING (node, depth) LEFT JOIN ends e USING (node, depth)
+LEFT JOIN nodes t ON o.depth > 0 AND t.depth = o.depth - 1 AND t.node = o.node[1:o.depth - 1]
+"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(_table(spark, sf_dir, "documents"), end=2)
+    return token_files.digests(token_files.read(files))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -126,5 +180,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_files": op13_token_files,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op4_chat_formatting": OP4_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op12_prefix_trie": OP12_SQL}
