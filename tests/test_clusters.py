@@ -1,17 +1,20 @@
+import hashlib
 import random
 from collections import Counter
 
 import pytest
 
-from trailweave.operators import consensus, merge, walks
+from trailweave.operators import consensus, merge, overlap, walks
 from trailweave.operators.dfg import with_totals
+from trailweave.workspace import TableSeries
 
 
 def sequential(edges, cap, stop_at, min_count=2):
     """The queue of pairs, walked one by one."""
     names = sorted({x for s, d, _ in edges for x in (s, d)})
     cluster = {n: frozenset([n]) for n in names}
-    for s, d, c in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+    tie = {(s, d): int(hashlib.md5(f"{s}/{d}".encode()).hexdigest()[:13], 16) for s, d, _ in edges}
+    for s, d, c in sorted(edges, key=lambda e: (-e[2], tie[e[0], e[1]], e[0], e[1])):
         if c < min_count or len(set(cluster.values())) <= stop_at:
             break
         a, b = cluster[s], cluster[d]
@@ -33,6 +36,28 @@ def test_greedy_merge_equals_the_queue(make_graph, as_rows, seed, cap, stop_at):
     assert as_rows(merge.greedy_merge(df, cap, stop_at)) == sequential(edges, cap, stop_at)
 
 
+@pytest.fixture
+def rounds(monkeypatch):
+    """Rounds of the loops that write one table a round."""
+    seen = []
+    original = TableSeries.add
+
+    def spy(self, df, **measures):
+        seen.append(self.label)
+        return original(self, df, **measures)
+
+    monkeypatch.setattr(TableSeries, "add", spy)
+    return seen
+
+
+def test_greedy_merge_of_a_path_of_equal_pairs_takes_few_rounds(spark, as_rows, rounds):
+    names = [f"v{i:04d}" for i in range(1600)]
+    edges = [(a, b, 5) for a, b in zip(names, names[1:])]
+    df = spark.createDataFrame(edges, "src string, dst string, cnt long")
+    assert as_rows(merge.greedy_merge(df, 4, 0)) == sequential(edges, 4, 0)
+    assert 3 < len(rounds) < 30
+
+
 def test_greedy_merge_without_any_eligible_pair(make_graph, as_rows):
     _, df = make_graph("ab", [("a", "b", 1), ("a", "a", 9)])
     assert as_rows(merge.greedy_merge(df, 4, 1)) == [("a", "a"), ("b", "b")]
@@ -85,6 +110,29 @@ def test_consensus_on_random_communities(spark, as_rows):
     assert all(clusters[a] == clusters[b] for a, b, _ in pairs)
 
 
+def test_overlapping_pairs_equal_brute_force(spark, as_rows):
+    rng = random.Random(4)
+    sets = {i: rng.sample(range(12 if i % 2 else 40), rng.randint(0, 9)) for i in range(60)}
+    df = spark.createDataFrame([(i, i % 5, [f"p{x}" for x in v]) for i, v in sets.items()], "id long, part long, items array<string>")
+    for need in (1, 3, 5):
+        want = [
+            (a, b, len({*sets[a]} & {*sets[b]})) for a in sets for b in sets
+            if a < b and a % 5 != b % 5 and len({*sets[a]} & {*sets[b]}) >= need
+        ]
+        assert as_rows(overlap.overlapping_pairs(df, need)) == sorted(want)
+    nothing = df.limit(0)
+    assert overlap.overlapping_pairs(nothing, 2).count() == 0
+
+
+def test_a_giant_community_gives_few_candidates(spark):
+    """All kinds share five communities, two at a time six: candidates grow with the kinds, not with their square."""
+    kinds = 400
+    rows = [(i, i, [f"giant{t}" for t in range(5)] + [f"pair{i // 2}"] + [f"own{i}-{t}" for t in range(4)]) for i in range(kinds)]
+    df = spark.createDataFrame(rows, "id long, part long, items array<string>")
+    assert overlap.candidate_pairs(df, 6).count() <= kinds
+    assert overlap.overlapping_pairs(df, 6).count() == kinds // 2
+
+
 def test_strength_and_overlap(communities, as_rows):
     strength = consensus.membership_strength(communities)
     per_activity = Counter()

@@ -1,9 +1,11 @@
+import hashlib
 import math
 from collections import Counter, defaultdict
 
 import pytest
 
 from trailweave.operators import evaluate
+from trailweave.workspace import TableSeries
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +66,23 @@ def test_mapping_is_greedy_and_fills_up(spark, as_rows):
     assert as_rows(evaluate.label_mapping(df)) == [("m", "1", "p"), ("m", "2", "q"), ("m", "3", "r")]
 
 
+def test_mapping_of_equal_overlaps_takes_few_rounds(spark, monkeypatch):
+    """1,000 labels in a row, all of the same overlap: the outcome of the queue, in few rounds."""
+    seen = []
+    original = TableSeries.add
+    monkeypatch.setattr(TableSeries, "add", lambda self, df, **m: (seen.append(1), original(self, df, **m))[1])
+    rows = [("m", f"t{i + k:04d}", f"p{i:04d}", 3) for i in range(1000) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "name string, truth string, predicted string, n long")
+    got = {(r.predicted, r.truth) for r in evaluate.label_mapping(df).collect()}
+    queue = sorted((int(hashlib.md5(f"{p}/{t}".encode()).hexdigest()[:13], 16), p, t) for _, t, p, _ in rows)
+    want, taken = set(), set()
+    for _, p, t in queue:
+        if not {p, t} & taken:
+            want.add((p, t))
+            taken |= {p, t}
+    assert want <= got and len(got) == 1000 and 1 < len(seen) < 30
+
+
 def metrics(pairs):
     n = len(pairs)
     t, p, tp = Counter(a for a, _ in pairs), Counter(b for _, b in pairs), Counter(pairs)

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from trailweave.operators import components as comp
 from trailweave.operators import spread
@@ -120,6 +121,40 @@ def test_strong_components(make_graph, as_rows, seed):
     assert as_rows(comp.strong_components(nodes, df)) == want
 
 
+@pytest.fixture
+def write_outs(monkeypatch):
+    """Number of tables written so far."""
+    seen = []
+    original = DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kwargs):
+        seen.append(path)
+        return original(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    return seen
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_strong_components_of_a_long_path_and_cycle(spark, write_outs, closed):
+    n = 10_000
+    edges = spark.range(n if closed else n - 1).selectExpr(
+        "format_string('v%05d', id * 7919 % 10000) AS src", "format_string('v%05d', (id + 1) * 7919 % 10000) AS dst"
+    )
+    nodes = spark.range(n).selectExpr("format_string('v%05d', id) AS activity")
+    labels = comp.strong_components(nodes, edges)
+    assert labels.count() == n and labels.select("label").distinct().count() == (1 if closed else n)
+    assert len(write_outs) < 60
+
+
+def test_strong_components_of_cycles_chains_and_bridges(make_graph, as_rows):
+    cycles = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "d"), ("g", "h"), ("h", "g"), ("h", "i"), ("i", "g")]
+    bridges = [("c", "d"), ("e", "f"), ("f", "g"), ("s", "a"), ("s", "t"), ("t", "d"), ("i", "x"), ("x", "y"), ("x", "z"), ("q", "q")]
+    nodes, edges = make_graph("abcdefghistxyzqw", [(s, d, 1) for s, d in cycles + bridges])
+    want = dict.fromkeys("abc", "a") | dict.fromkeys("de", "d") | dict.fromkeys("ghi", "g") | {v: v for v in "fstxyzqw"}
+    assert as_rows(comp.strong_components(nodes, edges)) == sorted(want.items())
+
+
 @pytest.mark.parametrize("seed", [7, 8])
 def test_forest_is_that_of_kruskal_and_counts_components(make_graph, as_rows, seed):
     names, edges = random_graph(seed, n=24, m=60, top=5)

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from trailweave.operators import dfg
+from trailweave.operators import dfg, sequence
 from trailweave.operators.sequence import pair_counts, pair_graph, running_total
 
 
@@ -100,23 +100,43 @@ def test_thresholds_are_compared_in_integers(make_graph, as_rows):
     assert as_rows(dfg.strong(totals, 4).select("src", "dst")) == [("A", "A"), ("B", "A")]
 
 
-def test_no_global_window_or_single_partition_over_the_log(spark, make_log, hot_events):
-    """The only single-partition exchange is over slice borders; the log itself is ranged."""
+def plans_of(build):
+    """The plans of the passes that ``build`` writes with measures."""
     import trailweave.operators.sequence as sequence
 
     seen = []
     original = sequence.materialize_measured
 
     def spy(df, label, **measures):
-        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        if label == "pairs":
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
         return original(df, label, **measures)
 
     sequence.materialize_measured = spy
     try:
-        dfg.global_transitions(make_log(hot_events))
+        build()
     finally:
         sequence.materialize_measured = original
-    assert seen and all("rangepartitioning" in p and "SinglePartition" not in p for p in seen)
+    return seen
+
+
+@pytest.mark.parametrize("build", [dfg.global_transitions, dfg.case_transitions, dfg.neighbourhood_pairs])
+def test_one_exchange_of_the_log(make_log, hot_events, build):
+    """Rows go to their slices once; the other exchange is that of counted pairs."""
+    plans = plans_of(lambda: build(make_log(hot_events), slices=5))
+    assert plans and all("SinglePartition" not in p and "rangepartitioning" not in p for p in plans)
+    log = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning(" in line and "slice" in line and "rn" not in line]
+    assert len(log) == 1 and all(p.count("Exchange hashpartitioning(") == 2 for p in plans)
+
+
+def test_an_instant_and_a_case_of_many_rows_are_cut(spark, make_log):
+    """A third of the rows at one instant of one case: slices hold a bounded number of them."""
+    events = [(i, "hot" if i % 3 == 0 else f"c{i % 50}", 5000 if i % 3 == 0 else i, "A") for i in range(3000)]
+    log = make_log(events)
+    for within in ([], ["case_id"]):
+        cut = sequence._sliced(log, sequence.TIME_ORDER, within, 10)
+        sizes = [r["count"] for r in cut.rows.groupBy(*cut.partition).count().collect()]
+        assert cut.cut and sum(sizes) == 3000 and max(sizes) <= 700
 
 
 def test_null_activities_do_not_depend_on_slices(make_log, as_rows):

@@ -7,7 +7,7 @@ import pytest
 from trailweave.operators import windows
 
 
-def brute(events, seconds=600, decay=0.001):
+def brute(events, seconds=600, decay=0.001, least=0.0):
     groups = defaultdict(list)
     for e in events:
         if e[2] is not None:
@@ -17,9 +17,11 @@ def brute(events, seconds=600, decay=0.001):
         g.sort(key=lambda e: (e[2], e[0]))
         for i, x in enumerate(g):
             for y in g[i + 1 :]:
-                cell = out[x[3], y[3]]
-                cell[0] += 1
-                cell[1] += math.exp(-decay * (math.floor(y[2]) - math.floor(x[2])))
+                weight = math.exp(-decay * (math.floor(y[2]) - math.floor(x[2])))
+                if weight > least:
+                    cell = out[x[3], y[3]]
+                    cell[0] += 1
+                    cell[1] += weight
     return {k: (n, w) for k, (n, w) in out.items()}
 
 
@@ -69,3 +71,14 @@ def test_least_weight_is_guarded(make_log):
     assert windows.lasting(pairs).count() == 1
     with pytest.raises(ValueError):
         windows.lasting(pairs, seconds=7200)
+
+
+@pytest.mark.parametrize("decay, least", [(0.01, 0.01), (0.05, 0.5), (1.0, 0.9), (0.001, 0.01), (0.0, 1.0)])
+def test_pairs_below_the_least_weight_are_left_out(make_log, decay, least):
+    """Crowded and sparse windows, lags from none to the whole window, and no pair at all."""
+    rng = random.Random(8)
+    events = [(i, "x", rng.choice([5, rng.randrange(0, 600)]) + rng.random(), rng.choice("ABC")) for i in range(200)]
+    events += [(1000 + i, "x", 600 + rng.randrange(0, 1800), rng.choice("ABC")) for i in range(60)]
+    check(windows.lasting_pairs(make_log(events), decay=decay, least=least), events, decay=decay, least=least)
+    lags = [windows.longest_lag(0.01, 0.01, 600), windows.longest_lag(1.0, 0.9, 600), windows.longest_lag(0.0, 1.0, 600)]
+    assert lags == [460, 0, -1]

@@ -22,6 +22,11 @@ def java_hash(text: Column) -> Column:
     return F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned)
 
 
+def pair_hash(one: Column, other: Column) -> Column:
+    """A number below 2^52 that depends on an ordered pair of names only."""
+    return F.conv(F.substring(F.md5(F.concat(one, F.lit("/"), other)), 1, 13), 16, 10).cast("long")
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys only, so retried tasks repeat it."""
     text = F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed)))

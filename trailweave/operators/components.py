@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.operators.spread import min_label, run_rounds, start_labels
+from trailweave.operators.spread import Spread, run_rounds, start_labels
 from trailweave.workspace import materialize, materialize_measured
 
 
@@ -41,6 +41,19 @@ def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return labels if labels is not None else live.selectExpr(*keys, "b AS v", "a AS label")
 
 
+def more_labels(labels: DataFrame | None, links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``linked_labels`` of all links so far, from those of the earlier ones and the new ``links``.
+
+    New links are drawn between the components known already, so what was contracted
+    before is not looked at again.
+    """
+    if labels is None:
+        return linked_labels(links, keys)
+    keys = list(keys)
+    more = linked_labels(_follow(_follow(links, labels, "a", keys), labels, "b", keys), keys)
+    return materialize(_follow(labels, more, "label", keys).unionByName(more), "labels")
+
+
 def _follow(table: DataFrame, hooks: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Replace ``column`` by the label its value has in ``hooks``, if any."""
     jump = hooks.select(*keys, F.col("v").alias(column), F.col("label").alias("_jump"))
@@ -52,16 +65,14 @@ def _follow(table: DataFrame, hooks: DataFrame, column: str, keys: list[str]) ->
 
 def _roots(hooks: DataFrame, keys: list[str]) -> DataFrame:
     """Double the pointers of a forest ``(v, label)`` until every label is a root."""
-    hooks = materialize(hooks, "hooks")
-    while True:
-        jumped = _follow(hooks.withColumn("_was", F.col("label")), hooks, "label", keys)
-        hooks, seen = materialize_measured(
-            jumped.select(*keys, "v", "label", (F.col("label") != F.col("_was")).alias("_moved")), "hooks",
-            moved=F.count_if("_moved"),
+
+    def step(state: DataFrame) -> DataFrame:
+        target = state.select(*keys, F.col("v").alias("label"), F.col("label").alias("next"))
+        return state.join(target, [*keys, "label"], "left").select(
+            *keys, "v", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("changed")
         )
-        hooks = hooks.drop("_moved")
-        if not seen["moved"]:
-            return hooks
+
+    return run_rounds(materialize(hooks, "hooks"), step, None, "hooks", per_write=2)
 
 
 def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -76,50 +87,80 @@ def components(vertices: DataFrame, edges: DataFrame, keys: Sequence[str] = ())
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Strongly connected components, named by their smallest member: ``(v, label)``.
 
-    Until no vertex is left: vertices without an incoming or outgoing edge are alone;
-    the others take the smallest vertex that reaches them as colour, and those which
-    reach the vertex named by their colour, inside the colour, are its component.
+    Until no edge is left: chains that come from a vertex without predecessors, or lead to
+    one without successors, are alone and go; the others learn, in the same rounds, the first
+    vertex, in the order of a hash, that reaches them and the first that they reach.
+    Where both are the same it names a component, so every part of the graph gives one at
+    least; edges between vertices that differ in either are in no cycle and go.
     """
     found = []
-    left, links = vertices.select("activity"), edges.select("src", "dst").distinct()
+    links = edges.where("src <> dst").select("src", "dst").distinct()
     while True:
-        ends, measured = materialize_measured(
-            _with_both_directions(left, links), "scc-left", left=F.count("*"), busy=F.sum("busy")
-        )
-        if not measured["left"]:
+        links, measured = materialize_measured(links, "scc-links", n=F.count("*"))
+        if not measured["n"]:
             break
-        alone = ends.where(F.col("busy") == 0)
-        found.append(alone.select(F.col("activity").alias("v"), F.col("activity").alias("label")))
-        if not measured["busy"]:
-            break
-        busy = ends.where(F.col("busy") == 1).select("activity")
-        inner = materialize(_among(links, busy), "scc-links")
-        colour = min_label(busy, inner, rounds=None)
-        source = colour.select(F.col("v").alias("src"), F.col("label").alias("c1"))
-        target = colour.select(F.col("v").alias("dst"), F.col("label").alias("c2"))
-        within = (
-            inner.join(source, "src").join(target, "dst").where(F.col("c1") == F.col("c2"))
-            .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        inner = materialize(_among(links, _beyond_chains(links, measured["n"])), "scc-inner")
+        colours = _first_reached(inner)
+        named = colours.where("after = before").select("v", F.col("after.name").alias("root"))
+        found.append(named)
+        left = colours.where("after <> before")
+        one = left.select(F.col("v").alias("src"), F.col("after").alias("a1"), F.col("before").alias("b1"))
+        two = left.select(F.col("v").alias("dst"), F.col("after").alias("a2"), F.col("before").alias("b2"))
+        links = inner.join(one, "src").join(two, "dst").where("a1 = a2 AND b1 = b2").select("src", "dst")
+    if not found:
+        return start_labels(vertices)
+    roots = reduce(DataFrame.union, found)
+    labels = roots.join(roots.groupBy("root").agg(F.min("v").alias("label")), "root").select("v", "label")
+    return vertices.select(F.col("activity").alias("v")).join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    """Edges as ``(way, src, dst)``, forwards (0) and backwards (1)."""
+    return links.select(F.lit(0).alias("way"), "src", "dst").union(links.select(F.lit(1), "dst", "src"))
+
+
+def _beyond_chains(links: DataFrame, n: int) -> DataFrame:
+    """Vertices that are on no chain from a vertex without predecessors or to one without successors.
+
+    A vertex with one predecessor points to it.  The pointers are doubled; a chain that ends
+    at a vertex without predecessors leads to nothing.  On cycles they never end, but no
+    chain is longer than the number of edges.
+    """
+    ends = _both_ways(links).groupBy("way", F.col("dst").alias("v")).agg(F.count("*").alias("n"), F.min("src").alias("one"))
+    # What a pointer shows is missing where there is nothing before it.
+    chains = ends.select("way", "v", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("v")).alias("at"))
+
+    def step(state: DataFrame) -> DataFrame:
+        target = state.selectExpr("way", "v AS at", "at AS next")
+        return state.join(target, ["way", "at"], "left").selectExpr("way", "v", "next AS at", "NOT (at <=> next) AS changed")
+
+    state = run_rounds(materialize(chains, "scc-chains"), step, n.bit_length(), "scc-chains")
+    return state.groupBy("v").agg(F.count("at").alias("ways")).where("ways = 2").select(F.col("v").alias("activity"))
+
+
+def _first_reached(links: DataFrame) -> DataFrame:
+    """``(v, after, before)``: the first vertex by hash that reaches ``v``, and that ``v`` reaches.
+
+    A round takes the first among the neighbours, and then what that one knew itself, so
+    that knowledge doubles its reach along paths.
+    """
+    ends = links.select(F.col("src").alias("v")).union(links.select("dst")).distinct()
+    ways = ends.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), "v")
+    state = materialize(ways.selectExpr("way", "v", "struct(xxhash64(v) AS hash, v AS name) AS label"), "scc-labels")
+    spread = Spread(_both_ways(links).union(ways.selectExpr("way", "v", "v")), ["way"])
+
+    def step(state: DataFrame) -> DataFrame:
+        met = spread.along(state).groupBy("way", "dst").agg(
+            F.expr("min(label) AS label"), F.expr("max(if(src = dst, label, null)) AS was")
         )
-        # Backwards: the vertex that names the colour starts with "0", all others with "1".
-        marks = colour.select("v", F.when(F.col("v") == F.col("label"), "0").otherwise("1").alias("label"))
-        reach = min_label(busy, within, rounds=None, initial=marks)
-        hit = colour.join(reach.where(F.col("label") == "0").select("v"), "v")
-        found.append(hit)
-        left = busy.join(hit.select(F.col("v").alias("activity")), "activity", "left_anti")
-        links = _among(inner, left)
-    return reduce(DataFrame.union, found) if found else start_labels(vertices)
-
-
-def _with_both_directions(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """Add ``busy``: 1 where a vertex has edges to and from others."""
-    other = links.where(F.col("src") != F.col("dst"))
-    turns = other.select(F.col("src").alias("activity"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
-        other.select("dst", F.lit(0), F.lit(1))
+        known = state.selectExpr("way", "v AS name", "label AS further")
+        seen = met.selectExpr("way", "dst AS v", "label", "was", "label.name AS name").join(known, ["way", "name"], "left")
+        return seen.selectExpr("way", "v", "least(label, further) AS label", "least(label, further) <> was AS changed")
+
+    done = run_rounds(state, step, None, "scc-labels", per_write=2)
+    return done.groupBy("v").agg(
+        F.max(F.expr("if(way = 0, label, null)")).alias("after"), F.max(F.expr("if(way = 1, label, null)")).alias("before")
     )
-    seen = turns.groupBy("activity").agg(F.max("out").alias("out"), F.max("in").alias("in"))
-    busy = F.coalesce(F.col("out") * F.col("in"), F.lit(0))
-    return vertices.join(seen, "activity", "left").select("activity", busy.alias("busy"))
 
 
 def _among(links: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.operators.components import components
 from trailweave.operators.dfg import PROBABILITY_STEPS
+from trailweave.operators.overlap import overlapping_pairs
 from trailweave.operators.sequence import running_total
 from trailweave.operators.spread import LABEL_ROUNDS, min_label
 from trailweave.workspace import materialize, materialize_measured
@@ -17,25 +20,32 @@ REFINE_MAX = 10
 REFINE_CHUNK = 5
 
 
-def threshold_edges(edges_with_totals: DataFrame, steps: int = PROBABILITY_STEPS) -> DataFrame:
+def threshold_edges(
+    edges_with_totals: DataFrame, steps: int = PROBABILITY_STEPS, tids: Sequence[int] | None = None
+) -> DataFrame:
     """One row per edge and threshold ``tid / steps`` it passes, compared in integers."""
+    levels = F.sequence(F.lit(1), F.col("passed"))
+    if tids is not None:
+        levels = F.filter(F.array(*map(F.lit, tids)), lambda t: t <= F.col("passed"))
     passed = F.expr(f"cast(least({steps}, cnt * {steps} div total) as int)")
     return (
         edges_with_totals.withColumn("passed", passed)
         .where(F.col("passed") >= 1)
-        .select(F.explode(F.sequence(F.lit(1), F.col("passed"))).alias("tid"), "src", "dst")
+        .select(F.explode(levels).alias("tid"), "src", "dst")
     )
 
 
 def threshold_communities(
-    vertices: DataFrame, edges_with_totals: DataFrame, steps: int = PROBABILITY_STEPS, rounds: int = LABEL_ROUNDS
+    vertices: DataFrame, edges_with_totals: DataFrame, steps: int = PROBABILITY_STEPS, rounds: int = LABEL_ROUNDS,
+    tids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Min-label communities at every probability threshold: ``(tid, v, label)``.
 
-    All thresholds run in the same rounds, kept apart by ``tid``.
+    All thresholds, or those of ``tids``, run in the same rounds, kept apart by ``tid``.
     """
-    nodes = vertices.select(F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("tid"), "activity")
-    return min_label(nodes, threshold_edges(edges_with_totals, steps), rounds, keys=["tid"])
+    levels = F.array(*map(F.lit, range(1, steps + 1) if tids is None else tids))
+    nodes = vertices.select(F.explode(levels).alias("tid"), "activity")
+    return min_label(nodes, threshold_edges(edges_with_totals, steps, tids), rounds, keys=["tid"])
 
 
 class SharedCommunities:
@@ -64,18 +74,8 @@ class SharedCommunities:
 
     def kind_pairs(self, min_times: int) -> DataFrame:
         """Pairs of kinds ``(k1, k2, times)`` that share at least ``min_times`` communities."""
-        places = self.kinds.where(F.col("times") >= min_times).select(
-            "kind", F.explode("places").alias("place")
-        )
-        left = places.select(F.col("kind").alias("k1"), "place")
-        right = places.select(F.col("kind").alias("k2"), "place")
-        return (
-            left.join(right, "place")
-            .where(F.col("k1") < F.col("k2"))
-            .groupBy("k1", "k2")
-            .agg(F.count("*").alias("times"))
-            .where(F.col("times") >= min_times)
-        )
+        sets = self.kinds.select(F.col("kind").alias("id"), F.col("kind").alias("part"), F.col("places").alias("items"))
+        return overlapping_pairs(sets, min_times).select(F.col("a").alias("k1"), F.col("b").alias("k2"), "times")
 
 
 def majority_times(steps: int = PROBABILITY_STEPS) -> int:
@@ -118,7 +118,7 @@ def consensus_clusters(communities: DataFrame, steps: int = PROBABILITY_STEPS) -
 
     Members of one kind hang on its smallest member, and kinds with a common run of list
     entries on the first of them, instead of on each other.  Only kinds that are still
-    apart after that are compared, community by community.
+    apart after that are compared, by the rarest communities they have.
     """
     need = majority_times(steps)
     shared = SharedCommunities(communities)
@@ -129,9 +129,9 @@ def consensus_clusters(communities: DataFrame, steps: int = PROBABILITY_STEPS) -
     near = materialize(_run_links(kinds, need), "consensus-runs")
     groups = components(kinds.select(F.col("kind").alias("activity")), near)
     links = star.union(near)
-    places, measured = materialize_measured(_contested_places(kinds, groups), "consensus-places", n=F.count("*"))
+    open_, measured = materialize_measured(_contested_sets(kinds, groups), "consensus-open", n=F.count("*"))
     if measured["n"]:
-        links = links.union(_links_between_groups(places, need))
+        links = links.union(overlapping_pairs(open_, need).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     links = materialize(links, "consensus-links")
     nodes = links.select(F.col("src").alias("activity")).union(links.select("dst")).distinct()
     return components(nodes, links).select(F.col("label").alias("cluster_id"), F.col("v").alias("activity"))
@@ -152,26 +152,19 @@ def _run_links(kinds: DataFrame, need: int) -> DataFrame:
     )
 
 
-def _contested_places(kinds: DataFrame, groups: DataFrame) -> DataFrame:
-    """Communities whose kinds are not linked yet, with the group of each kind."""
+def _contested_sets(kinds: DataFrame, groups: DataFrame) -> DataFrame:
+    """Kinds with those of their communities whose kinds are not all linked yet: ``(id, part, items)``.
+
+    ``part`` is the group of a kind.  Kinds of two groups share contested communities only.
+    """
     grouped = groups.select(F.col("v").alias("kind"), F.col("label").alias("grp"))
     places = kinds.select("kind", F.explode("places").alias("place")).join(grouped, "kind")
     contested = (
         places.groupBy("place").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
         .where(F.col("lo") < F.col("hi")).select("place")
     )
-    return places.join(contested, "place")
-
-
-def _links_between_groups(places: DataFrame, need: int) -> DataFrame:
-    left = places.select(F.col("kind").alias("src"), F.col("grp").alias("g1"), "place")
-    right = places.select(F.col("kind").alias("dst"), F.col("grp").alias("g2"), "place")
-    return (
-        left.join(right, "place")
-        .where(F.col("g1") < F.col("g2"))
-        .groupBy("src", "dst").agg(F.count("*").alias("times"))
-        .where(F.col("times") >= need)
-        .select("src", "dst")
+    return places.join(contested, "place").groupBy(F.col("kind").alias("id"), F.col("grp").alias("part")).agg(
+        F.collect_list("place").alias("items")
     )
 
 

@@ -1,7 +1,7 @@
 """Scores of clusterings against the known clusters of a log.
 
 A clustering is judged by its edges: consecutive members of a cluster.  All result sets
-are scored together, told apart by ``name``.
+are scored together, told apart by ``name``; a set without edges has scores as well.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.functions.keys import pair_hash
 from trailweave.operators.sequence import TIME_ORDER, pair_counts, running_total
 from trailweave.workspace import TableSeries, materialize, materialize_measured
 
+# Names of the result sets: a list, or a table with the column ``name``.
+Names = Sequence[str] | DataFrame
 # Fixed value: label of an edge that one side does not have.
 MISSING = "-1"
 
@@ -54,7 +57,7 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
 
 
-def commonality(truth: DataFrame, predicted: DataFrame, names: Sequence[str], directed: bool = False) -> DataFrame:
+def commonality(truth: DataFrame, predicted: DataFrame, names: Names, directed: bool = False) -> DataFrame:
     """Matches of truth edges: ``(name, found, total, ratio)``.
 
     Every matching pair of a truth edge and a predicted edge counts, so an edge that a
@@ -64,7 +67,7 @@ def commonality(truth: DataFrame, predicted: DataFrame, names: Sequence[str], di
     known = _undirected(truth).groupBy(*key).agg(F.count("*").alias("nt"))
     guess = _undirected(predicted).groupBy("name", *key).agg(F.count("*").alias("np"))
     found = guess.join(known, key).groupBy("name").agg(F.sum(F.col("nt") * F.col("np")).alias("found"))
-    total = truth.agg(F.count("*").alias("total")).withColumn("name", F.explode(_literal_names(names)))
+    total = _for_each(truth.agg(F.count("*").alias("total")), names)
     return total.join(found, "name", "left").select(
         "name",
         F.coalesce("found", F.lit(0)).alias("found"),
@@ -73,11 +76,16 @@ def commonality(truth: DataFrame, predicted: DataFrame, names: Sequence[str], di
     )
 
 
-def _literal_names(names: Sequence[str]):
-    return F.array(*[F.lit(n) for n in names])
+def _for_each(table: DataFrame, names: Names) -> DataFrame:
+    """The rows of a table of totals once for each result set."""
+    spark = table.sparkSession
+    if not isinstance(names, DataFrame):
+        names = spark.createDataFrame([(n,) for n in names], "name string")
+    every = spark.sql("SELECT *, (SELECT collect_set(name) FROM {names}) AS names FROM {table}", names=names, table=table)
+    return every.select("*", F.explode("names").alias("name")).drop("names")
 
 
-def chain_accuracy(truth: DataFrame, predicted: DataFrame, chain: DataFrame, names: Sequence[str]) -> DataFrame:
+def chain_accuracy(truth: DataFrame, predicted: DataFrame, chain: DataFrame, names: Names) -> DataFrame:
     """Confusion over the activity chain: ``(name, tp, fp, fn, tn, accuracy, custom)``.
 
     ``fp`` counts chain pairs that only the truth has and ``fn`` those only the result
@@ -93,9 +101,7 @@ def chain_accuracy(truth: DataFrame, predicted: DataFrame, chain: DataFrame, nam
     hits = guess.join(universe, key).groupBy("name").agg(
         F.sum("known").alias("tp"), F.sum(1 - F.col("known")).alias("fn")
     )
-    sizes = universe.agg(F.count("*").alias("pairs"), F.sum("known").alias("known")).withColumn(
-        "name", F.explode(_literal_names(names))
-    )
+    sizes = _for_each(universe.agg(F.count("*").alias("pairs"), F.sum("known").alias("known")), names)
     tp, fn = F.coalesce("tp", F.lit(0)), F.coalesce("fn", F.lit(0))
     return (
         sizes.join(hits, "name", "left")
@@ -109,7 +115,7 @@ def chain_accuracy(truth: DataFrame, predicted: DataFrame, chain: DataFrame, nam
     )
 
 
-def label_contingency(truth: DataFrame, predicted: DataFrame, names: Sequence[str]) -> DataFrame:
+def label_contingency(truth: DataFrame, predicted: DataFrame, names: Names) -> DataFrame:
     """Edges by truth and predicted label: ``(name, truth, predicted, n)``, ``-1`` = missing.
 
     Where a side has an edge more than once, its last label counts.
@@ -126,7 +132,7 @@ def label_contingency(truth: DataFrame, predicted: DataFrame, names: Sequence[st
         .agg(F.count("*").alias("n")),
         "contingency",
     )
-    every = known.groupBy("truth").agg(F.count("*").alias("n")).withColumn("name", F.explode(_literal_names(names)))
+    every = _for_each(known.groupBy("truth").agg(F.count("*").alias("n")), names)
     met = seen.groupBy("name", "truth").agg(F.sum("n").alias("met"))
     unmet = every.join(met, ["name", "truth"], "left").select(
         "name", "truth", F.lit(MISSING).alias("predicted"), (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")
@@ -134,35 +140,42 @@ def label_contingency(truth: DataFrame, predicted: DataFrame, names: Sequence[st
     return seen.union(unmet.where(F.col("n") > 0))
 
 
-# Pairs of labels that are the best one left for both.
-_BEST_PAIRS = """
-WITH sides AS (
-  SELECT name, min(struct(-n AS ord, predicted, truth)) AS best FROM {live} GROUP BY name, predicted
-  UNION ALL
-  SELECT name, min(struct(-n AS ord, predicted, truth)) AS best FROM {live} GROUP BY name, truth)
-SELECT name, best.predicted, best.truth FROM sides GROUP BY name, best HAVING count(*) = 2
+# One round over pairs that are not taken: those that are the best one left for both their
+# labels are taken, and pairs that share a label with them go.
+_ROUND = """
+WITH judged AS (
+  SELECT *, pair = min(pair) OVER (PARTITION BY name, predicted) AND pair = min(pair) OVER (PARTITION BY name, truth) AS best
+  FROM {live}),
+left AS (
+  SELECT *, max(best) OVER (PARTITION BY name, predicted) OR max(best) OVER (PARTITION BY name, truth) AS met FROM judged)
+SELECT name, predicted, truth, pair, best AS taken FROM left WHERE best OR NOT met
 """
 
 
 def label_mapping(contingency: DataFrame) -> DataFrame:
     """One-to-one mapping of predicted to truth labels: ``(name, predicted, truth)``.
 
-    Pairs are taken by overlap, largest first (ties: predicted, then truth label).  A
+    Pairs are taken by overlap, largest first, equal ones by a hash of the labels.  A
     round accepts every pair that is the best one left for both its labels, which gives
-    the outcome of taking them one by one.  It need not be the assignment of the largest
-    total overlap.  Labels left over without overlap are paired in name order.
+    the outcome of taking them one by one; by the hash, pairs of equal overlap do not wait
+    for each other in a row, so rounds grow with the logarithm of the labels.  It need not
+    be the assignment of the largest total overlap.  Labels left over without overlap are
+    paired in name order.
     """
     overlap = contingency.where((F.col("truth") != MISSING) & (F.col("predicted") != MISSING))
-    live, measured = materialize_measured(overlap, "mapping-live", n=F.count("*"))
-    steps, taken = TableSeries(live.sparkSession, "mapping-rounds"), 0
+    tie = pair_hash(F.col("predicted"), F.col("truth"))
+    live, measured = materialize_measured(
+        overlap.select(
+            "name", "predicted", "truth", F.struct((-F.col("n")).alias("ord"), tie.alias("tie"), "predicted", "truth").alias("pair"),
+            F.lit(False).alias("taken"),
+        ),
+        "mapping-live", n=F.count("*"),
+    )
+    steps = TableSeries(live.sparkSession, "mapping-rounds")
     while measured["n"]:
-        mutual, found = steps.add(live.sparkSession.sql(_BEST_PAIRS, live=live), n=F.count("*"))
-        taken += found["n"]
-        left = live.join(mutual.select("name", "predicted"), ["name", "predicted"], "left_anti").join(
-            mutual.select("name", "truth"), ["name", "truth"], "left_anti"
-        )
-        live, measured = materialize_measured(left, "mapping-live", n=F.count("*"))
-    done = steps.all() if taken else live.select("name", "predicted", "truth")
+        after = live.sparkSession.sql(_ROUND, live=live.where("NOT taken"))
+        live, measured = steps.add(after, n=F.count_if(~F.col("taken")))
+    done = (steps.all().where("taken") if steps.count else live).select("name", "predicted", "truth")
     labels = [contingency.where(F.col(side) != MISSING).select("name", side).distinct() for side in ("predicted", "truth")]
     rest = [
         running_total(
@@ -238,7 +251,7 @@ def weighted_f1(table: DataFrame) -> DataFrame:
     return joined.groupBy("name").agg(F.sum(f1 * F.col("nt") / F.col("total")).alias("f1"))
 
 
-def score_all(log: DataFrame, predicted: DataFrame, names: Sequence[str]) -> DataFrame:
+def score_all(log: DataFrame, predicted: DataFrame, names: Names) -> DataFrame:
     """All scores of all result sets, to be ordered by ``custom`` at the sink."""
     truth = materialize(truth_edges(log), "truth-edges")
     predicted = materialize(predicted, "predicted-edges")

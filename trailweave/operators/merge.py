@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.functions.keys import pair_hash
 from trailweave.operators.components import components
 from trailweave.operators.dfg import endpoints
 from trailweave.operators.sequence import running_total
@@ -40,15 +41,20 @@ SELECT ca, cb, 0 AS na, 0 AS nb, pair FROM mutual
 
 
 def merge_steps(edges: DataFrame, cap: int, min_count: int = MIN_COUNT) -> tuple[DataFrame, int]:
-    """All merges of the unlimited run: ``(ord, src, dst)`` in queue order, and their number.
+    """All merges of the unlimited run: ``(ord, tie, src, dst)`` in queue order, and their number.
 
-    The queue takes pairs by ``(cnt desc, src, dst)`` and unites two clusters if the sum
-    of their sizes is at most ``cap``.  Instead of one pair at a time, each round merges
-    every pair that is the best eligible one of both its clusters: nothing ahead of it in
-    the queue can touch either cluster, because sizes only grow and a pair that does not
-    fit never fits again.  The outcome is that of the sequential queue.
+    The queue takes pairs by count, largest first, equal counts by a hash of ``(src,
+    dst)``, and unites two clusters if the sum of their sizes is at most ``cap``.  Instead
+    of one pair at a time, each round merges every pair that is the best eligible one of
+    both its clusters: nothing ahead of it in the queue can touch either cluster, because
+    sizes only grow and a pair that does not fit never fits again.  The outcome is that of
+    the sequential queue.
+
+    Equal counts in the order of names would make a chain of equal pairs wait for each
+    other one by one.  In the order of a hash, a pair waits for its neighbours only while
+    their hashes fall, so the rounds grow with the logarithm of the pairs.
     """
-    rank = F.struct((-F.col("cnt")).alias("ord"), "src", "dst")
+    rank = F.struct((-F.col("cnt")).alias("ord"), pair_hash(F.col("src"), F.col("dst")).alias("tie"), "src", "dst")
     live = (
         edges.where((F.col("src") != F.col("dst")) & (F.col("cnt") >= min_count))
         .groupBy(F.least("src", "dst").alias("ca"), F.greatest("src", "dst").alias("cb"))
@@ -65,7 +71,7 @@ def merge_steps(edges: DataFrame, cap: int, min_count: int = MIN_COUNT) -> tuple
         table, measured = steps.add(after, live=live_rows, merged=merged_rows)
         total += measured["merged"]
     done = steps.all().where("na = 0") if total else table.where("na = 0")
-    return done.selectExpr("pair.ord", "pair.src", "pair.dst"), total
+    return done.selectExpr("pair.ord", "pair.tie", "pair.src", "pair.dst"), total
 
 
 def greedy_merge(
@@ -80,6 +86,6 @@ def greedy_merge(
     steps, total = merge_steps(edges, cap, min_count)
     allowed = max(nodes.count() - stop_at, 0)
     if total > allowed:
-        steps = running_total(steps, ["ord", "src", "dst"], name="place").where(F.col("place") <= allowed)
+        steps = running_total(steps, ["ord", "tie", "src", "dst"], name="place").where(F.col("place") <= allowed)
     labels = components(nodes, steps)
     return labels.select(F.col("label").alias("cluster_id"), F.col("v").alias("activity"))

@@ -19,37 +19,42 @@ SWEEP_STEPS = 20
 SWEEP_FIRST = 2
 
 STEPS_PER_WRITE = 5
+# Join keys that the walkers at one vertex are spread over, at least.
+KEYS_PER_VERTEX = 16
+
+
+def _exits(edges_with_totals: DataFrame) -> DataFrame:
+    """``(activity, total, width, ways)`` of every vertex that a walk can leave.
+
+    The range ``0..total-1`` of a vertex is cut into cells of ``width``, about as many as it
+    has neighbours.  A vertex of few neighbours has few cells, and is listed ``ways`` times.
+    """
+    degrees = edges_with_totals.groupBy(F.col("src").alias("activity")).agg(F.max("total").alias("total"), F.count("*").alias("n"))
+    return degrees.selectExpr("activity", "total", "(total + n - 1) DIV n AS width", f"CAST({KEYS_PER_VERTEX} DIV n AS INT) + 1 AS ways")
 
 
 def _next_vertex_table(nodes: DataFrame, edges_with_totals: DataFrame) -> DataFrame:
-    """Where a draw ``r`` in ``0..total-1`` leads from each vertex.
+    """Where a draw leads: ``(lost, src, cell, way, lo, hi, to, to_total, to_width, to_ways)``.
 
     Neighbours of ``src``, ordered by ``(cnt, dst)``, own the intervals ``[lo, hi)`` of
-    their cumulative counts.  The range of a vertex is also cut into as many equal cells
-    as it has neighbours, and an interval is listed in every cell it touches.  A walker
-    joins on (vertex, cell): it meets about two candidates however many neighbours there
-    are, and a popular vertex is spread over its cells.
+    their cumulative counts, and an interval is listed in every cell it touches.  A walker
+    joins on vertex, cell and way: it meets about two candidates however many neighbours
+    there are, and walkers at a popular vertex are spread over its cells and ways.
+
+    Walkers at a dead end are ``lost``.  For all of them there is one more entry per vertex,
+    each a cell of its own, so that restarts are a draw like any other.
     """
     spans = running_total(edges_with_totals, ["cnt", "dst"], F.col("cnt"), within=["src"], name="hi")
-    width = edges_with_totals.groupBy("src").agg(F.count("*").alias("cells"))
-    first = F.expr("(hi - cnt) * cells div total")
-    last = F.expr("(hi - 1) * cells div total")
-    return (
-        spans.join(width, "src")
-        .select(
-            "src",
-            F.explode(F.sequence(first, last)).alias("cell"),
-            (F.col("hi") - F.col("cnt")).alias("lo"),
-            "hi",
-            "dst",
-        )
-        .join(
-            nodes.select(
-                F.col("activity").alias("dst"), F.col("total").alias("dst_total"), F.col("cells").alias("dst_cells")
-            ),
-            "dst",
-        )
+    exits = nodes.where("NOT lost").select(F.col("activity").alias("src"), "width", "ways")
+    listed = spans.join(exits, "src").selectExpr("src", "hi - cnt AS lo", "hi", "dst", "width", "ways").selectExpr(
+        "src", "explode(sequence(lo DIV width, (hi - 1) DIV width)) AS cell", "lo", "hi", "dst", "ways"
+    )
+    listed = listed.selectExpr("false AS lost", "src", "cell", "explode(sequence(0, ways - 1)) AS way", "lo", "hi", "dst")
+    again = nodes.selectExpr(
+        "true AS lost", "'' AS src", "place - 1 AS cell", "0 AS way", "place - 1 AS lo", "place AS hi", "activity AS dst"
     )
+    target = nodes.selectExpr("activity AS dst", "lost AS to_lost", "total AS to_total", "width AS to_width", "ways AS to_ways")
+    return listed.unionByName(again).join(target, "dst")
 
 
 def walk_cooccurrence(
@@ -66,61 +71,44 @@ def walk_cooccurrence(
     A pair is emitted once per walk with the number of steps at which it counted: the
     successes from the one that completed the pair onwards.
     """
-    outgoing = edges_with_totals.groupBy("src").agg(
-        F.max("total").alias("total"), F.count("*").alias("cells")
+    size = vertices.count()
+    # A vertex without exits has the range of all vertices, one to a cell.
+    known = vertices.join(_exits(edges_with_totals), "activity", "left").selectExpr(
+        "activity", "total IS NULL AS lost", f"coalesce(total, {size}L) AS total", "coalesce(width, 1L) AS width", "coalesce(ways, 1) AS ways"
     )
-    nodes = materialize(
-        running_total(
-            vertices.join(outgoing.withColumnRenamed("src", "activity"), "activity", "left"), ["activity"], name="place"
-        ),
-        "walk-nodes",
-    )
-    size = nodes.count()
+    nodes = materialize(running_total(known, ["activity"], name="place"), "walk-nodes")
     steps = materialize(_next_vertex_table(nodes, edges_with_totals), "walk-table")
-    restart = nodes.select(
-        F.col("place").alias("r_place"),
-        F.col("activity").alias("r_cur"),
-        F.col("total").alias("r_total"),
-        F.col("cells").alias("r_cells"),
-    )
     spark = vertices.sparkSession
     state = nodes.select(
         F.col("activity").alias("start"),
         F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"),
-        F.col("activity").alias("cur"),
+        "lost",
+        F.when(F.col("lost"), F.lit("")).otherwise(F.col("activity")).alias("cur"),
         "total",
-        "cells",
+        "width",
+        "ways",
         F.array(F.struct(F.lit(0).alias("at"), F.col("activity").alias("seen"))).alias("path"),
         F.lit(0).alias("wins"),
     ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start", "walk")
 
     for step in range(1, length + 1):
         u = uniform(seed, F.col("start"), F.col("walk"), F.lit(step))
-        draw = F.floor(u * F.coalesce("total", F.lit(size))).cast("long")
-        state = state.withColumn("draw", draw).withColumns(
-            {
-                "cell": F.expr("draw * cells div total"),
-                "jump": F.when(F.col("total").isNull(), F.col("draw") + 1),
-            }
+        state = state.withColumn("draw", F.floor(u * F.col("total")).cast("long")).selectExpr(
+            "start", "walk", "lost", "cur AS src", "draw DIV width AS cell", "pmod(hash(start, walk), ways) AS way", "draw", "path", "wins"
         )
-        moved = state.join(
-            steps,
-            (state["cur"] == steps["src"])
-            & (state["cell"] == steps["cell"])
-            & (state["draw"] >= steps["lo"])
-            & (state["draw"] < steps["hi"]),
-            "left",
-        ).join(restart, F.col("jump") == F.col("r_place"), "left")
-        won = F.col("dst").isNotNull()
-        known = F.exists("path", lambda p: p["seen"] == F.col("dst"))
+        moved = state.join(steps, ["lost", "src", "cell", "way"]).where("draw >= lo AND draw < hi")
+        won = ~F.col("lost")
+        seen = F.exists("path", lambda p: p["seen"] == F.col("dst"))
         entry = F.array(F.struct((F.col("wins") + 1).alias("at"), F.col("dst").alias("seen")))
         state = moved.select(
             "start",
             "walk",
-            F.coalesce("dst", "r_cur").alias("cur"),
-            F.when(won, F.col("dst_total")).otherwise(F.col("r_total")).alias("total"),
-            F.when(won, F.col("dst_cells")).otherwise(F.col("r_cells")).alias("cells"),
-            F.when(won & ~known, F.concat("path", entry)).otherwise(F.col("path")).alias("path"),
+            F.col("to_lost").alias("lost"),
+            F.when(F.col("to_lost"), F.lit("")).otherwise(F.col("dst")).alias("cur"),
+            F.col("to_total").alias("total"),
+            F.col("to_width").alias("width"),
+            F.col("to_ways").alias("ways"),
+            F.when(won & ~seen, F.concat("path", entry)).otherwise(F.col("path")).alias("path"),
             (F.col("wins") + won.cast("int")).alias("wins"),
         )
         if step % STEPS_PER_WRITE == 0 and step < length:

@@ -36,8 +36,15 @@ MIN_WEIGHT = 0.01
 DIRECT = 64
 
 
-def _pairs_of_level(events: DataFrame, group: list[str], step: Column, second: Column | None, decay: float) -> DataFrame:
-    """Pairs whose steps differ within ``group``: ``(src, dst, cnt, weight)``."""
+def longest_lag(decay: float, least: float, seconds: int) -> int:
+    """Whole seconds up to which a pair of events weighs more than ``least``; below ``seconds``."""
+    return max((lag for lag in range(seconds) if math.exp(-decay * lag) > least), default=-1)
+
+
+def _pairs_of_level(
+    events: DataFrame, group: list[str], step: Column, second: Column | None, decay: float, lag: int | None = None
+) -> DataFrame:
+    """Pairs whose steps differ within ``group``, by ``lag`` at most if given: ``(src, dst, cnt, weight)``."""
     amounts = [F.count("*").alias("n")]
     if second is not None:
         amounts += [
@@ -49,7 +56,8 @@ def _pairs_of_level(events: DataFrame, group: list[str], step: Column, second: C
     cells = materialize(events.groupBy(*group, step.alias("step"), "activity").agg(*amounts), "window-cells")
     steps = cells.select(*group, "step").distinct()
     actors = cells.groupBy(*group, "activity").agg(F.min("step").alias("first"))
-    earlier = W.partitionBy(*group, "activity").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    steps_of = W.partitionBy(*group, "activity").orderBy("step")
+    earlier = steps_of.rowsBetween(W.unboundedPreceding, -1) if lag is None else steps_of.rangeBetween(-lag, -1)
     gathered = (
         steps.join(actors, group).where(F.col("step") >= F.col("first"))
         .join(cells, [*group, "step", "activity"], "left")
@@ -69,13 +77,24 @@ def _pairs_of_level(events: DataFrame, group: list[str], step: Column, second: C
     )
 
 
-def window_pairs(log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY) -> DataFrame:
+def window_pairs(
+    log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float | None = None
+) -> DataFrame:
     """All ordered pairs of events in the same window: ``(src, dst, cnt, weight)``.
 
     Windows are aligned to the epoch and do not overlap.  Events are ordered by
     ``(ts, event_id)``; ``weight`` sums ``exp(-decay * dt)`` over the pairs, ``dt`` in
     whole seconds.  Events without a time are in no window.
+
+    With ``least``, only pairs of events that weigh more than that count.  As the weight
+    falls with ``dt`` alone, these are the pairs up to a lag: a sliding sum over the cells
+    of earlier seconds in place of the sum over all of them.
     """
+    lag = None if least is None else longest_lag(decay, least, seconds)
+    if lag is not None and lag < 0:  # not even events of the same second
+        return _no_pairs(log)
+    if lag is not None and lag >= seconds - 1:
+        lag = None
     us = epoch_micros(F.col("ts"))
     events = log.where(F.col("ts").isNotNull()).select(
         F.floor(us / F.lit(seconds * 1_000_000)).alias("win"), us.alias("us"), "event_id", "activity"
@@ -99,16 +118,17 @@ def window_pairs(log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = D
         )
         if measured["small"]:
             few = crowd.where(F.col("crowd") <= DIRECT).drop("crowd")
-            parts.append(_direct_pairs(events.join(few, group), group, second, decay))
+            parts.append(_direct_pairs(events.join(few, group), group, second, decay, lag))
         if not measured["large"]:
             break
         many = crowd.where(F.col("crowd") > DIRECT).drop("crowd")
         events = materialize(events.join(many, group).withColumn(name, step), "window-events")
         offset = step - F.col("win") * seconds if name == "sec" else None
-        parts.append(_pairs_of_level(events, group, F.col(name), offset, decay))
+        if name != "sec" or lag is None or lag > 0:
+            parts.append(_pairs_of_level(events, group, F.col(name), offset, decay, lag if name == "sec" else None))
         group = [*group, name]
     if not parts:
-        return log.selectExpr("activity AS src", "activity AS dst", "0L AS cnt", "0D AS weight").limit(0)
+        return _no_pairs(log)
     return (
         reduce(DataFrame.union, parts)
         .groupBy("src", "dst")
@@ -116,7 +136,11 @@ def window_pairs(log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = D
     )
 
 
-def _direct_pairs(events: DataFrame, group: list[str], second: Column, decay: float) -> DataFrame:
+def _no_pairs(log: DataFrame) -> DataFrame:
+    return log.selectExpr("activity AS src", "activity AS dst", "0L AS cnt", "0D AS weight").limit(0)
+
+
+def _direct_pairs(events: DataFrame, group: list[str], second: Column, decay: float, lag: int | None) -> DataFrame:
     """Pairs of groups of at most ``DIRECT`` events, joined on the group."""
     events = events.select(*group, F.struct("us", "event_id").alias("at"), second.alias("s"), "activity")
     first = events.select(*group, F.col("at").alias("at1"), F.col("s").alias("s1"), F.col("activity").alias("src"))
@@ -124,18 +148,25 @@ def _direct_pairs(events: DataFrame, group: list[str], second: Column, decay: fl
     weight = F.exp(F.lit(-decay) * (F.col("s2") - F.col("s1")))
     return (
         first.join(later, group)
-        .where(F.col("at1") < F.col("at2"))
+        .where((F.col("at1") < F.col("at2")) & (F.lit(True) if lag is None else F.col("s2") - F.col("s1") <= lag))
         .groupBy("src", "dst")
         .agg(F.count("*").alias("cnt"), F.sum(weight).alias("weight"))
     )
 
 
+def lasting_pairs(
+    log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float = MIN_WEIGHT
+) -> DataFrame:
+    """``window_pairs`` of the pairs of events that weigh more than ``least``."""
+    return window_pairs(log, seconds, decay, least)
+
+
 def lasting(pairs: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float = MIN_WEIGHT) -> DataFrame:
-    """Keep pairs of weight above ``least``, judged per pair of events.
+    """Keep summed pairs of weight above ``least``, judged per pair of events.
 
-    The smallest weight a window allows is ``exp(-decay * seconds)``.  Where that is
-    above ``least``, as with the fixed values, no pair can fall below it.
+    Sums do not tell the weights of their parts, so this only says that nothing can fall
+    below ``least`` in such windows; where something can, use ``lasting_pairs``.
     """
     if math.exp(-decay * seconds) <= least:
-        raise ValueError("pairs of this window can fall below the least weight; shorten the window")
+        raise ValueError("pairs of this window can fall below the least weight; use lasting_pairs")
     return pairs

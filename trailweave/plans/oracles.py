@@ -45,13 +45,18 @@ def _totals(edges: str, name: str = "totals") -> str:
     return f"{name} AS (SELECT src, dst, cnt, CAST(sum(cnt) OVER (PARTITION BY src) AS BIGINT) AS total FROM {edges})"
 
 
-WINDOWED = """numbered AS (
+def _windowed(decay: float = 0.001, least: float | None = None) -> str:
+    lasts = "" if least is None else f" AND exp(-{decay} * (y.sec - x.sec)) > {least}"
+    return f"""numbered AS (
   SELECT activity, CAST(floor(epoch_us(ts) / 6e8) AS BIGINT) AS win, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS sec,
          row_number() OVER (ORDER BY ts, event_id) AS rn
   FROM log),
 windowed AS (
-  SELECT x.activity AS src, y.activity AS dst, count(*) AS cnt, sum(exp(-0.001 * (y.sec - x.sec))) AS weight
-  FROM numbered x JOIN numbered y ON x.win = y.win AND x.rn < y.rn GROUP BY ALL)"""
+  SELECT x.activity AS src, y.activity AS dst, count(*) AS cnt, sum(exp(-{decay} * (y.sec - x.sec))) AS weight
+  FROM numbered x JOIN numbered y ON x.win = y.win AND x.rn < y.rn{lasts} GROUP BY ALL)"""
+
+
+WINDOWED = _windowed()
 
 
 def _components(nodes: str, edges: str, name: str = "comp") -> str:
@@ -64,6 +69,18 @@ def _components(nodes: str, edges: str, name: str = "comp") -> str:
 {name} AS (SELECT v, min(w) AS label FROM {name}_reach GROUP BY v)"""
 
 
+def _spread_minima(nodes: str, edges: str, name: str = "comp") -> str:
+    """Components over edges in both directions: the smallest name wanders until nothing changes."""
+    return f"""{name}_round(k, v, label, moved) AS (
+  SELECT 0, activity, activity, true FROM {nodes}
+  UNION ALL
+  SELECT k + 1, v, label, bool_or(label < was) OVER () FROM (
+    SELECT r.k, r.v, r.label AS was, least(r.label, coalesce(min(s.label), r.label)) AS label
+    FROM (SELECT * FROM {name}_round WHERE moved) r LEFT JOIN {edges} e ON e.dst = r.v LEFT JOIN {name}_round s ON s.v = e.src
+    GROUP BY r.k, r.v, r.label)),
+{name} AS (SELECT v, label FROM {name}_round WHERE k = (SELECT max(k) FROM {name}_round))"""
+
+
 def _min_label(nodes: str, edges: str, name: str = "minl", rounds: int = 10, key: bool = False) -> str:
     """Smallest vertex that reaches v in at most ``rounds`` steps, unrolled."""
     t, on, tid = ("tid, ", "s.tid = e.tid AND ", "s.tid, ") if key else ("", "", "")
@@ -116,13 +133,18 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"
 
 
-def _queue(pairs: str, cap: int, stop_at: int) -> str:
+def _tie(one: str, other: str) -> str:
+    return f"CAST('0x' || substr(md5({one} || '/' || {other}), 1, 13) AS BIGINT)"
+
+
+def _queue(pairs: str, cap: int, stop_at: int, tie: str | None = None) -> str:
     """Walk the pair queue one by one; the state is the list of every activity's cluster."""
+    tie = _tie("p.src", "p.dst") if tie is None else tie
     return f"""names AS (
   SELECT activity, row_number() OVER (ORDER BY activity) AS i FROM (
     SELECT src AS activity FROM {pairs} UNION SELECT dst FROM {pairs})),
 queue AS MATERIALIZED (
-  SELECT row_number() OVER (ORDER BY p.cnt DESC, p.src, p.dst) AS k, x.i AS a, y.i AS b, p.src, p.dst, p.cnt
+  SELECT row_number() OVER (ORDER BY p.cnt DESC, {tie}, p.src, p.dst) AS k, x.i AS a, y.i AS b, p.src, p.dst, p.cnt
   FROM {pairs} p JOIN names x ON p.src = x.activity JOIN names y ON p.dst = y.activity
   WHERE p.cnt >= 2 AND p.src <> p.dst),
 walk(k, lab, live, merged) AS (
@@ -225,8 +247,8 @@ contingency AS MATERIALIZED (
   SELECT coalesce(k.name, g.name) AS name, coalesce(truth, '-1') AS truth, coalesce(predicted, '-1') AS predicted, count(*) AS n
   FROM (SELECT * FROM known1, sets) k FULL JOIN guess1 g ON k.name = g.name AND k.src = g.src AND k.dst = g.dst
   GROUP BY ALL)"""
-MAPPING = """overlap AS MATERIALIZED (
-  SELECT row_number() OVER (PARTITION BY name ORDER BY n DESC, predicted, truth) AS k, name, predicted, truth
+MAPPING = f"""overlap AS MATERIALIZED (
+  SELECT row_number() OVER (PARTITION BY name ORDER BY n DESC, {_tie("predicted", "truth")}, predicted, truth) AS k, name, predicted, truth
   FROM contingency WHERE truth <> '-1' AND predicted <> '-1'),
 pick(name, k, ps, ts, predicted, truth) AS (
   SELECT name, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM sets
@@ -290,6 +312,11 @@ CONFUSION = """judged AS (
 confusion AS (
   SELECT name, count(*) FILTER (t AND g) AS tp, count(*) FILTER (t AND NOT g) AS fp, count(*) FILTER (NOT t AND g) AS fn,
          count(*) FILTER (NOT t AND NOT g) AS tn, count(*) AS pairs FROM judged GROUP BY name)"""
+RANKED = """SELECT b.name, found AS found_relationships,
+  round(found / total, 9) AS ratio_found, round(nmi, 9) AS nmi, round(ari, 9) AS ari, round(f1, 9) AS f1,
+  round((tp + tn) / pairs, 9) AS accuracy, round(tp / pairs, 9) AS custom_found
+FROM both_directions b CROSS JOIN total JOIN nmi ON nmi.name = b.name JOIN ari ON ari.name = b.name JOIN f1 ON f1.name = b.name
+JOIN confusion c ON c.name = b.name ORDER BY custom_found DESC, b.name"""
 SCORING = (BASE, SCORED_SETS, TRUTH, CONTINGENCY, MAPPING, METRICS)
 SHARED = """together AS MATERIALIZED (
   SELECT x.v AS a, y.v AS b, 2 * count(*) AS cnt FROM swept x JOIN swept y ON x.tid = y.tid AND x.label = y.label AND x.v < y.v
@@ -335,7 +362,7 @@ SELECT activity, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS id
         recursive=True,
     ) + """SELECT t AS threshold, count(DISTINCT label) AS components
 FROM (SELECT t, v, min(w) AS label FROM reach GROUP BY t, v) GROUP BY t""",
-    "max_spanning_forest": _with(BASE, FOREST, _queue("undirected", 1 << 30, 0).replace("p.cnt >= 2 AND ", ""), recursive=True)
+    "max_spanning_forest": _with(BASE, FOREST, _queue("undirected", 1 << 30, 0, "p.src").replace("p.cnt >= 2 AND ", ""), recursive=True)
     + "SELECT q.src AS a, q.dst AS b, q.cnt FROM walk w JOIN queue q ON q.k = w.k WHERE w.merged",
     "scc": _with(
         LOG, NODES, BY_CASE, _totals("by_case"), "strong AS MATERIALIZED (SELECT src, dst FROM by_case)",
@@ -383,9 +410,10 @@ FROM comp JOIN freq ON freq.activity = comp.v GROUP BY label""",
 FROM range(0, 21) JOIN strengths ON strength >= range WHERE range <= (SELECT max(strength) FROM strengths)""",
     "aggregated_clusters": _with(
         FINE_SWEEP,
-        """sharing AS MATERIALIZED (
-  SELECT DISTINCT x.v AS src, y.v AS dst FROM swept x JOIN swept y ON x.tid = y.tid AND x.label = y.label WHERE x.tid >= 1)""",
-        _components("nodes", "sharing"), recursive=True,
+        """stars AS MATERIALIZED (
+  SELECT DISTINCT v, min(v) OVER (PARTITION BY tid, label) AS head FROM swept WHERE tid >= 1),
+sharing AS MATERIALIZED (SELECT v AS src, head AS dst FROM stars WHERE v <> head UNION SELECT head, v FROM stars WHERE v <> head)""",
+        _spread_minima("nodes", "sharing"), recursive=True,
     ) + "SELECT label AS cluster_id, v AS activity FROM comp",
     "walk_cooccurrence": _with(BASE, _walks(100, 2)) + "SELECT * FROM met",
     "walk_clusters": _with(
@@ -413,11 +441,7 @@ UNION ALL SELECT name, found, total, round(found / total, 9), 1 FROM one_directi
     "nmi": _with(*SCORING, recursive=True) + "SELECT name, round(nmi, 9) AS nmi FROM nmi",
     "ari": _with(*SCORING, recursive=True) + "SELECT name, round(ari, 9) AS ari FROM ari",
     "weighted_f1": _with(*SCORING, recursive=True) + "SELECT name, round(f1, 9) AS f1 FROM f1",
-    "score_all": _with(*SCORING, COMMON, CHAIN, CONFUSION, recursive=True) + """SELECT b.name, found AS found_relationships,
-  round(found / total, 9) AS ratio_found, round(nmi, 9) AS nmi, round(ari, 9) AS ari, round(f1, 9) AS f1,
-  round((tp + tn) / pairs, 9) AS accuracy, round(tp / pairs, 9) AS custom_found
-FROM both_directions b CROSS JOIN total JOIN nmi ON nmi.name = b.name JOIN ari ON ari.name = b.name JOIN f1 ON f1.name = b.name
-JOIN confusion c ON c.name = b.name ORDER BY custom_found DESC, b.name""",
+    "score_all": _with(*SCORING, COMMON, CHAIN, CONFUSION, recursive=True) + RANKED,
     "cluster_lines": _with(COMPONENTS, recursive=True)
     + "SELECT label || ':' || string_agg(v, ',' ORDER BY v) AS value FROM comp GROUP BY label",
     "cluster_json": _with(COMPONENTS, recursive=True) + "SELECT string_agg(v, ',' ORDER BY v) AS members FROM comp GROUP BY label",
@@ -426,3 +450,40 @@ JOIN confusion c ON c.name = b.name ORDER BY custom_found DESC, b.name""",
     "numbered_clusters": _with(COMPONENTS, recursive=True)
     + "SELECT dense_rank() OVER (ORDER BY label) - 1 AS cluster_id, v AS activity FROM comp",
 }
+# Strong transitions of fine activities: many small clusters.
+TIED = f"{FINE_LOG},\n{NODES},\n{DFG},\n{_totals('dfg')},\ntied AS MATERIALIZED (SELECT src, dst, cnt FROM totals WHERE cnt * 20 >= total * 2)"
+PARTS_TIED = (
+    f"{BY_ORDER},\n{_ends('by_order', 'nodes')},\n{_totals('by_order')},\n"
+    "tied AS MATERIALIZED (SELECT src, dst, cnt FROM totals WHERE cnt * 20 >= total)"
+)
+REACH = """reach(v, w) AS (
+  SELECT activity, activity FROM nodes UNION SELECT r.v, e.dst FROM reach r JOIN tied e ON r.w = e.src)"""
+STRONG = "SELECT min(x.w) AS cluster_id, x.v AS activity FROM reach x JOIN reach y ON x.v = y.w AND x.w = y.v GROUP BY x.v"
+
+ORACLES |= {
+    "fading_pairs": _with(LOG, _windowed(0.01, 0.01)) + "SELECT src, dst, cnt, round(weight, 6) AS weight FROM windowed",
+    "lpa_window_fine": _with(FINE_LOG, NODES, WINDOWED, "often AS (SELECT src, dst, cnt FROM windowed WHERE cnt >= 2)", _votes("nodes", "often", 5, "cnt"))
+    + "SELECT label AS cluster_id, v AS activity FROM lpa",
+    "walk_clusters_fine": _with(
+        TIED, _walks(100, 2).replace("totals AS", "tied_totals AS").replace("FROM dfg)", "FROM tied)").replace("FROM totals", "FROM tied_totals"),
+        "often AS MATERIALIZED (SELECT a AS src, b AS dst FROM met WHERE cnt >= 50)", _ends("often"),
+        _components("ends", "often"), recursive=True,
+    ) + "SELECT label AS cluster_id, v AS activity FROM comp",
+    "scc_fine": _with(TIED, REACH, recursive=True) + STRONG,
+    "scc_parts": _with(PARTS_TIED, REACH, recursive=True) + STRONG,
+    "lpa_fine": _with(TIED, _votes("nodes", "tied", 10)) + "SELECT label AS cluster_id, v AS activity FROM lpa",
+    "min_label_fine": _with(TIED, _min_label("nodes", "tied")) + "SELECT label AS cluster_id, v AS activity FROM minl",
+    "greedy_merge_parts": _greedy(BY_ORDER, "by_order", 4),
+    "score_written": ORACLES["score_all"],
+    "written_scores": _with(*SCORING, COMMON, CHAIN, CONFUSION, f"ranked AS ({RANKED})", recursive=True)
+    + """SELECT r.*, coalesce(e.edges, 0) AS edges FROM ranked r LEFT JOIN (SELECT name, count(*) AS edges FROM predicted GROUP BY name) e
+ON e.name = r.name""",
+    "rejected_results": _with(LOG, NODES) + """SELECT 'runs/spoiled' AS name, 'line without a colon' AS reason, activity AS value FROM nodes
+UNION ALL SELECT 'runs/spoiled', 'no cluster in the file', NULL UNION ALL SELECT 'transitions', 'not a text file', NULL""",
+    "csv_log": _with(LOG)
+    + "SELECT row_number() OVER (ORDER BY ts, event_id) AS row_number, case_id, date_trunc('second', ts) AS ts, activity, cluster FROM log",
+    "written_thresholds": ORACLES["threshold_clusters_nested"],
+    "written_counts": ORACLES["component_count_sweep"],
+    "written_groups": ORACLES["flow_groups"],
+    "written_csv": _with(COMPONENTS, recursive=True) + 'SELECT label AS "ClusterID", v AS "Activity" FROM comp',
+}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trailweave.operators import components as comp
 from trailweave.operators import consensus, dfg, evaluate, merge, spread, walks, windows
 from trailweave.sinks import clusters as sinks
-from trailweave.sources.clusters import read_cluster_edges
+from trailweave.sources.clusters import member_edges, result_sets
 from trailweave.workspace import materialize
 
 SEED = 7
@@ -54,7 +54,7 @@ def component_thresholds(log: DataFrame, out: str) -> None:
 
 def window_votes(log: DataFrame, out: str) -> None:
     """Majority labels over all pairs within ten minutes."""
-    pairs = materialize(windows.lasting(windows.window_pairs(log)), "window-pairs")
+    pairs = materialize(windows.lasting_pairs(log), "window-pairs")
     sinks.write_lines(spread.as_clusters(spread.majority_label(dfg.vertices(log), pairs, votes="cnt")), out)
 
 
@@ -165,10 +165,13 @@ PROGRAMS: dict[str, Callable[[DataFrame, str], None]] = {
 
 
 def score(log: DataFrame, results: str, out: str) -> None:
-    """Score every cluster file of a folder against the known clusters of the log."""
-    spark = log.sparkSession
-    found = spark.read.text(results).select(F.col("_metadata.file_name").alias("name")).distinct()
-    names = sorted(r.name for r in found.collect())
-    predicted = materialize(read_cluster_edges(spark, results), "result-edges")
+    """Score every clustering below a folder against the known clusters of the log.
+
+    Lines and files that hold no cluster go to ``rejected`` and do not stop the others.
+    """
+    sets = result_sets(log.sparkSession, results)
+    names = materialize(sets.names, "result-names")
+    predicted = materialize(member_edges(sets.clusters), "result-edges")
     scores = materialize(evaluate.score_all(log, predicted, names), "scores")
     sinks.write_scores(scores, out, predicted)
+    sets.rejected.orderBy("name", "file", "value").write.mode("overwrite").json(f"{out}/rejected")

@@ -17,7 +17,9 @@ from trailweave.operators import consensus, dfg, evaluate, merge, spread, walks,
 from trailweave.operators.sequence import running_total
 from trailweave.sinks import clusters as sinks
 from trailweave.sources import clusters as files
-from trailweave.sources.logs import LINE_ORDER, dialogue_log, events_log, fine_events_log, orders_log
+from trailweave.sources.logs import (
+    CSV_ACTIVITY, CSV_CLUSTER, CSV_CONCEPT, CSV_TIMESTAMP, LINE_ORDER, dialogue_log, events_log, fine_events_log, orders_log, read_log,
+)
 from trailweave.workspace import fresh_path, materialize
 
 SEED = 7
@@ -118,10 +120,15 @@ def window_pairs(spark, d):
 
 
 def decay_weights(spark, d):
-    pairs = windows.lasting(windows.window_pairs(events_log(spark, d)))
+    pairs = windows.lasting_pairs(events_log(spark, d))
     return pairs.withColumn("weight", F.round("weight", 6))
 
 
+def fading_pairs(spark, d):
+    """Pairs of a faster decay, under which those of more than 460 seconds weigh too little."""
+    return windows.lasting_pairs(events_log(spark, d), decay=0.01).withColumn("weight", F.round("weight", 6))
+
+
 # --- graph clusterings --------------------------------------------------------------
 
 
@@ -165,7 +172,7 @@ def lpa_global(spark, d):
 
 def lpa_window(spark, d):
     log = events_log(spark, d)
-    pairs = materialize(windows.lasting(windows.window_pairs(log)), "window-pairs")
+    pairs = materialize(windows.lasting_pairs(log), "window-pairs")
     return spread.as_clusters(spread.majority_label(dfg.vertices(log), pairs, votes="cnt"))
 
 
@@ -207,6 +214,35 @@ def flow_groups(spark, d):
     return groups.groupBy("score").agg(F.concat_ws(",", F.array_sort(F.collect_set("activity"))).alias("activities"))
 
 
+def _tied(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Fine-grained activities and the transitions that make up a tenth of their source: many small clusters."""
+    nodes, edges = dfg.global_graph(fine_events_log(spark, d))
+    return nodes, materialize(dfg.strong(dfg.with_totals(edges), 2), "tied")
+
+
+def scc_fine(spark, d):
+    return spread.as_clusters(comp.strong_components(*_tied(spark, d)))
+
+
+def scc_parts(spark, d):
+    edges = dfg.case_transitions(orders_log(spark, d), order=LINE_ORDER)
+    return spread.as_clusters(comp.strong_components(dfg.endpoints(edges), dfg.strong(dfg.with_totals(edges), 1)))
+
+
+def lpa_window_fine(spark, d):
+    log = fine_events_log(spark, d)
+    pairs = materialize(dfg.frequent(windows.lasting_pairs(log), 2), "window-pairs")
+    return spread.as_clusters(spread.majority_label(dfg.vertices(log), pairs, votes="cnt"))
+
+
+def lpa_fine(spark, d):
+    return spread.as_clusters(spread.majority_label(*_tied(spark, d), rounds=10))
+
+
+def min_label_fine(spark, d):
+    return spread.as_clusters(spread.min_label(*_tied(spark, d)))
+
+
 # --- merges, sweeps, consensus ------------------------------------------------------
 
 
@@ -220,6 +256,11 @@ def greedy_merge_neighbourhood(spark, d):
     return merge.greedy_merge(pairs, merge.NEIGHBOURHOOD_CAP)
 
 
+def greedy_merge_parts(spark, d):
+    edges = dfg.case_transitions(orders_log(spark, d), order=LINE_ORDER)
+    return merge.greedy_merge(edges, merge.SUCCESSOR_CAP)
+
+
 def threshold_communities(spark, d):
     _, communities = _communities(spark, d)
     return communities.select("tid", F.col("label").alias("cluster_id"), F.col("v").alias("activity"))
@@ -274,6 +315,13 @@ def walk_clusters(spark, d):
     return walks.walk_clusters(pairs)
 
 
+def walk_clusters_fine(spark, d):
+    """Short walks over the strong transitions of fine activities; many end where nothing leads on."""
+    nodes, tied = _tied(spark, d)
+    pairs = walks.walk_cooccurrence(nodes, dfg.with_totals(tied.select("src", "dst", "cnt")), walks.SHORT_WALKS, walks.SHORT_LENGTH, SEED)
+    return walks.walk_clusters(pairs)
+
+
 def walk_min_label(spark, d):
     nodes, pairs = _walk_pairs(spark, d, walks.LONG_WALKS, walks.LONG_LENGTH)
     return spread.as_clusters(walks.walk_min_label(nodes, pairs))
@@ -287,17 +335,19 @@ def walk_threshold_sweep(spark, d):
 # --- evaluation ---------------------------------------------------------------------
 
 
-def _predicted(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Edges of the scored result sets: components and two levels of the threshold sweep."""
+def _scored_sets(spark, d) -> tuple[DataFrame, list[DataFrame]]:
+    """The log and the scored clusterings: components and two levels of the threshold sweep."""
     log, nodes, edges = _global(spark, d)
-    swept = consensus.threshold_communities(nodes, dfg.with_totals(edges))
-    sets = [comp.components(nodes, dfg.frequent(edges)).select(F.lit(SCORED[0]).alias("name"), "label", "v")]
-    for tid, name in ((1, SCORED[1]), (2, SCORED[2])):
-        sets.append(swept.where(F.col("tid") == tid).select(F.lit(name).alias("name"), "label", "v"))
-    clusters = sets[0].union(sets[1]).union(sets[2]).select(
-        "name", F.col("label").alias("cluster_id"), F.col("v").alias("activity")
-    )
-    return log, materialize(evaluate.cluster_edges(clusters), "predicted")
+    swept = consensus.threshold_communities(nodes, dfg.with_totals(edges), tids=(1, 2))
+    sets = [comp.components(nodes, dfg.frequent(edges)), *(swept.where(F.col("tid") == tid) for tid in (1, 2))]
+    return log, [spread.as_clusters(s) for s in sets]
+
+
+def _predicted(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Edges of the scored result sets."""
+    log, sets = _scored_sets(spark, d)
+    named = [s.select(F.lit(name).alias("name"), "cluster_id", "activity") for name, s in zip(SCORED, sets)]
+    return log, materialize(evaluate.cluster_edges(named[0].union(named[1]).union(named[2])), "predicted")
 
 
 def truth_edges(spark, d):
@@ -348,13 +398,52 @@ def weighted_f1(spark, d):
     return evaluate.weighted_f1(_score_table(spark, d)).withColumn("f1", F.round("f1", 9))
 
 
-def score_all(spark, d):
-    log, predicted = _predicted(spark, d)
-    scores = evaluate.score_all(log, predicted, SCORED)
+def _ranked(scores: DataFrame) -> DataFrame:
     rounded = {c: F.round(c, 9) for c in scores.columns if c not in ("name", "found_relationships")}
     return scores.withColumns(rounded).orderBy(F.col("custom_found").desc(), "name")
 
 
+def score_all(spark, d):
+    log, predicted = _predicted(spark, d)
+    return _ranked(evaluate.score_all(log, predicted, SCORED))
+
+
+def _written_results(spark, d) -> tuple[DataFrame, files.ResultSets]:
+    """The scored clusterings, written below one folder as programs write them, and read back."""
+    log, sets = _scored_sets(spark, d)
+    root = fresh_path(spark, "results")
+    sinks.write_lines(sets[0], f"{root}/{SCORED[0]}")
+    sinks.write_communities_json(sets[1], f"{root}/{SCORED[1]}")
+    sinks.write_lines(sets[2], f"{root}/{SCORED[2]}")
+    return log, files.result_sets(spark, root)
+
+
+def score_written(spark, d):
+    log, sets = _written_results(spark, d)
+    predicted = materialize(files.member_edges(sets.clusters), "result-edges")
+    return _ranked(evaluate.score_all(log, predicted, materialize(sets.names, "result-names")))
+
+
+def written_scores(spark, d):
+    """Scores as written, best first, read back."""
+    log, predicted = _predicted(spark, d)
+    path = fresh_path(spark, "scores")
+    sinks.write_scores(materialize(evaluate.score_all(log, predicted, SCORED), "scores"), path, predicted)
+    best = spark.read.json(f"{path}/slim_sorted")
+    edges = spark.read.json(f"{path}/full/edges").groupBy("name").agg(F.count("*").alias("edges"))
+    return _ranked(best).join(edges, "name", "left").fillna(0, ["edges"])
+
+
+def rejected_results(spark, d):
+    """What a folder of results holds besides clusterings: lines without a colon, and a table."""
+    _, nodes, edges = _global(spark, d)
+    root = fresh_path(spark, "results")
+    sinks.write_lines(spread.as_clusters(comp.components(nodes, dfg.frequent(edges))), f"{root}/runs/components")
+    nodes.select("activity").write.text(f"{root}/runs/spoiled")
+    edges.write.parquet(f"{root}/transitions")
+    return files.result_sets(spark, root).rejected.select("name", "reason", "value").distinct()
+
+
 # --- sinks and files ----------------------------------------------------------------
 
 
@@ -380,6 +469,51 @@ def cluster_file_edges(spark, d):
     return files.read_cluster_edges(spark, path).select("cluster_id", "src", "dst")
 
 
+def csv_log(spark, d):
+    """Write the log as CSV files in the order of time and read it back; row numbers follow the files."""
+    log = events_log(spark, d)
+    path = fresh_path(spark, "log-csv")
+    log.orderBy("ts", "event_id").select(
+        F.col("activity").alias(CSV_ACTIVITY), F.col("case_id").alias(CSV_CONCEPT), F.col("cluster").alias(CSV_CLUSTER),
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")).alias(CSV_TIMESTAMP),
+    ).write.option("header", True).csv(path)
+    back = running_total(read_log(spark, path), ["event_id"], name="row_number")
+    return back.select("row_number", "case_id", "ts", "activity", "cluster")
+
+
+def written_thresholds(spark, d):
+    """Write one folder of records per threshold and read them back."""
+    _, communities = _communities(spark, d)
+    path = fresh_path(spark, "thresholds")
+    sinks.write_threshold_json(communities, path, dfg.PROBABILITY_STEPS)
+    back = spark.read.schema("community string, members array<string>, threshold double").json(path)
+    return back.withColumn("members", F.concat_ws(",", "members"))
+
+
+def written_counts(spark, d):
+    """Write the number of components per threshold and read it back."""
+    path = fresh_path(spark, "counts")
+    sinks.write_counts_json(component_count_sweep(spark, d), path)
+    return spark.read.schema("threshold int, components long").json(path)
+
+
+def written_groups(spark, d):
+    """Write groups of equal flow score and read them back."""
+    _, nodes, edges = _global(spark, d)
+    path = fresh_path(spark, "groups")
+    sinks.write_groups_json(spread.flow_groups(spread.flow_score(nodes, dfg.with_totals(edges))), path)
+    back = spark.read.schema("score int, activities array<string>").json(path)
+    return back.withColumn("activities", F.concat_ws(",", "activities"))
+
+
+def written_csv(spark, d):
+    """Write clusters as CSV and read them back."""
+    _, nodes, edges = _global(spark, d)
+    path = fresh_path(spark, "csv")
+    sinks.write_csv(spread.as_clusters(comp.components(nodes, dfg.frequent(edges))), path)
+    return spark.read.option("header", True).schema("ClusterID string, Activity string").csv(path)
+
+
 def numbered_clusters(spark, d):
     _, nodes, edges = _global(spark, d)
     return sinks.numbered(spread.as_clusters(comp.components(nodes, dfg.frequent(edges))))
@@ -390,13 +524,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         event_log, activity_frequency, dfg_vertices, dfg_global, transition_counts, transition_probabilities,
         dfg_by_case, dfg_by_day, dfg_by_order, dfg_by_conversation, row_numbers, neighbourhood_pairs,
-        frequent_transitions, strong_transitions, log_weights, java_hash_ids, window_pairs, decay_weights,
+        frequent_transitions, strong_transitions, log_weights, java_hash_ids, window_pairs, decay_weights, fading_pairs,
         frequent_components, part_components, component_count_sweep, max_spanning_forest, scc, lpa_dfg,
         lpa_global, lpa_window, lpa_daily, refined_clusters, cluster_names, min_label_communities, flow_score,
-        flow_groups, greedy_merge, greedy_merge_neighbourhood, threshold_communities,
+        flow_groups, scc_fine, scc_parts, lpa_fine, lpa_window_fine, min_label_fine, greedy_merge, greedy_merge_neighbourhood,
+        greedy_merge_parts, threshold_communities,
         threshold_clusters_nested, consensus_pairs, consensus_clusters, membership_strength,
-        overlapping_clusters, aggregated_clusters, walk_cooccurrence, walk_clusters, walk_min_label,
+        overlapping_clusters, aggregated_clusters, walk_cooccurrence, walk_clusters, walk_clusters_fine, walk_min_label,
         walk_threshold_sweep, truth_edges, commonality, chain_accuracy, label_contingency, label_mapping,
-        nmi, ari, weighted_f1, score_all, cluster_lines, cluster_json, cluster_file_edges, numbered_clusters,
+        nmi, ari, weighted_f1, score_all, score_written, written_scores, rejected_results, cluster_lines, cluster_json,
+        cluster_file_edges, numbered_clusters, csv_log, written_thresholds, written_counts, written_groups, written_csv,
     )
 }

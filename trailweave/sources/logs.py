@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.sources.positions import numbered_by_file
+
 # Column names and timestamp format of the event-log CSV.
 CSV_ACTIVITY = "Activity"
 CSV_CONCEPT = "concept:name"
@@ -27,16 +29,16 @@ def read_log(spark: SparkSession, path: str, timestamp_format: str | None = CSV_
 
     All columns are read as text, so there is no pass over the file to infer types, and
     only the four used ones are parsed.  ``timestamp_format=None`` parses with the
-    default pattern.  A timestamp that does not parse becomes null.  ``event_id`` is the
-    row position in file order; it breaks ties between equal timestamps.
+    default pattern.  A timestamp that does not parse becomes null.  ``event_id`` ascends in
+    file order, over several files by path; it breaks ties between equal timestamps.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = numbered_by_file(spark.read.option("header", True).csv(path), "event_id")
     text = F.col(f"`{CSV_TIMESTAMP}`")
     parsed = (
         F.try_to_timestamp(text, F.lit(timestamp_format)) if timestamp_format else F.try_to_timestamp(text)
     )
     return raw.select(
-        F.monotonically_increasing_id().alias("event_id"),
+        "event_id",
         F.col(f"`{CSV_CONCEPT}`").alias("case_id"),
         _utc_ntz(parsed).alias("ts"),
         F.col(f"`{CSV_ACTIVITY}`").alias("activity"),
