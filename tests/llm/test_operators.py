@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from trailweave.llm import bpe, chat, forest, mixing, near_dups, secrets, sharding, token_counts, toxicity
+from trailweave.llm import bpe, chat, forest, mixing, near_dups, pretokens, secrets, sharding, token_counts, toxicity
 from trailweave.llm.embedding_dups import near_embeddings
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "ru", "so") for b in ("n", "r", "st", "la", "ve")]
@@ -103,6 +103,16 @@ def test_keep_one_decides_by_row(spark):
     assert sorted(got, key=repr) == sorted((tuple(r) for r in near_dups.keep_one(docs.orderBy("text")).collect()), key=repr)
 
 
+@pytest.mark.parametrize("names", [["_id", "_hash"], ["c0", "c1"], ["class", "gone"]])
+def test_keep_one_beside_columns_of_clashing_names(spark, names):
+    rng = random.Random(5)
+    base = sentence(rng, 40)
+    rows = [("x", 1, base, 1.0), ("y", 2, base, 2.0), ("z", 2, base, 2.0), (None, 3, "other words", None), (None, None, base, 3.0)]
+    docs = spark.createDataFrame(rows, f"`{names[0]}` string, doc_id long, text string, `{names[1]}` double")
+    kept = near_dups.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(1)
     rows, labels = [], []
@@ -215,13 +225,26 @@ def strings():
     return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", "ab" * 4000, "\n" * 700]
 
 
+def test_words_are_encoded_as_by_the_tokenizer(strings):
+    """The whole vocabulary, odd strings and random bytes, also where the fast way is not taken."""
+    split = pretokens.Splitter(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    words = [w for w in (p.decode("utf-8", "ignore") for p in bpe.pieces_of()) if w]
+    words += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x300), 0x65E5])) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    words = split.words([*words, *strings])[0].to_pylist()
+    want = [e.ids for e in TOKENIZER.encode_batch(words, add_special_tokens=False)]
+    assert split._merge is not None and split.encode_words(words) == want
+    split._merge = None
+    assert split.encode_words(words[:500]) == want[:500]
+
+
 def test_bpe_round_trip(spark, strings, odd, empty):
     docs = spark.createDataFrame([*enumerate(strings), (9999, None)], "doc_id long, text string").coalesce(2)
     got = {r.doc_id: (r.ids, r.text) for r in bpe.decode(bpe.encode(docs)).collect()}
     for i, t in enumerate(strings):
         assert got[i] == (TOKENIZER.encode(t, add_special_tokens=False).ids, t)
     assert got[9999] == ([], "")
-    one = {r.doc_id: r.ids_sha256 for r in bpe.digests(bpe.encode(docs)).collect()}
+    one = {r.doc_id: r.ids_sha256 for r in bpe.digests(docs).collect()}
     ids = got[5][0]
     assert one[5] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert bpe.encode(odd).count() == odd.count() and bpe.encode(empty).count() == 0
@@ -235,6 +258,27 @@ def test_bpe_of_equal_rows_in_separate_partitions(spark):
     assert {r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {t for _, t in rows}
 
 
+@pytest.mark.parametrize("kind, ids", [
+    ("double", [1.5, None, 1.5]), ("smallint", [1, 2, None]), ("decimal(20,0)", [None, 2, 3]), ("date", [None, None, None]),
+])
+def test_bpe_keeps_ids_of_any_type(spark, kind, ids):
+    texts = ["one two", "three", "one two"]
+    rows = [(str(i) if i is not None else None, t, 1) for i, t in zip(ids, texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, block int").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text", "block")
+    want = sorted(((i if i is None else float(i)), tuple(TOKENIZER.encode(t, add_special_tokens=False).ids)) for i, t in zip(ids, texts) if i is not None)
+    found = bpe.decode(bpe.encode(docs))
+    assert dict(found.dtypes)["doc_id"] == kind and sorted(r.text for r in found.collect()) == sorted(texts)
+    assert sorted((float(r.doc_id), tuple(r.ids)) for r in found.collect() if r.doc_id is not None) == want
+
+
+def test_bpe_over_many_blocks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 2000)
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, rng.randint(0, 300))) for i in range(60)]
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {i: TOKENIZER.encode(t, add_special_tokens=False).ids for i, t in rows}
+
+
 def test_token_counts(spark, strings, odd, empty):
     docs = spark.createDataFrame([*enumerate(strings), (9999, None)], "doc_id long, text string").coalesce(2)
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs).collect()}
@@ -255,10 +299,48 @@ def test_sharding(odd, empty):
         raw = (texts[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
     assert sharding.shard(empty).count() == 0
-    sizes = sharding.slot_sizes(sharding.slotted(sharding.records(odd), 4))
-    old = sharding.first_map(sizes, 4)
-    new = {r.vslot: r.shard for r in sharding.grown_map(old, sizes, 4).collect()}
-    assert all(new[r.vslot] in (r.shard, 4) for r in old.collect())
+
+
+def test_slot_map_versions(spark, odd, tmp_path):
+    """Version 2 moves slots to the new shard only; both versions are read back and place all rows."""
+    path = str(tmp_path / "map")
+    rng = random.Random(2)
+    more = spark.createDataFrame([(100 + i, sentence(rng, 50)) for i in range(300)], "doc_id long, text string")
+    rows = sharding.slotted(sharding.records(odd.select("doc_id", "text").union(more)), 4)
+    sharding.write_map(sharding.first_map(sharding.slot_sizes(rows), 4), path)
+    assert sharding.grow(rows, path) == 2
+    old, new = ({r.vslot: r.shard for r in sharding.read_map(spark, path, v).collect()} for v in (1, None))
+    assert old.keys() == new.keys() and all(new[v] in (old[v], 4) for v in old) and 4 in new.values()
+    for table in (old, new):
+        found = sharding.place(rows, sharding.read_map(spark, path, 1 if table is old else 2)).collect()
+        assert len(found) == rows.count() and all(r.shard == table[r.vslot] for r in found)
+        for s in set(table.values()):
+            assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
+def test_groups_of_equal_texts_stay_and_bytes_are_even(spark):
+    rng = random.Random(3)
+    texts = [sentence(rng, rng.randint(5, 60)) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i % 60]) for i in range(300)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    homes = {}
+    for r in found:
+        homes.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(len(h) == 1 for h in homes.values())
+    loads = [sum(r.size for r in found if r.shard == s) for s in range(4)]
+    assert max(loads) <= 1.02 * sum(loads) / 4
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_repeated_rows_are_balanced(spark, same):
+    """Rows equal in id and text, a third of all, are spread over shards."""
+    rng = random.Random(4)
+    rows = [(same, "the same text " * 15)] * 3000 + [(i, sentence(rng, 6)) for i in range(100, 6100)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    loads = [sum(r.size for r in found if r.shard == s) for s in range(8)]
+    assert len(found) == 9000 and max(loads) <= 1.05 * sum(loads) / 8
+    for s in range(8):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
 
 
 def test_chat_layouts_and_escapes(spark):
@@ -267,7 +349,7 @@ def test_chat_layouts_and_escapes(spark):
     read = chat.read_back(chat.formatted(chat.canonical(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
     got = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.losses) for r in read.collect()}
     assert got[1] == ([(("user", "assistant")[i % 2], t) for i, t in enumerate(nasty)], nasty[1::2])
-    assert got[2] == ([("user", "")], []) and len(got[None][0]) == 1
+    assert got[2] == ([("user", "")], []) and got[None] == ([("odd: role", "x")], [])
     want = [("user", "q"), ("assistant", "a")]
     for df in (
         spark.createDataFrame([(1, "q", "a")], "conv_id long, prompt string, response string"),
@@ -281,6 +363,23 @@ def test_chat_layouts_and_escapes(spark):
         chat.canonical(spark.createDataFrame([(1, 2)], "conv_id long, other int"))
 
 
+def test_chat_roles_of_any_name(spark):
+    """Turns, digests and losses of roles that look like display names or marks, and odd tables."""
+    roles = ["User", "Assistant", "a: b", "", "\\r", "\\ruser", "<#\\b: ", "assistant", "System", "user", "x\n", "### "]
+    nasty = ["", ": x", "User: x </turn>\n### Assistant: y", "\\c\\r:"]
+    rows = [(1, i, role, nasty[i % 4]) for i, role in enumerate(roles)] + [(3, 0, "assistant", "long " * 40_000)] * 2
+    schema = "conv_id long, turn long, role string, text string, p string, turns int"
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], schema)
+    read = chat.read_back(chat.formatted(chat.canonical(docs)))
+    got = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.losses) for r in read.collect()}
+    assert got[1] == ([(r, nasty[i % 4]) for i, r in enumerate(roles)], [nasty[3]])
+    assert got[3] == ([("assistant", "long " * 40_000)] * 2, ["long " * 40_000] * 2)
+    one = {r.conv_id: r for r in chat.digest(read).collect()}[1]
+    want = "".join(f"{r}\n{nasty[i % 4]}\n" for i, r in enumerate(roles))
+    assert (one.n_turns, one.turns_sha256) == (len(roles), hashlib.sha256(want.encode()).hexdigest())
+    assert chat.digest(chat.read_back(chat.formatted(chat.canonical(docs.limit(0))))).count() == 0
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)

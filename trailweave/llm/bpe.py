@@ -1,188 +1,224 @@
 """BPE encoding and decoding with a table of distinct words.
 
 Texts are cut into blocks of some MB.  A block has a dictionary of its distinct words, and
-its documents are lists of positions in it.  All dictionaries together, dealt by word, are
-the table of distinct words, each of which is encoded once; the ids are joined back by
-block and position, where dictionary entries and documents meet again.  What is shuffled is
-one row for each word of a block, and one short code for each word of a text.
-
-A block is named by a hash of what it holds, so equal blocks share a name, and one copy of
-their dictionary is used for the rows of all; both uses of the blocks read the texts again, so the rows must come in the same order each time, as from stored files; a block
-without its dictionary fails the job.  Decoding joins ids with the pieces of the
-vocabulary, a table whose size the tokenizer fixes.
+its documents are lists of positions in it.  One pass over the texts writes both to the
+shared folder, so nothing is split twice and no order of rows has to repeat.  The words of
+all dictionaries are dealt over buckets by a hash, which makes the table of distinct words:
+in a bucket each distinct word is encoded once, and its ids are joined back by block and
+position, where words and documents of a block meet again.
+
+A row holds the words that a block has in a bucket, or some MB of its documents; positions
+are numbered from the most frequent word on, in bytes of variable length, and rows are
+compressed, so what is written and shuffled is a fraction of the texts.
+
+Decoding joins ids with the pieces of the vocabulary.  That table has a size that the
+tokenizer fixes, so every task holds it and looks ids up by position.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.pretokens import splitter
+from trailweave.llm.batches import pieces
+from trailweave.llm.pretokens import byte_signs, splitter
+from trailweave.workspace import materialize
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-#: Code points of text in a block; a longer text is a block of its own.
-BLOCK = 32 << 20
-#: Code points that are split at once.
-UNIT = 1 << 20
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], path: str):
-    """Blocks as ``(name, doc ids, dictionary, codes, words of each text)``, whatever the batches."""
-    split = splitter(path)
-    ids: list = []
-    texts: list[str] = []
-    held = 0
-
-    def block():
-        parts, counts, some, size = [], [], [], 0
-        for t in [*texts, None]:
-            if some and (t is None or size + len(t) > UNIT):
-                words, each = split.words(some)
-                parts.append(words)
-                counts.append(each)
-                some, size = [], 0
-            if t is not None:
-                some.append(t)
-                size += len(t)
-        coded = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
-        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        digest = xxhash.xxh3_64()
-        for t in texts:
-            raw = t.encode()
-            digest.update(len(raw).to_bytes(8, "little"))
-            digest.update(raw)
-        digest.update(repr(ids).encode())
-        name = int(np.uint64(digest.intdigest()).astype(np.int64))
-        return name, ids, coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.concatenate(counts)
-
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = t or ""
-            if texts and held + len(t) > BLOCK:
-                yield block()
-                ids, texts, held = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            held += len(t)
-    if texts:
-        yield block()
-
-
-def encoded_words(dictionary: DataFrame, path: str = PATH) -> DataFrame:
-    """``(block, code, ids)`` of dictionary entries ``(block, code, word)``; ids as bytes.
-
-    Entries are dealt by word, so each distinct word is encoded once, in one task, and its
-    ids go straight to the places it has.
-    """
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK = 8 << 20
+#: Buckets of words for each shuffle partition; the distinct words of one are in memory at once.
+BUCKETS = 16
+#: Rows that are decoded or digested at once.
+ROWS = 256
+_CODEC = "zstd"
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2^32, one after another, compressed."""
+    raw = b"".join(_varied(a) for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec(_CODEC).compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = pa.Codec(_CODEC).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    raw = np.frombuffer(raw, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64)
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate(([0], last[:-1] + 1))
+    place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)
+
+
+def _varied(numbers: np.ndarray) -> bytes:
+    """Numbers in 7-bit groups, low first; the top bit says that more follow."""
+    numbers = np.asarray(numbers).astype(np.uint32)
+    out = np.zeros((len(numbers), 5), np.uint8)
+    width = 1 + sum((numbers >= 1 << (7 * k)).astype(np.int8) for k in range(1, 5))
+    for k in range(5):
+        out[:, k] = (numbers >> np.uint32(7 * k)) & np.uint32(127) | np.where(width > k + 1, 128, 0).astype(np.uint32)
+    return out[np.arange(5) < width[:, None]].tobytes()
+
+
+class _Block:
+    """The texts of a block, collected batch by batch."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.ids: list[pa.Array] = []
+        self.words: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, split, piece: pa.RecordBatch) -> None:
+        words, counts = split.words([t or "" for t in piece.column(1).to_pylist()])
+        self.size += piece.column(1).nbytes
+        self.ids.append(piece.column(0))
+        self.words.append(words)
+        self.counts.append(counts)
+
+    def rows(self, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        found = pa.chunked_array(self.words, pa.string()).dictionary_encode().combine_chunks()
+        found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+        codes, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary.cast(pa.binary()).to_pylist()
+        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
+        at = 0
+        for ids, counts in zip(self.ids, self.counts):
+            n = int(counts.sum())
+            yield _row(schema, block=self.number, doc_ids=ids, counts=_pack(counts), codes=_pack(rank[codes[at : at + n]]))
+            at += n
+        place = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(place, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
+            some = pa.array([words[i] for i in mine], pa.string())
+            yield _row(schema, block=self.number, bucket=int(place[mine[0]]), words=some, at=_pack(rank[mine]))
+
+
+def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
+    columns = []
+    for field in schema:
+        value = values.get(field.name)
+        if isinstance(value, pa.Array):
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value).cast(field.type))
+        else:
+            columns.append(pa.array([value], field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _split(docs: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Rows of documents ``(block, doc_ids, counts, codes)`` and of words ``(block, bucket, words, at)``."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = splitter(path).tokenizer
-        known: dict[str, bytes] = {}
+        split, schema = splitter(path), None
+        block = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = list(dict.fromkeys(w for w in words if w not in known))
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("code"), pa.array([known[w] for w in words], pa.binary())],
-                ["block", "code", "ids"],
-            )
-
-    return dictionary.repartition("word").mapInArrow(run, "block long, code int, ids binary")
+            if schema is None:
+                schema = pa.schema([
+                    ("block", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("counts", pa.binary()), ("codes", pa.binary()),
+                    ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("at", pa.binary()),
+                ])
+            for piece in pieces(iter([batch]), 1):
+                if block.ids and block.size + piece.column(1).nbytes > BLOCK:
+                    yield from block.rows(buckets, schema)
+                    block = _Block(block.number + 1)
+                block.add(split, piece)
+        if block.ids:
+            yield from block.rows(buckets, schema)
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"block long, doc_ids array<{kind}>, counts binary, codes binary, bucket int, words array<string>, at binary"
+    )
 
 
-def encode(docs: DataFrame, path: str = PATH) -> DataFrame:
-    """``(doc_id, ids)``, one row per row of ``docs``; null and empty texts have no ids.
+def encoded_words(words: DataFrame, path: str = PATH) -> DataFrame:
+    """``(block, at, sizes, ids)`` for rows of words ``(block, bucket, words, at)``.
 
-    Special strings inside texts become their tokens; none is added.
+    Rows are dealt by bucket and come bucket by bucket, so each distinct word is encoded
+    once.
     """
-    narrow = docs.select("doc_id", "text")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, dictionary, _, _ in _blocks(batches, path):
-            n = len(dictionary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter(path)
+        now, known = None, {}
+        for batch in batches:
+            sizes, ids = [], []
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now:
+                    now, known = bucket, {}
+                mine = batch.column("words")[i].as_py()
+                new = [w for w in mine if w not in known]
+                known.update(zip(new, split.encode_words(new)))
+                lists = [known[w] for w in mine]
+                sizes.append(_pack(np.fromiter(map(len, lists), np.int64, len(lists))))
+                ids.append(_pack(np.fromiter(chain.from_iterable(lists), np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32)), dictionary],
-                ["block", "code", "word"],
+                [batch.column("block"), batch.column("at"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())],
+                ["block", "at", "sizes", "ids"],
             )
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, dictionary, indices, counts in _blocks(batches, path):
-            # Two byte planes compress better than whole codes.
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            rows = [_packed(indices[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), name)), pa.array(ids, kind_of_id), pa.array(rows, pa.binary())],
-                ["block", "doc_id", "codes"],
-            )
+    dealt = words.select("block", "bucket", "words", "at").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block long, at binary, sizes binary, ids binary")
 
-    kind = dict(docs.dtypes)["doc_id"]
-    kind_of_id = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()
-    dictionary = narrow.mapInArrow(words, "block long, code int, word string")
-    entries = encoded_words(dictionary, path)
-    texts = narrow.mapInArrow(codes, f"block long, doc_id {kind}, codes binary")
 
-    def assemble(key, docs_of, words_of):
-        if not docs_of.num_rows:
-            raise RuntimeError("the rows came in another order when they were read again; store the table first")
-        packed_ids = words_of.column("ids").combine_chunks()
-        # Equal blocks have one name and bring every entry of their dictionary once each.
-        entry, order = np.unique(words_of.column("code").to_numpy(), return_index=True)
-        if len(entry) and entry[-1] >= len(entry):
-            raise RuntimeError("a block lacks entries of its dictionary; store the table before it is encoded")
-        sizes = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed_ids.to_pylist()]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(
-            pa.array(sizes), pa.array(np.frombuffer(b"".join(packed_ids.to_pylist()), np.uint32).astype(np.int32))
-        )
-        packed = docs_of.column("codes").to_pylist()
-        each = [_unpacked(p) for p in packed]
-        flat = np.concatenate(each) if each else np.empty(0, np.int64)
-        if len(flat) and flat.max() >= len(order):
-            raise RuntimeError("a block has no dictionary; store the table before it is encoded")
-        taken = lists.take(pa.array(order[flat])) if len(flat) else lists.slice(0, 0)
-        ends = np.concatenate(([0], np.cumsum([len(e) for e in each]))).astype(np.int64)
-        offsets = taken.offsets.to_numpy()[ends].astype(np.int32) if len(flat) else np.zeros(len(each) + 1, np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), taken.flatten().cast(pa.int32()))
-        return pa.table({"doc_id": docs_of.column("doc_id").combine_chunks(), "ids": ids})
-
-    return texts.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(
-        assemble, f"doc_id {kind}, ids array<int>"
-    )
+def _taken(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches ``flat[first : first + sizes]``, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)]
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Codes in 7-bit groups, low first; the top bit says that more follow."""
-    codes = codes.astype(np.uint32)
-    out = np.zeros((len(codes), 4), np.uint8)
-    width = 1 + (codes >= 1 << 7).astype(np.int64) + (codes >= 1 << 14) + (codes >= 1 << 21)
-    for k in range(4):
-        out[:, k] = (codes >> np.uint32(7 * k)) & np.uint32(127) | np.where(width > k + 1, 128, 0).astype(np.uint32)
-    return out[np.arange(4) < width[:, None]].tobytes()
+def encode(docs: DataFrame, path: str = PATH, digested: bool = False) -> DataFrame:
+    """``(doc_id, ids)``, one row per row of ``docs``; null and empty texts have no ids.
 
+    Special strings inside texts become their tokens; none is added.  Ids of documents may
+    be of any type, null or repeated, and other columns are not read.  With ``digested``,
+    the number and hashes that ``digests`` gives take the place of the ids, as they are put
+    together.
+    """
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = materialize(_split(docs, path, buckets), "bpe-blocks")
+    texts = table.where("doc_ids IS NOT NULL").select("block", "doc_ids", "counts", "codes")
+    entries = encoded_words(table.where("words IS NOT NULL"), path)
+    kind = dict(docs.dtypes)["doc_id"]
 
-def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.int64)
-    last = np.flatnonzero(raw < 128)
-    first = np.concatenate(([0], last[:-1] + 1))
-    place = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), first)
+    def assemble(key, docs_of, words_of):
+        at = [_unpack(x) for x in words_of.column("at").to_pylist()]
+        each = [_unpack(x) for x in words_of.column("sizes").to_pylist()]
+        flat = [_unpack(x) for x in words_of.column("ids").to_pylist()]
+        at, each, flat = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, each, flat))
+        first, sizes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        first[at], sizes[at] = np.cumsum(each) - each, each
+        digest = _digester(path) if digested else None
+        tables = []
+        for i in range(docs_of.num_rows):
+            codes, counts = _unpack(docs_of.column("codes")[i].as_py()), _unpack(docs_of.column("counts")[i].as_py())
+            ids = _taken(flat, first[codes], sizes[codes]).astype(np.int32)
+            words = np.concatenate(([0], np.cumsum(sizes[codes])))
+            ends = words[np.concatenate(([0], np.cumsum(counts)))]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            own = {"doc_id": docs_of.column("doc_ids")[i].values}
+            tables.append(pa.table(own | (digest(lists) if digested else {"ids": lists})))
+        return pa.concat_tables(tables)
+
+    found = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digested else "ids array<int>"
+    return texts.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, {found}")
 
 
 def pieces_of(path: str = PATH) -> list[bytes]:
     """The bytes of every id of the vocabulary."""
     tokenizer = splitter(path).tokenizer
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(c): c for c in printable}
-    byte |= {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in printable)}
+    byte = byte_signs()
     added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
     names = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
     return [
@@ -191,46 +227,55 @@ def pieces_of(path: str = PATH) -> list[bytes]:
     ]
 
 
-def decode(encoded: DataFrame, path: str = PATH, digested: bool = False) -> DataFrame:
-    """``encoded`` with the decoded ``text`` added; bytes that are no UTF-8 are replaced.
+def _joined(pieces: pa.Array, lists: pa.Array) -> list[bytes]:
+    """For each list of ids, the pieces they stand for, joined."""
+    flat = lists.flatten()
+    if not len(flat):
+        return [b""] * len(lists)
+    joined = pieces.take(flat)
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+    at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][ends]
+    data = memoryview(joined.buffers()[2])
+    return [bytes(data[a:b]) for a, b in zip(at[:-1], at[1:])]
 
-    With ``digested``, ``n_tokens`` and ``ids_sha256``, the hash of the decimal ids joined by
-    commas, take the place of the ids.
-    """
 
-    def joined_bytes(pieces: pa.Array, lists: pa.Array) -> list[bytes]:
-        flat = lists.flatten()
-        if not len(flat):
-            return [b""] * len(lists)
-        joined = pieces.take(flat)
-        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][ends]
-        data = memoryview(joined.buffers()[2])
-        return [bytes(data[a:b]) for a, b in zip(at[:-1], at[1:])]
+def _texts_of(pieces: pa.Array, lists: pa.Array) -> list[str]:
+    return [t.decode("utf-8", "replace") for t in _joined(pieces, lists)]
+
+
+def _digester(path: str):
+    """Numbers and hashes of lists of ids and of the texts they decode to."""
+    pieces = pa.array(pieces_of(path), pa.large_binary())
+    decimal = pa.array([f"{i},".encode() for i in range(len(pieces))], pa.large_binary())
+
+    def digest(lists: pa.Array) -> dict[str, pa.Array]:
+        ids, texts = [], []
+        for start in range(0, len(lists), ROWS):
+            part = lists.slice(start, ROWS)
+            ids += [hashlib.sha256(t[:-1]).hexdigest() for t in _joined(decimal, part)]
+            texts += [hashlib.sha256(t.encode()).hexdigest() for t in _texts_of(pieces, part)]
+        return {
+            "n_tokens": lists.value_lengths().cast(pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
+            "decoded_sha256": pa.array(texts, pa.string()),
+        }
+
+    return digest
+
+
+def decode(encoded: DataFrame, path: str = PATH) -> DataFrame:
+    """``encoded`` with the decoded ``text`` added; bytes that are no UTF-8 are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(pieces_of(path), pa.large_binary())
-        decimal = pa.array([f"{i},".encode() for i in range(len(pieces))], pa.large_binary())
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                lists = part.column("ids")
-                texts = pa.array([t.decode("utf-8", "replace") for t in joined_bytes(pieces, lists)], pa.string())
-                if not digested:
-                    yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
-                    continue
-                hashes = [hashlib.sha256(t[:-1]).hexdigest() for t in joined_bytes(decimal, lists)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), lists.value_lengths().cast(pa.int64()), pa.array(hashes, pa.string()), texts],
-                    ["doc_id", "n_tokens", "ids_sha256", "text"],
-                )
-
-    columns = [f"`{n}` {t}" for n, t in encoded.dtypes if not digested or n == "doc_id"]
-    return encoded.mapInArrow(run, ", ".join([*columns, *["n_tokens long", "ids_sha256 string"] * digested, "text string"]))
-
-
-def digests(encoded: DataFrame, path: str = PATH) -> DataFrame:
-    """Number and hash of the ids, and hash of the text they decode to."""
-    return decode(encoded, path, digested=True).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")
-    )
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
+                texts = pa.array(_texts_of(pieces, part.column("ids")), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
+
+    return encoded.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in encoded.dtypes), "text string"]))
+
+
+def digests(docs: DataFrame, path: str = PATH) -> DataFrame:
+    """Number and hash of the ids of each text, and hash of the text they decode to."""
+    return encode(docs, path, digested=True)

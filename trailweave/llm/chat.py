@@ -18,6 +18,8 @@ ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 OPEN, CLOSE, END = "### ", ": ", " </turn>\n"
 # Every backslash of an escaped text belongs to one of these, so they are undone one by one.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
+# A role that has no name of its own stands after this, with its colons escaped as well.
+OTHER, COLON = "\\r", (":", "\\c")
 
 
 def paths(schema: T.StructType) -> list[str]:
@@ -76,7 +78,8 @@ def layout(df: DataFrame) -> tuple[str, str | None]:
 def canonical(df: DataFrame) -> DataFrame:
     """``(conv_id, turns)`` with turns ``(turn, role, text)`` in order, from any known layout.
 
-    Null texts become empty and null roles ``user``; turns are ordered by number, then
+    Null texts become empty and null roles ``user``; any other role is kept as it is, and
+    only ``assistant`` is trained on.  Turns are ordered by number, then
     role and text, null numbers first.  Rows of one conversation are gathered in one row,
     as its format demands; rows without a ``conv_id`` are one conversation.
     """
@@ -114,7 +117,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     Positions count from 1 in code points of ``formatted``.
     """
     names = " ".join(f"WHEN {_literal(k)} THEN {_literal(v)}" for k, v in ROLES.items())
-    head = f"concat({_literal(OPEN)}, CASE t.role {names} ELSE {escaped('t.role')} END, {_literal(CLOSE)})"
+    other = f"concat({_literal(OTHER)}, replace({escaped('t.role')}, {_literal(COLON[0])}, {_literal(COLON[1])}))"
+    head = f"concat({_literal(OPEN)}, CASE t.role {names} ELSE {other} END, {_literal(CLOSE)})"
     pieces = turns.selectExpr(
         "conv_id",
         f"transform(turns, t -> named_struct('head', {head}, 'body', {escaped('t.text')}, 'loss', t.role = 'assistant')) AS p",
@@ -140,7 +144,7 @@ def read_back(output: DataFrame) -> DataFrame:
     """``(conv_id, formatted, turns, losses)``: turns and assistant texts from the output alone."""
     names = " ".join(f"WHEN {_literal(v)} THEN {_literal(k)}" for k, v in ROLES.items())
     role = f"substring_index(substring(b, {len(OPEN) + 1}), {_literal(CLOSE)}, 1)"
-    plain = unescaped("role")
+    plain = unescaped(f"replace(substring(role, {len(OTHER) + 1}), {_literal(COLON[1])}, {_literal(COLON[0])})")
     text = unescaped(f"substring(b, length(role) + {len(OPEN) + len(CLOSE) + 1})")
     blocks = f"filter(split(formatted, {_literal(END)}, -1), b -> b <> '')"
     parsed = output.selectExpr("*", f"transform({blocks}, b -> named_struct('b', b, 'role', {role})) AS _blocks")

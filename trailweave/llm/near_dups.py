@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.shingles import shingle_sets, units
-from trailweave.operators.components import linked_labels
+from trailweave.operators.components import more_labels
 from trailweave.workspace import materialize, materialize_measured
 
 COORDINATES = 64
@@ -146,8 +146,7 @@ def _components(docs: DataFrame, words: int, similarity: float, rank: str, hashe
         ),
         "classes",
     )
-    links = _links(docs, classes, words, similarity)
-    labels = linked_labels(links)
+    labels = _linked(docs, classes, words, similarity)
     roots = classes.select("class", "first").join(labels.withColumnRenamed("v", "class"), "class", "left").select(
         "class", F.coalesce("label", "class").alias("root"), "first"
     )
@@ -174,12 +173,15 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
         ),
         "near-duplicates",
     )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    rows = docs.join(found.where("gone").select("_id", "_hash"), same, "left_anti")
+    # By position, so that other columns may have any names.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    same = plain[own].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(plain[text]) == F.col("_hash"))
+    rows = plain.join(found.where("gone").select("_id", "_hash"), same, "left_anti")
     again, seen = materialize_measured(found.where("NOT gone AND n > 1").select("_id", "_hash"), "repeated-rows", n=F.count("*"))
-    if not seen["n"]:
-        return rows
-    return rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if seen["n"]:
+        rows = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates([own, text]))
+    return rows.toDF(*docs.columns)
 
 
 def _postings(classes: DataFrame, needed: int, similarity: float) -> DataFrame:
@@ -224,19 +226,19 @@ def _collisions(one: list[str], two: list[str]) -> str:
     return f"{COORDINATES} - " + " - ".join(differ)
 
 
-def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Confirmed links ``(a, b)`` that join the classes' components."""
+def _linked(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(v, label)`` of all classes but the smallest of each component, over confirmed links."""
     spark = docs.sparkSession
     needed = needed_matches(similarity)
     postings, size = materialize_measured(_postings(classes, needed, similarity), "postings", n=F.count("*"))
     none = spark.createDataFrame([], "a long, b long")
     if not size["n"]:
-        return none
+        return none.toDF("v", "label")
     members = classes.select("class", "doc_id").join(postings.select("class").distinct(), "class", "left_semi")
     texts = materialize(_texts(docs, members, words), "near-texts")
     places = materialize(_places(postings), "places")
     percent = round(100 * similarity)
-    found, tested, labels = none, none, None
+    tested, labels = none, None
     for turn in range(ROUNDS + 1):
         state = postings.withColumn("label", F.col("class"))
         if labels is not None:
@@ -272,11 +274,10 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tested = tested.union(pairs)
         new = materialize(_confirmed(pairs, places, texts, words, percent), "near-links")
-        found = found.union(new)
-        labels = linked_labels(found)
+        labels = more_labels(labels, new)
         if last:
             break
-    return found
+    return none.toDF("v", "label") if labels is None else labels
 
 
 def _marks(hashes: DataFrame) -> Broadcast:
@@ -285,7 +286,7 @@ def _marks(hashes: DataFrame) -> Broadcast:
         F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits")
     )
     bits = np.zeros(1 << (_BITS - 6), np.int64)  # 2 MB, whatever the number of documents
-    for word, value in filled.toLocalIterator():
+    for word, value in filled.collect():  # 2^18 rows at most, in one job
         bits[word] = value
     return hashes.sparkSession.sparkContext.broadcast(bits)
 

@@ -89,9 +89,9 @@ class NodeTable:
         return np.where(known, found, -1)
 
 
-def _inside(depths: np.ndarray) -> np.ndarray:
+def _inside(depths: np.ndarray, block: int) -> np.ndarray:
     """Whether a node's parent lies in the same block, so that a shard accumulates to it."""
-    return (depths == 1) | (depths > 0) & ((depths - 1) % BLOCK > 0)
+    return (depths == 1) | (depths > 0) & ((depths - 1) % block > 0)
 
 
 def accumulate(values: np.ndarray, parents: np.ndarray, depths: np.ndarray) -> None:
@@ -157,10 +157,10 @@ _LOCAL = (
 )
 
 
-def _local_trie(shard_key: tuple, table: pa.Table) -> pa.Table:
+def _local_trie(shard_key: tuple, table: pa.Table, block: int) -> pa.Table:
     """The nodes of one shard's pieces with their members in the shard, and the ends of its conversations."""
     conv, depth, high, low = (table.column(c).to_numpy() for c in ("conv_id", "depth", "high", "low"))
-    piece = np.maximum(depth - 1, 0) // BLOCK
+    piece = np.maximum(depth - 1, 0) // block
     order = np.lexsort((depth, piece, conv))
     column = {c: table.column(c).to_numpy()[order] for c in table.column_names}
     conv, depth, piece = conv[order], depth[order], piece[order]
@@ -181,7 +181,7 @@ def _local_trie(shard_key: tuple, table: pa.Table) -> pa.Table:
     n = len(one)
     example = np.empty(n, np.int64)
     example[slots] = np.arange(len(slots))
-    parents = np.where(_inside(depth[example]), nodes.slots(above[0][example], above[1][example]), -1)
+    parents = np.where(_inside(depth[example], block), nodes.slots(above[0][example], above[1][example]), -1)
     members = np.zeros(n, np.int64)
     np.add.at(members, slots[last], 1)
     accumulate(members, parents, depth[example])
@@ -206,7 +206,7 @@ def _local_trie(shard_key: tuple, table: pa.Table) -> pa.Table:
     return pa.concat_tables([rows(example, False, members, smallest), rows(done, True, np.ones(len(done), np.int64), conv[done])])
 
 
-def _subtree_sums(key: tuple, nodes: pa.Table, values: pa.Table) -> pa.Table:
+def _subtree_sums(nodes: pa.Table, values: pa.Table, block: int) -> pa.Table:
     """Sums over the subtrees of one shard's nodes of the values given to the shard."""
 
     def pair(table: pa.Table, high: str, low: str) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +219,7 @@ def _subtree_sums(key: tuple, nodes: pa.Table, values: pa.Table) -> pa.Table:
     depths[slots] = nodes.column("depth").to_numpy()
     parents = np.full(len(slots), -1)
     parents[slots] = table.slots(*pair(nodes, "parent_high", "parent_low"))
-    parents[~_inside(depths)] = -1
+    parents[~_inside(depths, block)] = -1
     at = table.slots(*pair(values, "high", "low"))
     if (at < 0).any():
         raise RuntimeError("a node is missing in the shard of its smallest member")
@@ -283,7 +283,7 @@ def _hash_batch(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["high", "low", "ends_sha256"])
 
 
-def prefix_trie(paths: DataFrame) -> DataFrame:
+def prefix_trie(paths: DataFrame, block: int = BLOCK, shard_rows: int = SHARD) -> DataFrame:
     """The nodes of the trie of ``paths_of(turns)``, one row each; no rows give no nodes.
 
     ``high, low`` digest, ``depth``, ``conv_id`` the smallest member, ``parent_conv_id`` that of
@@ -291,7 +291,7 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     ``saved_tokens`` (words of last turns, times members less one, over the subtree) and
     ``ends_sha256`` (ids of the members that end here, ascending).
     """
-    piece = "greatest(depth - 1, 0L) DIV {}".format(BLOCK)
+    piece = f"greatest(depth - 1, 0L) DIV {block}"
     hashed = paths.selectExpr(
         "*", f"{piece} AS piece",
         "IF(depth = 0, 0L, xxhash64(first_key, second_key, depth)) AS high",
@@ -300,7 +300,7 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     stored, measured = materialize_measured(hashed, "trie-paths", n=F.count("*"), deepest=F.max("piece"))
     if not measured["n"]:
         return paths.sparkSession.createDataFrame([], _NODES)
-    shards = -(-measured["n"] // SHARD)
+    shards = -(-measured["n"] // shard_rows)
     shard = f"pmod(xxhash64({{}}, {{}}), {shards})"
 
     # Digests at the ends of earlier pieces, for conversations of several.
@@ -315,7 +315,7 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     rows = stored.withColumn("shard", F.expr(shard.format("conv_id", "piece")))
     rows = rows.join(carry, ["conv_id", "piece"], "left") if carry is not None else rows.selectExpr("*", "0L AS carry_high", "0L AS carry_low")
     rows = rows.fillna(0, ["carry_high", "carry_low"]).drop("piece")
-    local = materialize(rows.groupBy("shard").applyInArrow(_local_trie, _LOCAL), "trie-local")
+    local = materialize(rows.groupBy("shard").applyInArrow(lambda key, table: _local_trie(key, table, block), _LOCAL), "trie-local")
 
     parts = local.where("NOT ends")
     same = ["parent_high", "parent_low", "depth", "first_key", "second_key"]
@@ -347,7 +347,7 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
         given = given.union(behind.selectExpr(f"{shard.format('conv_id', 'piece')} AS shard", "high", "low", "saved", "leaves"))
     shape = parts.select("shard", "high", "low", "parent_high", "parent_low", "depth")
     sums = shape.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(
-        _subtree_sums, "high long, low long, saved long, leaves long"
+        lambda key, nodes, values: _subtree_sums(nodes, values, block), "high long, low long, saved long, leaves long"
     )
     sums = sums.groupBy("high", "low").agg(F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
     ends = _ends_hashes(local.where("ends").withColumnRenamed("first", "conv_id"))

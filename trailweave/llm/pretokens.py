@@ -8,6 +8,7 @@ code points.  Which class a character has is asked of the tokenizer itself, once
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -34,6 +35,8 @@ class Splitter:
         )
         self._class = np.full(0x110000, 255, np.uint8)
         self._class[0x20] = SPACE
+        self._added = {t.content: [i] for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self._merge = _merger(path)
 
     def classes(self, points: np.ndarray) -> np.ndarray:
         found = self._class[points]
@@ -106,6 +109,13 @@ class Splitter:
                 at = p - n
         return found
 
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word, as the tokenizer gives them."""
+        if self._merge is None:
+            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        merge, added = self._merge, self._added
+        return [added[w] if w in added else merge(w) for w in words]
+
     def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """All words of the texts in order, as UTF-8, and the number in each text."""
         points, _, starts, begins = self.borders(texts)
@@ -118,6 +128,39 @@ class Splitter:
         return words, np.diff(np.searchsorted(at, np.append(starts, len(points))))
 
 
+def byte_signs() -> dict[str, int]:
+    """The printable sign that stands for each byte in a byte-level vocabulary."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [c for c in range(256) if c not in printable]
+    return {chr(c): c for c in printable} | {chr(256 + k): c for k, c in enumerate(others)}
+
+
+def _merger(path: str):
+    """A function from a word to its ids, several times as fast as the tokenizer; None where it may differ.
+
+    It holds for byte-level pair merging without options whose ids ascend in the order of
+    merging, so that the vocabulary is the table of merges.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    model, signs = whole["model"], byte_signs()
+    options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or whole.get("normalizer") or any(model.get(o) for o in options):
+        return None
+    vocabulary = {k: v for k, v in model["vocab"].items() if all(c in signs for c in k)}
+    merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if len({v for v in vocabulary.values()} | {None}) != len(vocabulary) + 1 or None in merged or merged != sorted(merged):
+        return None
+    ranks = {bytes(signs[c] for c in k): v for k, v in vocabulary.items() if len(k) == 1 or v >= merged[0]}
+    if sum(len(k) == 1 for k in ranks) != 256 or any(v >= merged[0] for k, v in ranks.items() if len(k) == 1):
+        return None
+    kept = set(merged)
+    ranks = {k: v for k, v in ranks.items() if len(k) == 1 or v in kept}
+    return tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 _splitters: dict[str, Splitter] = {}
 
 

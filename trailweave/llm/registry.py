@@ -84,7 +84,8 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    CAST(sum(4 + length(role) + 2 + 9 + length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')))
+    CAST(sum(4 + length(role) + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0
+            ELSE 2 + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) END + 2 + 9 + length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')))
         AS BIGINT) AS formatted_chars
 FROM all_rows GROUP BY conv_id
 """
@@ -100,7 +101,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents")))
+    return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -33,8 +34,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 FILE_IDS = 4 << 20
 #: Bytes of text in a range of documents, on average.
 RANGE_BYTES = 64 << 20
-#: Distinct words whose ids a task keeps.
-KNOWN = 200_000
+#: Distinct words whose ids a task keeps, twice.
+KNOWN = 100_000
 #: Bits between two counts of the rank directory.
 STEP = 512
 
@@ -90,6 +91,8 @@ class WaveletMatrix:
     def access(self, positions: np.ndarray) -> np.ndarray:
         """The ids at ``positions``."""
         at, found = np.asarray(positions, np.int64), np.zeros(len(positions), np.int64)
+        if not len(at):
+            return found
         for level, zeros in enumerate(self.zeros):
             one = self.planes[level][at // 8] >> (at % 8).astype(np.uint8) & 1
             ones = self._ones(level, at)
@@ -99,7 +102,7 @@ class WaveletMatrix:
 
     def _range(self, token: int, start: int, stop: int) -> tuple[int, int]:
         """Where the occurrences of ``token`` within ``[start, stop)`` lie after the last plane."""
-        if token >> len(self.planes):
+        if not self.n or token >> len(self.planes):
             return 0, 0
         ends = np.array([start, stop], np.int64)
         for level, zeros in enumerate(self.zeros):
@@ -155,24 +158,31 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 def _encoder(path: str):
-    """Ids of texts, and how many each has: words are split, and each distinct word is encoded once."""
+    """Ids of texts, and how many each has: words are split, and each distinct word is encoded once.
+
+    Ids of words are kept while these recur: of ``KNOWN`` words that were met, those which the
+    next ``KNOWN`` do not contain go.
+    """
     split = splitter(path)
-    known: dict[str, np.ndarray] = {}
+    recent: dict[str, list[int]] = {}
+    before: dict[str, list[int]] = {}
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal recent, before
         words, counts = split.words(texts)
         coded = words.dictionary_encode()
         entries = coded.dictionary.to_pylist()
-        if len(known) + len(entries) > KNOWN:
-            known.clear()
-        new = [w for w in entries if w not in known]
-        for w, e in zip(new, split.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32)
-        lists = [known[w] for w in entries]
+        if len(recent) > KNOWN:
+            recent, before = {}, recent
+        lists = [recent.get(w) or before.get(w) for w in entries]
+        new = [i for i, x in enumerate(lists) if x is None]
+        for i, x in zip(new, split.encode_words([entries[i] for i in new])):
+            lists[i] = x
+        recent.update(zip(entries, lists))
         if not lists:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat, first = np.concatenate(lists), np.cumsum(sizes) - sizes
+        flat, first = np.fromiter(chain.from_iterable(lists), np.uint32), np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
         each = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(each)))
