@@ -31,7 +31,7 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, as number and hash, and the hash of what they decode to."""
-    return bpe.digests(bpe.encode(docs))
+    return bpe.digests(docs)
 
 
 STAGES = [
