@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.shingles import units
+from trailweave.llm.shingles import UNIT_BYTES, units
 
 
-def pieces(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], at: int = 0, size: int = UNIT_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column ``at`` holds a few MB, or one text."""
     for batch in batches:
-        for start, stop in units(batch.column(at)):
+        for start, stop in units(batch.column(at), size):
             yield batch.slice(start, stop - start)
 
 
@@ -22,6 +22,26 @@ def texts_of(batch: pa.RecordBatch, at: int = 0) -> list[str]:
     return [t or "" for t in batch.column(at).to_pylist()]
 
 
+def filter_rows(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay; only texts go through Python, and only marks come back.
+
+    ``start`` makes, once for each task, a function that takes some texts (null: empty) and
+    tells which rows stay.
+    """
+
+    @F.arrow_udf("boolean")
+    def stays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = start()
+        for batch in batches:
+            marks = [judge([t or "" for t in batch.slice(a, b - a).to_pylist()]) for a, b in units(batch)]
+            yield pa.array([m for some in marks for m in some], pa.bool_())
+
+    names = docs.columns
+    # By position, like below.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.where(stays(plain[f"c{names.index(text)}"])).toDF(*names)
+
+
 def rewrite_rows(
     docs: DataFrame, start: Callable[[], Callable[[list[str]], tuple[list[bool] | None, list[str] | None]]], text: str = "text"
 ) -> DataFrame:

@@ -15,13 +15,13 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def units(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``UNIT_BYTES`` of text."""
+def units(texts: pa.Array, size: int = UNIT_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + UNIT_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
         yield start, stop
         start = stop
 

@@ -34,6 +34,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 FILE_IDS = 4 << 20
 #: Bytes of text in a range of documents, on average.
 RANGE_BYTES = 64 << 20
+#: Bytes of text that are split at once.
+UNIT = 8 << 20
 #: Distinct words whose ids a task keeps, twice.
 KNOWN = 100_000
 #: Bits between two counts of the rank directory.
@@ -61,9 +63,12 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if digits <= 16 else np.uint32)
         planes = []
         for digit in range(digits - 1, -1, -1):
-            one = (now >> now.dtype.type(digit) & now.dtype.type(1)).astype(bool)
+            one = (now & now.dtype.type(1 << digit)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            now = np.concatenate((now[~one], now[one]))
+            after, zeros = np.empty_like(now), len(now) - int(np.count_nonzero(one))
+            np.compress(~one, now, out=after[:zeros])
+            np.compress(one, now, out=after[zeros:])
+            now = after
         return cls(len(ids), planes)
 
     def ids(self) -> np.ndarray:
@@ -171,7 +176,7 @@ def _encoder(path: str):
         nonlocal recent, before
         words, counts = split.words(texts)
         coded = words.dictionary_encode()
-        entries = coded.dictionary.to_pylist()
+        entries = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(recent) > KNOWN:
             recent, before = {}, recent
         lists = [recent.get(w) or before.get(w) for w in entries]
@@ -229,7 +234,7 @@ def write(docs: DataFrame, end: int, path: str = PATH, folder: str | None = None
                 own = {"part": pa.int32(), "file": pa.int32(), "before": pa.int64(), "n": pa.int64(), "docs": pa.int64(), "digits": pa.int32(),
                        "planes": pa.list_(pa.binary()), "ends": pa.binary(), "doc_ids": pa.list_(batch.schema.field(0).type)}
                 arrow = pa.schema(own)
-            for piece in pieces(iter([batch]), 1):
+            for piece in pieces(iter([batch]), 1, UNIT):
                 flat, counts = encode(piece.column(1).to_pylist())
                 stops = np.cumsum(counts)
                 for i, a, b in zip(piece.column(0).to_pylist(), stops - counts, stops):
