@@ -35,23 +35,29 @@ from trailweave.workspace import materialize
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 #: Buckets of words for each shuffle partition; the distinct words of one are in memory at once.
-BUCKETS = 16
+BUCKETS = 4
 #: Rows that are decoded or digested at once.
 ROWS = 256
-_CODEC = "zstd"
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers below 2^32, one after another, compressed."""
-    raw = b"".join(_varied(a) for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.Codec(_CODEC).compress(raw, asbytes=True)
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed."""
+    return _squeezed(_varied(numbers))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    raw = pa.Codec(_CODEC).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-    raw = np.frombuffer(raw, np.uint8)
+    raw = np.frombuffer(_restored(data), np.uint8)
     if not len(raw):
         return np.empty(0, np.int64)
     last = np.flatnonzero(raw < 128)
@@ -89,7 +95,7 @@ class _Block:
     def rows(self, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         found = pa.chunked_array(self.words, pa.string()).dictionary_encode().combine_chunks()
         found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-        codes, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary.cast(pa.binary()).to_pylist()
+        codes, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         rank = np.empty(len(often), np.int64)
         rank[often] = np.arange(len(often))
@@ -101,8 +107,13 @@ class _Block:
         place = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(place, kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
-            some = pa.array([words[i] for i in mine], pa.string())
-            yield _row(schema, block=self.number, bucket=int(place[mine[0]]), words=some, at=_pack(rank[mine]))
+            mine = mine[np.argsort(rank[mine])]
+            some = [words[i] for i in mine]
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            yield _row(
+                schema, block=self.number, bucket=int(place[mine[0]]), words=_squeezed(b"".join(some)), lengths=_pack(lengths),
+                at=_pack(np.diff(rank[mine], prepend=0)),
+            )
 
 
 def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
@@ -117,7 +128,10 @@ def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
 
 
 def _split(docs: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Rows of documents ``(block, doc_ids, counts, codes)`` and of words ``(block, bucket, words, at)``."""
+    """Rows of documents ``(block, doc_ids, counts, codes)`` and of words ``(block, bucket, words, lengths, at)``.
+
+    ``at`` holds the steps from each code to the next.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +141,7 @@ def _split(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             if schema is None:
                 schema = pa.schema([
                     ("block", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("counts", pa.binary()), ("codes", pa.binary()),
-                    ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("at", pa.binary()),
+                    ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("at", pa.binary()),
                 ])
             for piece in pieces(iter([batch]), 1):
                 if block.ids and block.size + piece.column(1).nbytes > BLOCK:
@@ -138,12 +152,12 @@ def _split(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             yield from block.rows(buckets, schema)
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"block long, doc_ids array<{kind}>, counts binary, codes binary, bucket int, words array<string>, at binary"
+        run, f"block long, doc_ids array<{kind}>, counts binary, codes binary, bucket int, words binary, lengths binary, at binary"
     )
 
 
 def encoded_words(words: DataFrame, path: str = PATH) -> DataFrame:
-    """``(block, at, sizes, ids)`` for rows of words ``(block, bucket, words, at)``.
+    """``(block, at, sizes, ids)`` for rows of words ``(block, bucket, words, lengths, at)``.
 
     Rows are dealt by bucket and come bucket by bucket, so each distinct word is encoded
     once.
@@ -157,7 +171,9 @@ def encoded_words(words: DataFrame, path: str = PATH) -> DataFrame:
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
                 if bucket != now:
                     now, known = bucket, {}
-                mine = batch.column("words")[i].as_py()
+                raw = _restored(batch.column("words")[i].as_py())
+                ends = np.cumsum(_unpack(batch.column("lengths")[i].as_py())).tolist()
+                mine = [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
                 new = [w for w in mine if w not in known]
                 known.update(zip(new, split.encode_words(new)))
                 lists = [known[w] for w in mine]
@@ -168,7 +184,7 @@ def encoded_words(words: DataFrame, path: str = PATH) -> DataFrame:
                 ["block", "at", "sizes", "ids"],
             )
 
-    dealt = words.select("block", "bucket", "words", "at").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = words.select("block", "bucket", "words", "lengths", "at").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "block long, at binary, sizes binary, ids binary")
 
 
@@ -193,7 +209,7 @@ def encode(docs: DataFrame, path: str = PATH, digested: bool = False) -> DataFra
     kind = dict(docs.dtypes)["doc_id"]
 
     def assemble(key, docs_of, words_of):
-        at = [_unpack(x) for x in words_of.column("at").to_pylist()]
+        at = [np.cumsum(_unpack(x)) for x in words_of.column("at").to_pylist()]
         each = [_unpack(x) for x in words_of.column("sizes").to_pylist()]
         flat = [_unpack(x) for x in words_of.column("ids").to_pylist()]
         at, each, flat = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, each, flat))
