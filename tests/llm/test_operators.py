@@ -289,6 +289,22 @@ def test_token_counts(spark, strings, odd, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_of_unspaced_texts_with_bounded_tables(spark, monkeypatch):
+    """Many kinds of letters, random strings and small tables: right counts, bounded memory."""
+    rng = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(5000)]
+    texts = ["".join(rng.choices(han, k=n)) for n in (50, 3000, 20_000)]
+    texts += ["".join(rng.choices("ABCxyz019+/", k=n)) for n in (500, 9000)]
+    texts += [" ".join("".join(rng.choices(han, k=6)) for _ in range(800)), sentence(rng, 3000), "", " " * 9000, "é " * 6000]
+    want = [len(TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts]
+    machine = token_counts.Transducer(token_counts.PATH)
+    assert machine.counts(texts).tolist() == want
+    assert machine.room * machine.width <= token_counts.MOST_CELLS
+    monkeypatch.setattr(token_counts, "MOST_CELLS", 600_000)
+    machine = token_counts.Transducer(token_counts.PATH)
+    assert machine.counts(texts).tolist() == want and machine.room * machine.width <= 600_000
+
+
 def test_sharding(odd, empty):
     rows = sharding.shard(odd, shards=4).collect()
     assert len(rows) == odd.count()

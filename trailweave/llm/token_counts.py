@@ -29,9 +29,11 @@ from trailweave.llm.bpe import pieces_of
 from trailweave.llm.pretokens import EDGE, LETTER, LONG, SHORT, SPACE, Splitter, splitter
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-#: Code points of a chunk, and compiled transitions kept before the tables start anew.
+#: Code points of a chunk, and compiled transitions that the tables have room for.
 CHUNK = 256
 MOST_CELLS = 36_000_000
+#: Code points without a reset after which a text is merged word by word.
+LONGEST = 4096
 _NEVER = 1 << 40
 
 
@@ -107,6 +109,10 @@ class Merges:
         return state, total
 
 
+class _Full(Exception):
+    """The tables have no room for more states or symbols."""
+
+
 class Transducer:
     """Compiled transitions of the tokenizer over code points."""
 
@@ -126,8 +132,6 @@ class Transducer:
         self.merges._pairs.clear()
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        if self.room * self.width > MOST_CELLS:
-            self._reset()
         found = self.symbol[points]
         if (found < 0).any():
             for p in np.unique(points[found < 0]).tolist():
@@ -139,6 +143,8 @@ class Transducer:
         return found
 
     def _grow(self, room: int, width: int) -> None:
+        if room * width > MOST_CELLS:
+            raise _Full
         for name, fill in (("next", -1), ("emit", 0)):
             old = getattr(self, name).reshape(self.room, self.width)
             new = np.full((room, width), fill, old.dtype)
@@ -218,6 +224,42 @@ class Transducer:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each whole text."""
+        found = np.zeros(len(texts), np.int64)
+        unbroken = np.array([self._longest(t) > LONGEST for t in texts], bool)
+        for some, count in ((np.flatnonzero(unbroken), self._merged), (np.flatnonzero(~unbroken), self._fitting)):
+            if len(some):
+                found[some] = count([texts[i] for i in some])
+        return found
+
+    def _longest(self, text: str) -> int:
+        """Code points of the longest stretch without a reset, or a bound that is small enough."""
+        if len(text) <= LONGEST:
+            return len(text)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        resets = np.flatnonzero((points[1:] == 0x20) & (self.splitter.classes(points[:-1]) < SPACE)) + 1
+        return int(np.diff(np.concatenate(([0], resets, [len(points)]))).max())
+
+    def _merged(self, texts: list[str]) -> np.ndarray:
+        """Counts by merging every word of the texts."""
+        found = []
+        for text in texts:
+            words = self.splitter.words([text])[0].dictionary_encode()
+            sizes = np.array([len(x) for x in self.splitter.encode_words(words.dictionary.to_pylist())], np.int64)
+            found.append(int(sizes[words.indices.to_numpy()].sum()) if len(words) else 0)
+        return np.array(found, np.int64)
+
+    def _fitting(self, texts: list[str]) -> np.ndarray:
+        """Counts by the transducer, in smaller parts and with new tables where these are full."""
+        try:
+            return self._run_texts(texts)
+        except _Full:
+            self._reset()
+            if len(texts) == 1:
+                return self._merged(texts)
+            half = len(texts) // 2
+            return np.concatenate((self._fitting(texts[:half]), self._fitting(texts[half:])))
+
+    def _run_texts(self, texts: list[str]) -> np.ndarray:
         segments, owner, extra = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             at = 0
