@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.batches import pieces, rewrite_rows, summed, texts_of
+from trailweave.llm.batches import filter_rows, pieces, summed, texts_of
 from trailweave.llm.shingles import _LOWER
 
 #: Labelled rows that a model is fitted on, chosen by hash of their id.
 LABELLED_ROWS = 20_000
 STEM = 5
+#: Words and readings that a task keeps, and features counted before they leave the task.
+KNOWN, COUNTED = 50_000, 200_000
 #: Strength of the prior, in toxic texts of the sample and as a share of them.
 PRIOR_ROWS, PRIOR_SHARE = 16, 0.07
 LEAST_ROWS, LEAST_SHARE = 5, 0.15
@@ -40,7 +42,9 @@ IMITATED = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t",
 }
-SEPARATORS = " .-_*"
+SEPARATORS = " .-_*/~\t\n\r"
+# Signs without width, which part letters unseen.
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SUBSTITUTED, _SILENT, _REPEATED, _DOUBLED = -1.5, -0.3, -0.1, -5.0
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -48,7 +52,7 @@ MIXED = re.compile(
     r"(?<![^\W_])(?:[^\W\d_]++[01345789@$!|+]|[01345789@$!|+]++[^\W\d_])[^\W_@$!|+]*+(?:[@$!|+]++[^\W_]++)*+[+$]?"
 )
 # Two or more single letters, digits or signs that imitate letters, with runs of separators.
-SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+])[ .\-_*]++)+(?:[^\W_]|[@$!|+])(?![^\W_])")
+SPACED = re.compile(rf"(?<![^\W_])(?:(?:[^\W_]|[@$!|+])[{re.escape(SEPARATORS)}]++)+(?:[^\W_]|[@$!|+])(?![^\W_])")
 DOUBLE = re.compile(r"(.)\1")
 
 _CLASSES = 28  # other bytes: word end; a-z; bytes of other letters
@@ -95,7 +99,7 @@ class Decoder:
         """The most likely reading of a lower-case string; ties go to the first in order."""
         found = self.known.get(seen)
         if found is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             found = self.known[seen] = self._viterbi(seen)
         return found
@@ -153,6 +157,8 @@ def suspicious(low: str) -> list[str]:
 def words_and_readings(text: str, decoder: Decoder) -> tuple[set[str], set[str]]:
     """Distinct words of a whole text, and words of its restored strings."""
     low = text.lower()
+    if any(sign in low for sign in UNSEEN):
+        low = low.translate(dict.fromkeys(map(ord, UNSEEN)))
     words = set(WORD.findall(low))
     restored: set[str] = set()
     for s in suspicious(low):
@@ -182,7 +188,7 @@ class Model:
         def value(word: str) -> float:
             found = known.get(word)
             if found is None:
-                if len(known) > 500_000:
+                if len(known) > KNOWN:
                     known.clear()
                 found = max(weights.get(word, 0.0), weights.get(word[:STEM] + "*", 0.0) if len(word) > STEM else 0.0)
                 known[word] = found
@@ -221,17 +227,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(counts)
         toxic, clean, texts = Counter(), Counter(), [0, 0]
+
+        def counted() -> pa.RecordBatch:
+            names = list(toxic.keys() | clean.keys())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([None, *names], pa.string()), pa.array([texts[1], *(toxic[x] for x in names)], pa.int64()),
+                 pa.array([texts[0], *(clean[x] for x in names)], pa.int64())],
+                ["feature", "toxic", "clean"],
+            )
+
         for batch in pieces(batches):
             for text, label in zip(texts_of(batch), batch.column(1).to_pylist()):
                 words, restored = words_and_readings(text, decoder)
                 (toxic if label else clean).update(features(words | restored))
                 texts[1 if label else 0] += 1
-        names = list(toxic.keys() | clean.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *names], pa.string()), pa.array([texts[1], *(toxic[x] for x in names)], pa.int64()),
-             pa.array([texts[0], *(clean[x] for x in names)], pa.int64())],
-            ["feature", "toxic", "clean"],
-        )
+            if len(toxic) + len(clean) > COUNTED:
+                yield counted()
+                toxic, clean, texts = Counter(), Counter(), [0, 0]
+        yield counted()
 
     seen = labelled.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
@@ -269,6 +282,6 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def start():
         score = model.scorer()
-        return lambda texts: ([score(t)[0] < threshold for t in texts], None)
+        return lambda texts: [score(t)[0] < threshold for t in texts]
 
-    return rewrite_rows(docs, start)
+    return filter_rows(docs, start)
