@@ -19,7 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The text leaves the plan as soon as its words are counted.
     docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "source", f"{mixing.WORDS.format('text')} AS words")
-    found = mixing.plan(docs, size="words").orderBy(F.expr("get(positions, 0)").asc_nulls_last())
+    # Documents that the mix does not take have no position; their hashes spread them over the last ranges.
+    found = mixing.plan(docs, size="words").orderBy(F.expr("get(positions, 0)").asc_nulls_last(), F.expr("xxhash64(row.c0)"))
     return found.selectExpr("row.c0 AS doc_id", "size", "source_size", "target", "CAST(taken AS LONG) AS taken")
 
 
