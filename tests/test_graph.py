@@ -43,6 +43,21 @@ def test_components_with_chain_and_isolated_vertex(make_graph, as_rows):
     assert as_rows(comp.components(nodes, edges)) == sorted([(n, "v00") for n in names[:20]] + [("z", "z")])
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_labels_by_numbers_are_the_same(spark, as_rows, keyed):
+    """Names in no order of their links, blanks and other scripts among them; and more links later."""
+    rng = random.Random(12)
+    names = [f"{rng.choice('zab é日')}{i}" for i in rng.sample(range(200), 120)]
+    links = [(rng.randrange(3), rng.choice(names), rng.choice(names)) for _ in range(90)]
+    df = spark.createDataFrame(links, "tid int, a string, b string")
+    keys = ["tid"] if keyed else []
+    plain = as_rows(comp.linked_labels(df, keys, dense=False))
+    assert plain and as_rows(comp.linked_labels(df, keys, dense=True)) == plain
+    first, later = df.where("pmod(hash(a, b), 2) = 0"), df.where("pmod(hash(a, b), 2) = 1")
+    grown = comp.more_labels(comp.more_labels(None, first.select(*keys, "a", "b"), keys), later.select(*keys, "a", "b"), keys)
+    assert as_rows(grown.select(*keys, "v", "label")) == plain
+
+
 def test_components_keyed(spark, as_rows):
     nodes = spark.createDataFrame([(t, n) for t in (1, 2) for n in "abcd"], "tid int, activity string")
     edges = spark.createDataFrame([(1, "a", "b"), (1, "c", "b"), (2, "d", "c")], "tid int, src string, dst string")

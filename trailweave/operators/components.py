@@ -8,14 +8,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.operators.sequence import running_total
 from trailweave.operators.spread import Spread, run_rounds, start_labels
 from trailweave.workspace import materialize, materialize_measured
 
 
-def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+# Links from which on names are replaced by numbers in the order of the names.
+DENSE_LINKS = 1 << 20
+
+
+def linked_labels(links: DataFrame, keys: Sequence[str] = (), dense: bool | None = None) -> DataFrame:
     """Smallest member of each component of the links ``(a, b)``: ``(v, label)`` for all
     vertices but the smallest ones themselves.
 
+    With ``dense``, by default for many links between names, the loop runs on numbers, so that
+    minima are aggregated by hash and rows are small; see ``_by_numbers``.
+
     The graph is contracted: every vertex hooks to its smallest neighbour below it, the
     hooks form trees whose pointers are doubled until they show the roots, and the links
     are redrawn between roots.  Only local minima outlive a contraction, so at least half
@@ -28,6 +36,10 @@ def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return ends.where("a <> b").distinct()
 
     live, seen = materialize_measured(between(links), "links", n=F.count("*"))
+    if dense is None:
+        dense = seen["n"] >= DENSE_LINKS and dict(live.dtypes)["a"] == "string"
+    if dense and seen["n"]:
+        return _by_numbers(live, keys)
     labels = None
     while seen["n"]:
         hooks = _roots(live.groupBy(*keys, "b").agg(F.min("a").alias("label")).withColumnRenamed("b", "v"), keys)
@@ -41,6 +53,25 @@ def linked_labels(links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return labels if labels is not None else live.selectExpr(*keys, "b AS v", "a AS label")
 
 
+def _by_numbers(links: DataFrame, keys: list[str]) -> DataFrame:
+    """``linked_labels`` through a dictionary of the names, numbered in their order.
+
+    Names are numbered by range slices, so the smallest number is that of the smallest name,
+    and labels are the same.
+    """
+    names = links.select(F.col("a").alias("name")).union(links.select("b")).distinct()
+    numbers = materialize(running_total(names, ["name"], name="number"), "numbers")
+
+    def replaced(table: DataFrame, column: str, known: str, wanted: str) -> DataFrame:
+        to = numbers.select(F.col(known).alias(column), F.col(wanted).alias("_to"))
+        rest = [c for c in table.columns if c != column]
+        return table.join(to, column).select(*rest, F.col("_to").alias(column))
+
+    coded = replaced(replaced(links, "a", "name", "number"), "b", "name", "number")
+    labels = linked_labels(coded, keys, dense=False)
+    return replaced(replaced(labels, "v", "number", "name"), "label", "number", "name").select(*keys, "v", "label")
+
+
 def more_labels(labels: DataFrame | None, links: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``linked_labels`` of all links so far, from those of the earlier ones and the new ``links``.
 
