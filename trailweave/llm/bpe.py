@@ -35,9 +35,9 @@ from trailweave.workspace import materialize
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: Buckets of words for each shuffle partition; the distinct words of one are in memory at once.
-BUCKETS = 4
+BUCKETS = 1
 #: Rows that are decoded or digested at once.
 ROWS = 256
 _CODEC = pa.Codec("zstd", compression_level=3)
