@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +23,14 @@ def texts_of(batch: pa.RecordBatch, at: int = 0) -> list[str]:
     return [t or "" for t in batch.column(at).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as Spark keeps its worker for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def filter_rows(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay; only texts go through Python, and only marks come back.
 
@@ -35,6 +44,7 @@ def filter_rows(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[
         for batch in batches:
             marks = [judge([t or "" for t in batch.slice(a, b - a).to_pylist()]) for a, b in units(batch)]
             yield pa.array([m for some in marks for m in some], pa.bool_())
+        give_back()
 
     names = docs.columns
     # By position, like below.
@@ -67,6 +77,7 @@ def rewrite_rows(
                 columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
                 batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
             yield batch if stay is None else batch.filter(pa.array(stay, pa.bool_()))
+        give_back()
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 

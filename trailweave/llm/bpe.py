@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.batches import pieces
+from trailweave.llm.batches import give_back, pieces
 from trailweave.llm.pretokens import byte_signs, splitter
 from trailweave.workspace import materialize
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 32 << 20
+#: Bytes of text that are split at once.
+UNIT = 2 << 20
 #: Buckets of words for each shuffle partition; the distinct words of one are in memory at once.
 BUCKETS = 1
 #: Rows that are decoded or digested at once.
@@ -143,13 +145,14 @@ def _split(docs: DataFrame, path: str, buckets: int) -> DataFrame:
                     ("block", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("counts", pa.binary()), ("codes", pa.binary()),
                     ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("at", pa.binary()),
                 ])
-            for piece in pieces(iter([batch]), 1):
+            for piece in pieces(iter([batch]), 1, UNIT):
                 if block.ids and block.size + piece.column(1).nbytes > BLOCK:
                     yield from block.rows(buckets, schema)
                     block = _Block(block.number + 1)
                 block.add(split, piece)
         if block.ids:
             yield from block.rows(buckets, schema)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"block long, doc_ids array<{kind}>, counts binary, codes binary, bucket int, words binary, lengths binary, at binary"

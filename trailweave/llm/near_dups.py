@@ -38,6 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.batches import give_back
 from trailweave.llm.shingles import shingle_sets, units
 from trailweave.operators.components import more_labels
 from trailweave.workspace import materialize, materialize_measured
@@ -106,6 +107,7 @@ def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
                      *(c.slice(start, stop - start) for c in batch.columns[2:])],
                     ["doc_id", "n_shingles", "class", "sig", *SKETCH, *batch.schema.names[2:]],
                 )
+        give_back()
 
     kind = ["doc_id long", "n_shingles long", "class long", "sig array<int>", *(f"{c} long" for c in SKETCH)]
     more = [F.xxhash64("text").alias("text_hash")] if hashed else []
