@@ -1,10 +1,10 @@
 """Ordered pairs of activities inside fixed time windows, with time decay.
 
-Only groups of a few events are paired directly.  Larger ones are refined step by step:
-second in the window, millisecond in the second, microsecond, and, for events of the same
-instant, blocks of event ids and single ids.  At each level the events are first reduced
-to cells (group, step, activity); a pair of events is counted at the level where their
-steps first differ, as
+Groups that a task can hold, in general whole windows, are summed in one pass over their
+events in order (``pair_sums``).  Larger ones are refined step by step: second in the window,
+millisecond in the second, microsecond, and, for events of the same instant, blocks of event
+ids and single ids.  At each level the events are first reduced to cells (group, step,
+activity); a pair of events is counted at the level where their steps first differ, as
 
     sum over cells of ``b`` of (what ``a`` gathered at earlier steps of the group) * cell
 
@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailweave.functions.keys import epoch_micros
+from trailweave.operators.pair_sums import blocks_of, pair_sums
 from trailweave.workspace import materialize, materialize_measured
 
 # Window length, decay per second and least weight of the program.
@@ -32,8 +33,8 @@ WINDOW_SECONDS = 600
 DECAY = 0.001
 MIN_WEIGHT = 0.01
 
-# Groups of up to this many events are paired directly.
-DIRECT = 64
+# Groups of up to this many events are summed in one task.
+DIRECT = 1 << 16
 
 
 def longest_lag(decay: float, least: float, seconds: int) -> int:
@@ -78,7 +79,7 @@ def _pairs_of_level(
 
 
 def window_pairs(
-    log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float | None = None
+    log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float | None = None, direct: int = DIRECT
 ) -> DataFrame:
     """All ordered pairs of events in the same window: ``(src, dst, cnt, weight)``.
 
@@ -96,8 +97,10 @@ def window_pairs(
     if lag is not None and lag >= seconds - 1:
         lag = None
     us = epoch_micros(F.col("ts"))
+    # Events without an id come first, as nulls do.
+    event_id = F.coalesce(F.col("event_id").cast("long"), F.lit(-(2**63)))
     events = log.where(F.col("ts").isNotNull()).select(
-        F.floor(us / F.lit(seconds * 1_000_000)).alias("win"), us.alias("us"), "event_id", "activity"
+        F.floor(us / F.lit(seconds * 1_000_000)).alias("win"), us.alias("us"), event_id.alias("event_id"), "activity"
     )
     second = F.floor(F.col("us") / F.lit(1_000_000))
     levels = {
@@ -109,20 +112,22 @@ def window_pairs(
         "event_id": F.col("event_id"),
     }
     group, parts = ["win"], []
+    activities = events.agg(F.approx_count_distinct("activity")).first()[0]
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, step in levels.items():
         crowd, measured = materialize_measured(
             events.groupBy(*group).agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1),
             "window-crowds",
-            small=F.expr(f"count_if(crowd <= {DIRECT})"),
-            large=F.expr(f"count_if(crowd > {DIRECT})"),
+            few=F.expr(f"sum(if(crowd <= {direct}, crowd, 0))"),
+            large=F.expr(f"count_if(crowd > {direct})"),
         )
-        if measured["small"]:
-            few = crowd.where(F.col("crowd") <= DIRECT).drop("crowd")
-            parts.append(_direct_pairs(events.join(few, group), group, second, decay, lag))
+        many = crowd.where(F.col("crowd") > direct).drop("crowd")
+        if measured["few"]:
+            few = events.join(many, group, "left_anti") if measured["large"] else events
+            parts.append(pair_sums(few, group, decay, lag, blocks_of(measured["few"], activities, tasks)))
         if not measured["large"]:
             break
-        many = crowd.where(F.col("crowd") > DIRECT).drop("crowd")
-        events = materialize(events.join(many, group).withColumn(name, step), "window-events")
+        events = materialize(events.join(many, group, "left_semi").withColumn(name, step), "window-events")
         offset = step - F.col("win") * seconds if name == "sec" else None
         if name != "sec" or lag is None or lag > 0:
             parts.append(_pairs_of_level(events, group, F.col(name), offset, decay, lag if name == "sec" else None))
@@ -140,25 +145,11 @@ def _no_pairs(log: DataFrame) -> DataFrame:
     return log.selectExpr("activity AS src", "activity AS dst", "0L AS cnt", "0D AS weight").limit(0)
 
 
-def _direct_pairs(events: DataFrame, group: list[str], second: Column, decay: float, lag: int | None) -> DataFrame:
-    """Pairs of groups of at most ``DIRECT`` events, joined on the group."""
-    events = events.select(*group, F.struct("us", "event_id").alias("at"), second.alias("s"), "activity")
-    first = events.select(*group, F.col("at").alias("at1"), F.col("s").alias("s1"), F.col("activity").alias("src"))
-    later = events.select(*group, F.col("at").alias("at2"), F.col("s").alias("s2"), F.col("activity").alias("dst"))
-    weight = F.exp(F.lit(-decay) * (F.col("s2") - F.col("s1")))
-    return (
-        first.join(later, group)
-        .where((F.col("at1") < F.col("at2")) & (F.lit(True) if lag is None else F.col("s2") - F.col("s1") <= lag))
-        .groupBy("src", "dst")
-        .agg(F.count("*").alias("cnt"), F.sum(weight).alias("weight"))
-    )
-
-
 def lasting_pairs(
-    log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float = MIN_WEIGHT
+    log: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float = MIN_WEIGHT, direct: int = DIRECT
 ) -> DataFrame:
     """``window_pairs`` of the pairs of events that weigh more than ``least``."""
-    return window_pairs(log, seconds, decay, least)
+    return window_pairs(log, seconds, decay, least, direct)
 
 
 def lasting(pairs: DataFrame, seconds: int = WINDOW_SECONDS, decay: float = DECAY, least: float = MIN_WEIGHT) -> DataFrame:
