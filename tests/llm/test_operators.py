@@ -47,6 +47,30 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
+def test_rounds_carry_open_lists_without_rarer_keys(spark, monkeypatch):
+    """Each round read all postings with their lists of rarer keys again."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in range(rng.randrange(1, 40)):
+            words[rng.randrange(120)] = f"x{i}y{k}"
+        texts.append((i, " ".join(words)))
+    seen = []
+
+    def watched(df, label, *args, **measures):
+        if label == "open-lists":
+            seen.append(df)
+        return materialize_measured(df, label, *args, **measures)
+
+    materialize_measured = near_dups.materialize_measured
+    monkeypatch.setattr(near_dups, "materialize_measured", watched)
+    near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=2)
+    assert len(seen) > 1 and not any("rarer" in df.columns for df in seen)
+    assert any("/open-lists-" in f for f in seen[1].inputFiles())
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, k):
     rng = random.Random(k)

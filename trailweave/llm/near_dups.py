@@ -50,6 +50,8 @@ ROUNDS = 4
 FEW = 16
 #: Shingles of the texts in one part of a tile; each text counts as ``TEXT`` more.
 PART, TEXT = 1 << 18, 512
+#: Bytes of text whose shingles a task has in hand at once.
+HAND = 1 << 20
 _BITS = 24
 #: Columns of the sketch: four bits of 16 coordinates in each.
 SKETCH = ["q0", "q1", "q2", "q3"]
@@ -84,7 +86,7 @@ def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
         flips, factors = _coefficients()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for start, stop in units(texts):
+            for start, stop in units(texts, HAND):
                 sets = shingle_sets(texts.slice(start, stop - start), words)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 digest, none = class_ids(sets)
@@ -241,10 +243,12 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, similarity: float)
     places = materialize(_places(postings), "places")
     percent = round(100 * similarity)
     tested, labels = none, None
+    # Lists once done stay so, and only the last round needs the rarer keys.
+    still_open = postings.drop("rarer")
     for turn in range(ROUNDS + 1):
-        state = postings.withColumn("label", F.col("class"))
+        state = still_open.withColumn("label", F.col("class"))
         if labels is not None:
-            state = postings.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn(
+            state = still_open.join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn(
                 "label", F.coalesce("label", "class")
             )
         open_lists = state.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where(
@@ -255,6 +259,7 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, similarity: float)
         )
         if not left["n"]:
             break
+        still_open = state.drop("label")
         last = turn == ROUNDS
         if not last and turn:
             each = state.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(
@@ -262,7 +267,10 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, similarity: float)
             )
             last = (each.agg(F.sum("pairs")).first()[0] or 0) <= FEW * 2 * size["n"]
         theirs = [f"_{c}" for c in SKETCH]
-        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", "popular AS pa", "rarer AS ra", *[f"{c} AS _{c}" for c in SKETCH])
+        if last:
+            state = state.join(postings.select("key", "class", "rarer"), ["key", "class"])
+        more = ["rarer AS ra"] if last else ["popular AS pa"]
+        other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", *more, *[f"{c} AS _{c}" for c in SKETCH])
         fits = f"la <> label AND 100 * least(na, n) >= {percent} * greatest(na, n) AND {_collisions(SKETCH, theirs)} >= {needed}"
         if last:
             met = state.alias("s").join(other.alias("o"), F.expr(f"s.key = o.key AND a < class AND {fits} AND NOT arrays_overlap(rarer, ra)"))
@@ -310,10 +318,11 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = _marked(batch, marks.value).column(0)
-            for start, stop in units(near):
+            for start, stop in units(near, HAND):
                 part = near.slice(start, stop - start)
                 digest, none = class_ids(shingle_sets(part, words))
                 yield pa.RecordBatch.from_arrays([pa.array(digest, mask=none), part], ["class", "text"])
+        give_back()
 
     found = docs.where("text IS NOT NULL").selectExpr("text", hashed).mapInArrow(run, "class long, text string")
     return found.where("class IS NOT NULL")
@@ -327,6 +336,7 @@ def _needed_texts(texts: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _marked(batch, marks.value).select([0, 1])
+        give_back()
 
     near = texts.selectExpr("class", "text", hashed).mapInArrow(run, "class long, text string")
     return near.dropDuplicates(["class"])
@@ -338,7 +348,7 @@ def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, words: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, sets = None, {}
         for batch in batches:
-            for start, stop in units(batch.column(3)):
+            for start, stop in units(batch.column(3), HAND):
                 part = batch.slice(start, stop - start)
                 fresh = iter(shingle_sets(part.column(3).drop_null(), words))
                 hit = []
@@ -355,6 +365,8 @@ def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, words: int
                     common = int((both[1:] == both[:-1]).sum())
                     hit.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.filter(pa.array(hit, pa.bool_())).select([1, 2])
+        del sets
+        give_back()
 
     one = places.select(F.col("class").alias("a"), F.col("place").alias("p"))
     two = places.select(F.col("class").alias("b"), F.col("place").alias("q"))
