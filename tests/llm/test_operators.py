@@ -71,6 +71,37 @@ def test_rounds_carry_open_lists_without_rarer_keys(spark, monkeypatch):
     assert any("/open-lists-" in f for f in seen[1].inputFiles())
 
 
+def test_large_groups_of_near_copies_make_no_rows_of_pairs(spark, monkeypatch):
+    """Copies of one text, most below the threshold, were compared in a table of all their pairs."""
+    rng = random.Random(32)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = []
+    for i in range(240):
+        words = list(base)
+        for k in rng.sample(range(100), rng.randrange(4, 12)):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    written = []
+
+    def watched(df, label, *args, **measures):
+        result = materialize(df, label, *args, **measures)
+        written.append((result.count(), label))
+        return result
+
+    materialize = near_dups.materialize
+    monkeypatch.setattr(near_dups, "materialize", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs, words=2).collect()}
+    sets, root = [shingles(t, 2) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) > 50
+    assert "near-places" in {label for _, label in written} and "near-texts" not in {label for _, label in written}
+    assert max(written)[0] <= near_dups.COORDINATES * len(texts) // 2
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, k):
     rng = random.Random(k)

@@ -24,7 +24,8 @@ no link that could join two components is missed.
 
 *Tiles.*  Classes near the same popular class are at home there, in parts of bounded size.
 The pairs between two parts are confirmed together, so that a text goes to a tile once and
-not to each of its pairs.
+not to each of its pairs.  In the full comparison pairs are not even rows: a list tells which
+parts meet in it, and a task compares the shingle sets of two parts with each other.
 """
 
 from __future__ import annotations
@@ -192,8 +193,8 @@ def _postings(classes: DataFrame, needed: int, similarity: float) -> DataFrame:
     """Rarest shared coordinate values ``(key, class, n)`` of each class."""
     # Below this size another set is never similar enough.
     least = next(n for n in range(1, 10_000) if 100 * n >= round(100 * similarity) * (n + 1))
-    posted = classes.where(F.col("n") >= least).select("class", "n", F.posexplode("sig").alias("at", "value")).selectExpr(
-        "class", "n", f"CAST(value AS LONG) * {COORDINATES} + at AS key"
+    posted = classes.where(F.col("n") >= least).select("class", F.posexplode("sig").alias("at", "value")).selectExpr(
+        "class", f"CAST(value AS LONG) * {COORDINATES} + at AS key"
     )
     lengths = posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     ranked = posted.join(lengths, "key").withColumns(
@@ -207,8 +208,8 @@ def _postings(classes: DataFrame, needed: int, similarity: float) -> DataFrame:
             ),
         }
     )
-    kept = ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "n", "popular", "rarer")
-    return kept.join(classes.select("class", *SKETCH), "class")
+    kept = ranked.where(f"rank <= shared - {needed} + 1").select("key", "class", "popular", "rarer")
+    return kept.join(classes.select("class", "n", *SKETCH), "class")
 
 
 def _places(postings: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, similarity: float)
     if not size["n"]:
         return none.toDF("v", "label")
     members = classes.select("class", "doc_id").join(postings.select("class").distinct(), "class", "left_semi")
-    texts = materialize(_texts(docs, members, words), "near-texts")
+    members = materialize(members, "members")
     places = materialize(_places(postings), "places")
     percent = round(100 * similarity)
     tested, labels = none, None
@@ -267,26 +268,26 @@ def _linked(docs: DataFrame, classes: DataFrame, words: int, similarity: float)
             )
             last = (each.agg(F.sum("pairs")).first()[0] or 0) <= FEW * 2 * size["n"]
         theirs = [f"_{c}" for c in SKETCH]
+        more = ["rarer AS ra"] if last else ["popular AS pa"]
         if last:
             state = state.join(postings.select("key", "class", "rarer"), ["key", "class"])
-        more = ["rarer AS ra"] if last else ["popular AS pa"]
         other = state.selectExpr("key", "class AS a", "n AS na", "label AS la", *more, *[f"{c} AS _{c}" for c in SKETCH])
         fits = f"la <> label AND 100 * least(na, n) >= {percent} * greatest(na, n) AND {_collisions(SKETCH, theirs)} >= {needed}"
         if last:
-            met = state.alias("s").join(other.alias("o"), F.expr(f"s.key = o.key AND a < class AND {fits} AND NOT arrays_overlap(rarer, ra)"))
-        else:
-            # First the class whose values are the most shared, as of the text that others copy.
-            order = F.xxhash64("a", F.lit(turn)) if turn else F.col("pa")
-            leader = other.groupBy("key").agg(F.max(F.struct(order.alias("h"), "a", "na", "la", *theirs)).alias("s"))
-            met = state.alias("s").join(leader.select("key", "s.*").alias("o"), F.expr(f"s.key = o.key AND {fits}"))
-        pairs = met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b"))
-        pairs = pairs if last else pairs.distinct()
+            met = state.alias("s").join(
+                other.alias("o"), F.expr(f"s.key = o.key AND {fits} AND NOT arrays_overlap(rarer, ra)"), "left_semi"
+            )
+            near = materialize(met.select("key", "class", "label").join(places, "class"), "near-places")
+            return more_labels(labels, materialize(_tile_links(near, docs, members, words, percent), "near-links"))
+        # First the class whose values are the most shared, as of the text that others copy.
+        order = F.xxhash64("a", F.lit(turn)) if turn else F.col("pa")
+        leader = other.groupBy("key").agg(F.max(F.struct(order.alias("h"), "a", "na", "la", *theirs)).alias("s"))
+        met = state.alias("s").join(leader.select("key", "s.*").alias("o"), F.expr(f"s.key = o.key AND {fits}"))
+        pairs = met.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         tested = tested.union(pairs)
-        new = materialize(_confirmed(pairs, places, texts, words, percent), "near-links")
+        new = materialize(_confirmed(pairs, places, docs, members, words, percent), "near-links")
         labels = more_labels(labels, new)
-        if last:
-            break
     return none.toDF("v", "label") if labels is None else labels
 
 
@@ -307,13 +308,14 @@ def _marked(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
 
 
-def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """Texts ``(class, text)`` of the classes in ``members``, without a shuffle.
+def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``(class, text)``: one text of each class in ``classes``, and of a few others.
 
-    Repeated document ids repeat a class, and chance hits of the filter add some classes.
+    ``members`` tells the document of a class; documents are read again, so that only texts that
+    are compared are ever written, and only they are shuffled.
     """
     hashed = "xxhash64(CAST(doc_id AS LONG)) AS hash"
-    marks = _marks(members.selectExpr(hashed))
+    marks = _marks(members.join(classes, "class", "left_semi").selectExpr(hashed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,24 +327,10 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
         give_back()
 
     found = docs.where("text IS NOT NULL").selectExpr("text", hashed).mapInArrow(run, "class long, text string")
-    return found.where("class IS NOT NULL")
-
-
-def _needed_texts(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """One text of each class in ``classes``; few others are shuffled."""
-    hashed = "xxhash64(class) AS hash"
-    marks = _marks(classes.selectExpr(hashed))
+    return found.where("class IS NOT NULL").dropDuplicates(["class"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _marked(batch, marks.value).select([0, 1])
-        give_back()
-
-    near = texts.selectExpr("class", "text", hashed).mapInArrow(run, "class long, text string")
-    return near.dropDuplicates(["class"])
 
-
-def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, places: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs with ``100 * intersection >= percent * union`` of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,11 +360,78 @@ def _confirmed(pairs: DataFrame, places: DataFrame, texts: DataFrame, words: int
     two = places.select(F.col("class").alias("b"), F.col("place").alias("q"))
     dealt = pairs.join(one, "a").join(two, "b").select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("tile"), "a", "b")
     dealt = materialize(dealt, "dealt-pairs")
-    members = dealt.select("tile", F.col("a").alias("class")).union(dealt.select("tile", "b")).distinct()
-    lines = members.join(_needed_texts(texts, members), "class").selectExpr("tile", "class AS a", "CAST(NULL AS LONG) AS b", "text").union(
+    inside = dealt.select("tile", F.col("a").alias("class")).union(dealt.select("tile", "b")).distinct()
+    lines = inside.join(_texts(docs, members, inside, words), "class").selectExpr("tile", "class AS a", "CAST(NULL AS LONG) AS b", "text").union(
         dealt.selectExpr("tile", "a", "b", "CAST(NULL AS STRING)")
     )
     # The texts of a tile come before its pairs.
     return lines.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(
         run, "a long, b long"
     )
+
+
+def _tile_links(near: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join the components of the classes in ``near``, rows ``(key, class, label, place)``.
+
+    Two parts that meet in a list make a tile, and so does each part with itself; a tile has
+    the texts of both and compares them all.  A link between two classes that earlier links of
+    the tile, or ``label``, hold together already is not looked for.
+    """
+
+    def links(rows: list[tuple], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        left = np.array([m[0] for m in rows], bool)
+        group = np.unique([m[2] for m in rows], return_inverse=True)[1]
+        mark, found = np.zeros(len(values), np.int32), []
+        # Where there are two parts, the first is compared with the second.
+        split = int(left.sum()) if not left.all() else 0
+        for i in range(split or len(sets)):
+            start = split or i + 1
+            size, rest = sizes[i], sizes[start:]
+            open_to = (group[start:] != group[i]) & (100 * np.minimum(size, rest) >= percent * np.maximum(size, rest))
+            if not open_to.any():
+                continue
+            own = flat[begins[i] : begins[i + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[flat[begins[start] :]], begins[start:-1] - begins[start])
+            mark[own] = 0
+            for j in (start + np.flatnonzero(open_to & (100 * common >= percent * (size + rest - common)))).tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    found.append((rows[i][1], rows[j][1]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1 and (found := links(rows, sets)):
+                yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()) for ends in zip(*found)], ["a", "b"])
+
+        tile, rows, sets = None, [], []
+        for batch in batches:
+            for start, stop in units(batch.column(4), HAND):
+                part = batch.slice(start, stop - start)
+                fresh = shingle_sets(part.column(4), words)
+                for t, second, *member, s in zip(*(part.column(k).to_pylist() for k in range(4)), fresh):
+                    if t != tile:
+                        yield from done()
+                        tile, rows, sets = t, [], []
+                    rows.append((not second, *member))
+                    sets.append(s)
+        yield from done()
+        del sets
+        give_back()
+
+    held = near.select("key", "place").distinct()
+    parts = held.join(held.withColumnRenamed("place", "other"), "key").where("place <= other").select("place", "other").distinct()
+    tiles = materialize(parts.withColumn("tile", F.xxhash64("place", "other")), "tiles")
+    sides = tiles.selectExpr("tile", "false AS second", "place").union(
+        tiles.where("place <> other").selectExpr("tile", "true AS second", "other")
+    )
+    classes = materialize(near.select("class", "label", "place").distinct(), "near-classes")
+    lines = classes.join(_texts(docs, members, classes, words), "class").join(sides, "place")
+    # The first part of a tile comes before the second.
+    return lines.select("tile", "second", "class", "label", "text").repartition("tile").sortWithinPartitions(
+        "tile", "second"
+    ).mapInArrow(run, "a long, b long")
