@@ -198,3 +198,21 @@ def test_forest_of_a_star_takes_few_rounds(make_graph, as_rows):
     names = ["hub"] + [f"l{i:02d}" for i in range(30)]
     nodes, df = make_graph(names, [("hub", n, i + 1) for i, n in enumerate(names[1:])])
     assert comp.max_spanning_forest(nodes, df).count() == 30
+
+
+def test_strong_components_run_on_numbers(spark, make_graph, monkeypatch):
+    """Minima of structs with names were aggregated by sorting in every round."""
+    names = [f"v{i}" for i in range(30)]
+    cycles = [(f"v{i}", f"v{i - i % 5 + (i + 1) % 5}", 1) for i in range(30)]
+    nodes, edges = make_graph(names, cycles + [(f"v{5 * i}", f"v{5 * i + 5}", 1) for i in range(5)])
+    seen = []
+
+    def watched(state, *args, **kwargs):
+        seen.append(dict(state.dtypes))
+        return run_rounds(state, *args, **kwargs)
+
+    run_rounds = comp.run_rounds
+    monkeypatch.setattr(comp, "run_rounds", watched)
+    got = {r.v: r.label for r in comp.strong_components(nodes, edges).collect()}
+    assert got == {f"v{i}": min(f"v{k}" for k in range(i - i % 5, i - i % 5 + 5)) for i in range(30)}
+    assert seen and all(kind == "bigint" for types in seen for name, kind in types.items() if name in ("v", "at", "label"))

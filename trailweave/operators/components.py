@@ -123,16 +123,21 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     vertex, in the order of a hash, that reaches them and the first that they reach.
     Where both are the same it names a component, so every part of the graph gives one at
     least; edges between vertices that differ in either are in no cycle and go.
+    Rounds run on numbers in the order of the hash, so that minima are aggregated by hash.
     """
     found = []
-    links = edges.where("src <> dst").select("src", "dst").distinct()
+    named_links = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc-names")
+    numbers = materialize(_hash_numbers(named_links), "scc-numbers")
+    links = named_links.join(numbers.selectExpr("name AS src", "number AS a"), "src").join(
+        numbers.selectExpr("name AS dst", "number AS b"), "dst"
+    ).selectExpr("a AS src", "b AS dst")
     while True:
         links, measured = materialize_measured(links, "scc-links", n=F.count("*"))
         if not measured["n"]:
             break
         inner = materialize(_among(links, _beyond_chains(links, measured["n"])), "scc-inner")
         colours = _first_reached(inner)
-        named = colours.where("after = before").select("v", F.col("after.name").alias("root"))
+        named = colours.where("after = before").select("v", F.col("after").alias("root"))
         found.append(named)
         left = colours.where("after <> before")
         one = left.select(F.col("v").alias("src"), F.col("after").alias("a1"), F.col("before").alias("b1"))
@@ -140,11 +145,17 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         links = inner.join(one, "src").join(two, "dst").where("a1 = a2 AND b1 = b2").select("src", "dst")
     if not found:
         return start_labels(vertices)
-    roots = reduce(DataFrame.union, found)
+    roots = reduce(DataFrame.union, found).withColumnRenamed("v", "number").join(numbers, "number").selectExpr("name AS v", "root")
     labels = roots.join(roots.groupBy("root").agg(F.min("v").alias("label")), "root").select("v", "label")
     return vertices.select(F.col("activity").alias("v")).join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
 
 
+def _hash_numbers(links: DataFrame) -> DataFrame:
+    """``(name, number)``: a number of each end of the links, in the order of a hash of its name inside a partition."""
+    names = links.select(F.col("src").alias("name")).union(links.select("dst")).distinct()
+    return names.sortWithinPartitions(F.xxhash64("name"), "name").withColumn("number", F.monotonically_increasing_id())
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
     """Edges as ``(way, src, dst)``, forwards (0) and backwards (1)."""
     return links.select(F.lit(0).alias("way"), "src", "dst").union(links.select(F.lit(1), "dst", "src"))
@@ -170,24 +181,24 @@ def _beyond_chains(links: DataFrame, n: int) -> DataFrame:
 
 
 def _first_reached(links: DataFrame) -> DataFrame:
-    """``(v, after, before)``: the first vertex by hash that reaches ``v``, and that ``v`` reaches.
+    """``(v, after, before)``: the first vertex by number that reaches ``v``, and that ``v`` reaches.
 
     A round takes the first among the neighbours, and then what that one knew itself, so
     that knowledge doubles its reach along paths.
     """
     ends = links.select(F.col("src").alias("v")).union(links.select("dst")).distinct()
-    ways = ends.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), "v")
-    state = materialize(ways.selectExpr("way", "v", "struct(xxhash64(v) AS hash, v AS name) AS label"), "scc-labels")
+    ways = materialize(ends.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), "v"), "scc-ways")
     spread = Spread(_both_ways(links).union(ways.selectExpr("way", "v", "v")), ["way"])
 
     def step(state: DataFrame) -> DataFrame:
         met = spread.along(state).groupBy("way", "dst").agg(
             F.expr("min(label) AS label"), F.expr("max(if(src = dst, label, null)) AS was")
         )
-        known = state.selectExpr("way", "v AS name", "label AS further")
-        seen = met.selectExpr("way", "dst AS v", "label", "was", "label.name AS name").join(known, ["way", "name"], "left")
-        return seen.selectExpr("way", "v", "least(label, further) AS label", "least(label, further) <> was AS changed")
+        known = state.selectExpr("way", "v AS label", "label AS further")
+        seen = met.join(known, ["way", "label"], "left")
+        return seen.selectExpr("way", "dst AS v", "least(label, further) AS label", "least(label, further) <> was AS changed")
 
+    state = ways.selectExpr("way", "v", "v AS label")
     done = run_rounds(state, step, None, "scc-labels", per_write=2)
     return done.groupBy("v").agg(
         F.max(F.expr("if(way = 0, label, null)")).alias("after"), F.max(F.expr("if(way = 1, label, null)")).alias("before")

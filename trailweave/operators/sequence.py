@@ -183,10 +183,18 @@ def _pair_records(
     ordered = W.partitionBy(*cut.partition).orderBy(*cut.order)
     group = F.struct(*within) if within else F.lit(0)
     told_apart = within and not by_group
+    whole = by_group and not cut.cut  # groups are not cut, so there are no borders
 
     def near(column: Column, offset: int) -> Column:
         return F.lead(column, offset).over(ordered) if offset > 0 else F.lag(column, -offset).over(ordered)
 
+    if whole:
+        kept = [group.alias("grp")] if keep_group else []
+        seen = cut.rows.select(*kept, F.col("activity").alias("src"), F.array_compact(F.array(*[near(F.col("activity"), o) for o in offsets])).alias("near"))
+        pairs = seen.select(*seen.columns[:-1], F.explode("near").alias("dst"))
+        counted = materialize(pairs.groupBy(*pairs.columns).agg(F.count("*").alias("cnt")), "pairs")
+        return counted.withColumn("slice", F.lit(None).cast("array<int>")), False, by_group
+
     numbered = cut.rows.select(
         "slice",
         "activity",
