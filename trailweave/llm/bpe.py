@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.batches import give_back, pieces
+from trailweave.llm.batches import give_back, hand_small, pieces, through
 from trailweave.llm.pretokens import byte_signs, splitter
 from trailweave.workspace import materialize
 
@@ -84,28 +84,25 @@ class _Block:
     def __init__(self, number: int):
         self.number, self.size = number, 0
         self.ids: list[pa.Array] = []
-        self.words: list[pa.Array] = []
+        self.words: list[pa.DictionaryArray] = []
         self.counts: list[np.ndarray] = []
 
     def add(self, split, piece: pa.RecordBatch) -> None:
         words, counts = split.words([t or "" for t in piece.column(1).to_pylist()])
         self.size += piece.column(1).nbytes
         self.ids.append(piece.column(0))
-        self.words.append(words)
+        self.words.append(words.dictionary_encode())
         self.counts.append(counts)
 
     def rows(self, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        found = pa.chunked_array(self.words, pa.string()).dictionary_encode().combine_chunks()
-        found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
-        codes, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        found = pa.chunked_array(self.words).unify_dictionaries()
+        words = found.chunk(0).dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        codes = [part.indices.to_numpy() for part in found.chunks]
+        often = np.argsort(-sum(np.bincount(c, minlength=len(words)) for c in codes), kind="stable")
         rank = np.empty(len(often), np.int64)
         rank[often] = np.arange(len(often))
-        at = 0
-        for ids, counts in zip(self.ids, self.counts):
-            n = int(counts.sum())
-            yield _row(schema, block=self.number, doc_ids=ids, counts=_pack(counts), codes=_pack(rank[codes[at : at + n]]))
-            at += n
+        for ids, counts, own in zip(self.ids, self.counts, codes):
+            yield _row(schema, block=self.number, doc_ids=ids, counts=_pack(counts), codes=_pack(rank[own]))
         place = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(place, kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
@@ -152,10 +149,10 @@ def _split(docs: DataFrame, path: str, buckets: int) -> DataFrame:
                 block.add(split, piece)
         if block.ids:
             yield from block.rows(buckets, schema)
-        give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"block long, doc_ids array<{kind}>, counts binary, codes binary, bucket int, words binary, lengths binary, at binary"
+    return through(
+        docs.select("doc_id", "text"), run,
+        f"block long, doc_ids array<{kind}>, counts binary, codes binary, bucket int, words binary, lengths binary, at binary",
     )
 
 
@@ -188,7 +185,7 @@ def encoded_words(words: DataFrame, path: str = PATH) -> DataFrame:
             )
 
     dealt = words.select("block", "bucket", "words", "lengths", "at").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block long, at binary, sizes binary, ids binary")
+    return through(dealt, run, "block long, at binary, sizes binary, ids binary")
 
 
 def _taken(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -211,7 +208,7 @@ def encode(docs: DataFrame, path: str = PATH, digested: bool = False) -> DataFra
     entries = encoded_words(table.where("words IS NOT NULL"), path)
     kind = dict(docs.dtypes)["doc_id"]
 
-    def assemble(key, docs_of, words_of):
+    def together(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
         at = [np.cumsum(_unpack(x)) for x in words_of.column("at").to_pylist()]
         each = [_unpack(x) for x in words_of.column("sizes").to_pylist()]
         flat = [_unpack(x) for x in words_of.column("ids").to_pylist()]
@@ -230,6 +227,12 @@ def encode(docs: DataFrame, path: str = PATH, digested: bool = False) -> DataFra
             tables.append(pa.table(own | (digest(lists) if digested else {"ids": lists})))
         return pa.concat_tables(tables)
 
+    def assemble(key, docs_of, words_of):
+        table = together(docs_of, words_of)
+        give_back()
+        return table
+
+    hand_small(docs.sparkSession)
     found = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digested else "ids array<int>"
     return texts.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(assemble, f"doc_id {kind}, {found}")
 
@@ -292,7 +295,7 @@ def decode(encoded: DataFrame, path: str = PATH) -> DataFrame:
                 texts = pa.array(_texts_of(pieces, part.column("ids")), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "text"])
 
-    return encoded.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in encoded.dtypes), "text string"]))
+    return through(encoded, run, ", ".join([*(f"`{n}` {t}" for n, t in encoded.dtypes), "text string"]))
 
 
 def digests(docs: DataFrame, path: str = PATH) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.batches import give_back
+from trailweave.llm.batches import through
 from trailweave.llm.shingles import shingle_sets, units
 from trailweave.operators.components import more_labels
 from trailweave.workspace import materialize, materialize_measured
@@ -110,13 +110,11 @@ def signatures(docs: DataFrame, words: int, hashed: bool = False) -> DataFrame:
                      *(c.slice(start, stop - start) for c in batch.columns[2:])],
                     ["doc_id", "n_shingles", "class", "sig", *SKETCH, *batch.schema.names[2:]],
                 )
-        give_back()
 
     kind = ["doc_id long", "n_shingles long", "class long", "sig array<int>", *(f"{c} long" for c in SKETCH)]
     more = [F.xxhash64("text").alias("text_hash")] if hashed else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(
-        run, ", ".join(kind + ["text_hash long"] * hashed)
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return through(texts, run, ", ".join(kind + ["text_hash long"] * hashed))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -324,9 +322,8 @@ def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame, words: int)
                 part = near.slice(start, stop - start)
                 digest, none = class_ids(shingle_sets(part, words))
                 yield pa.RecordBatch.from_arrays([pa.array(digest, mask=none), part], ["class", "text"])
-        give_back()
 
-    found = docs.where("text IS NOT NULL").selectExpr("text", hashed).mapInArrow(run, "class long, text string")
+    found = through(docs.where("text IS NOT NULL").selectExpr("text", hashed), run, "class long, text string")
     return found.where("class IS NOT NULL").dropDuplicates(["class"])
 
 
@@ -353,8 +350,6 @@ def _confirmed(pairs: DataFrame, places: DataFrame, docs: DataFrame, members: Da
                     common = int((both[1:] == both[:-1]).sum())
                     hit.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield part.filter(pa.array(hit, pa.bool_())).select([1, 2])
-        del sets
-        give_back()
 
     one = places.select(F.col("class").alias("a"), F.col("place").alias("p"))
     two = places.select(F.col("class").alias("b"), F.col("place").alias("q"))
@@ -365,8 +360,8 @@ def _confirmed(pairs: DataFrame, places: DataFrame, docs: DataFrame, members: Da
         dealt.selectExpr("tile", "a", "b", "CAST(NULL AS STRING)")
     )
     # The texts of a tile come before its pairs.
-    return lines.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(
-        run, "a long, b long"
+    return through(
+        lines.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()), run, "a long, b long"
     )
 
 
@@ -420,8 +415,6 @@ def _tile_links(near: DataFrame, docs: DataFrame, members: DataFrame, words: int
                     rows.append((not second, *member))
                     sets.append(s)
         yield from done()
-        del sets
-        give_back()
 
     held = near.select("key", "place").distinct()
     parts = held.join(held.withColumnRenamed("place", "other"), "key").where("place <= other").select("place", "other").distinct()
@@ -432,6 +425,5 @@ def _tile_links(near: DataFrame, docs: DataFrame, members: DataFrame, words: int
     classes = materialize(near.select("class", "label", "place").distinct(), "near-classes")
     lines = classes.join(_texts(docs, members, classes, words), "class").join(sides, "place")
     # The first part of a tile comes before the second.
-    return lines.select("tile", "second", "class", "label", "text").repartition("tile").sortWithinPartitions(
-        "tile", "second"
-    ).mapInArrow(run, "a long, b long")
+    dealt = lines.select("tile", "second", "class", "label", "text").repartition("tile").sortWithinPartitions("tile", "second")
+    return through(dealt, run, "a long, b long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.batches import pieces, rewrite_rows, summed, texts_of
+from trailweave.llm.batches import pieces, rewrite_rows, summed, texts_of, through
 
 # Fixed patterns, in the order of their kinds.
 ASSIGN = re.compile(
@@ -133,8 +133,8 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>"
+    return through(
+        docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>"
     )
 
 

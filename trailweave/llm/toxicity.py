@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.batches import filter_rows, pieces, summed, texts_of
+from trailweave.llm.batches import filter_rows, pieces, summed, texts_of, through
 from trailweave.llm.shingles import _LOWER
 
 #: Labelled rows that a model is fitted on, chosen by hash of their id.
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
                 toxic, clean, texts = Counter(), Counter(), [0, 0]
         yield counted()
 
-    seen = labelled.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(
+    seen = through(labelled, run, "feature string, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     ).where(f"toxic >= {LEAST_ROWS} OR feature IS NULL")
     found = {r.feature: (r.toxic, r.clean) for r in seen.collect()}  # bounded by the sample
@@ -274,7 +274,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, hidden array<string>")
+    return through(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, hidden array<string>")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
